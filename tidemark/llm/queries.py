@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, near_dup, token_files
+from tidemark.llm import bpe, decontam, langid, near_dup, pii, token_files
 from tidemark.llm._common import only
 
 
@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.findings(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    spans = F.col("spans")
+
+    def count(k: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    counts = map(count, range(4))
+    terms = F.transform("terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    every = F.concat(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), terms)
+    return found.select("doc_id", *counts, F.sha2(pii.listed(spans).cast("binary"), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -51,6 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,

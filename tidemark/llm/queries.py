@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, near_dup, pii, token_files
+from tidemark.llm import bpe, decontam, fingerprint, langid, near_dup, pii, token_files
 from tidemark.llm._common import only
 
 
@@ -39,6 +39,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited(table(spark, sf_dir, "documents"))
+    mine, other, after = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", fingerprint.likeness(mine, other).alias("near_edited"), fingerprint.likeness(mine, after).alias("near_next"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
@@ -66,6 +72,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
+    "op3_fingerprint": op3_fingerprint,
     "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,

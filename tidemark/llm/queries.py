@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, fingerprint, langid, near_dup, pii, token_files
+from tidemark.llm import bpe, decontam, fingerprint, langid, near_dup, pii, rlz, token_files
 from tidemark.llm._common import only
 
 
@@ -45,6 +45,10 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", fingerprint.likeness(mine, other).alias("near_edited"), fingerprint.likeness(mine, after).alias("near_next"))
 
 
+def op4_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.factorise(table(spark, sf_dir, "documents"), width=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_fingerprint": op3_fingerprint,
+    "op4_rlz": op4_rlz,
     "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, fingerprint, langid, near_dup, pii, rlz, token_files
+from tidemark.llm import bpe, decontam, fingerprint, langid, near_dup, pii, rlz, suffix_repeats, token_files
 from tidemark.llm._common import only
 
 
@@ -56,6 +56,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(only(docs, "doc_id", "text"), model).select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"), width=200)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_rlz": op4_rlz,
     "op5_language_id": op5_language_id,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_decontamination": op7_decontamination,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,

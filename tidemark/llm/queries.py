@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, fingerprint, langid, near_dup, pii, rlz, suffix_repeats, token_files
+from tidemark.llm import bpe, ctw, decontam, fingerprint, langid, near_dup, pii, rlz, suffix_repeats, token_files
 from tidemark.llm._common import only
 
 
@@ -66,6 +66,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.score(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.round("score", 4).alias("score"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     coded = bpe.encode(docs, vocabulary()).drop("text")
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_suffix_repeats": op6_suffix_repeats,
     "op7_decontamination": op7_decontamination,
+    "op8_ctw": op8_ctw,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import evaluation, market
+from tidemark.plans.base import ORACLE, QUERIES
 
-def flagship(spark, sf_dir):
-    return QUERIES["feature_table"](spark, sf_dir)
+__all__ = ["ORACLE", "QUERIES", "evaluation", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.feature_table(spark, sf_dir)

@@ -13,9 +13,10 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
-from itertools import chain
+from array import array
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from tidemark.llm._chunks import blocks, units
 _W = r"\p{White_Space}"
 PATTERN = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|{_W}+(?!\P{{White_Space}})|{_W}+")
 #: Units kept with their tokens; when full it starts anew, so that memory stays bounded.
-CACHE = 400_000
+CACHE = 600_000
 _NONE = 1 << 60
 
 
@@ -136,60 +137,60 @@ class Merges:
 
 
 class Encoder:
-    """Text to ids, block by block."""
+    """Text to ids, block by block. Units met before come from a bounded cache, as their ids' bytes."""
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
-        self._inner: dict[str, tuple[int, ...]] = {}
-        self._first: dict[str, tuple[int, ...]] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._inner: dict[str, bytes] = {}  # of what follows a blank, with that blank
+        self._first: dict[str, bytes] = {}
         self._special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
 
-    def _tokens(self, unit: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in (unit,) if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else PATTERN.findall(unit):
-            held = self._pieces.get(piece)
-            if held is None:
-                raw = piece.encode("utf-8", "surrogatepass")
-                held = self.merges.merge(raw) if len(raw) <= 1024 else self.merges.stream(raw)
-                if len(raw) < 64:
-                    if len(self._pieces) > CACHE:
-                        self._pieces.clear()
-                    self._pieces[piece] = held
-            out += held
-        return tuple(out)
-
-    def _block(self, block: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        known, key = (self._inner, piece[1:]) if piece[0] == " " else (self._first, piece)
+        held = known.get(key)
+        if held is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            held = array("i", self.merges.merge(raw) if len(raw) <= 1024 else self.merges.stream(raw)).tobytes()
+            if len(raw) < 64:
+                if len(known) > CACHE:
+                    known.clear()
+                known[key] = held
+        return held
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit; one that is a pre-token as it stands needs no pattern."""
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return self._piece(unit)
+        return b"".join(map(self._piece, PATTERN.findall(unit)))
+
+    def _block(self, block: str) -> bytes:
         first, *rest = units(block)
-        head = self._first.get(first)
-        if head is None:
-            head = self._tokens(first)
-            if len(first) < 64 and len(self._first) < CACHE:
-                self._first[first] = head
         found = list(map(self._inner.get, rest))
         if None in found:
             if len(self._inner) > CACHE:
                 self._inner.clear()
             for i, hit in enumerate(found):
                 if hit is None:
-                    found[i] = self._inner.get(rest[i]) or self._tokens(" " + rest[i])
-                    if len(rest[i]) < 64:
-                        self._inner[rest[i]] = found[i]
-        return [*head, *chain.from_iterable(found)]
+                    word = rest[i]
+                    found[i] = hit = self._inner.get(word) or self._unit(" " + word)
+                    if len(word) < 64:
+                        self._inner[word] = hit
+        return b"".join([self._unit(first) if first else b"", *found])
 
     def feed(self, text: str):
-        """Lists of ids, each emitted when its block is read."""
+        """Ids as bytes of 32-bit integers, each block's when it is read."""
         at = 0
         for m in self._special.finditer(text) if self._special and any(s in text for s in self.merges.special) else ():
             for b in blocks(text[at : m.start()]):
                 yield self._block(b)
-            yield [self.merges.special[m[0]]]
+            yield array("i", [self.merges.special[m[0]]]).tobytes()
             at = m.end()
         for b in blocks(text[at:] if at else text):
             yield self._block(b)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.feed(text)))
+        return np.frombuffer(b"".join(self.feed(text)), np.int32).tolist()
 
 
 class Decoder:
@@ -201,7 +202,7 @@ class Decoder:
     def decode(self, ids, step: int = 1 << 16) -> str:
         state, out = codecs.getincrementaldecoder("utf-8")("replace"), []
         for at in range(0, len(ids), step):
-            out.append(state.decode(b"".join(map(self.table.__getitem__, ids[at : at + step]))))
+            out.append(state.decode(b"".join(map(self.table.__getitem__, np.asarray(ids[at : at + step]).tolist()))))
         out.append(state.decode(b"", True))
         return "".join(out)
 
@@ -236,11 +237,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         encoder, _ = loaded(path)
 
         def make(b):
-            rows = [encoder.encode(t) if t else [] for t in b.column(text).to_pylist()]
-            ends = [0]
-            for r in rows:
-                ends.append(ends[-1] + len(r))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(rows)), pa.int32()))
+            rows = [b"".join(encoder.feed(t)) if t else b"" for t in b.column(text).to_pylist()]
+            ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
         yield from _batches(it, ids, make, 500)
 
@@ -255,7 +254,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
         def make(b):
             col = b.column(ids)
-            flat, ends = col.values.to_pylist() if len(col) else [], col.offsets.to_pylist() if len(col) else []
+            flat, ends = col.values.to_numpy(), col.offsets.to_pylist()
             return pa.array([decoder.decode(flat[a:z]) for a, z in zip(ends, ends[1:])], pa.string())
 
         yield from _batches(it, text, make, 500)

@@ -261,7 +261,7 @@ def coverage_direction(spark, d):
     return scored(spark, d).groupBy("rung", "fold", "model").agg(r(F.avg("interval_hit"), "coverage"), r(F.avg("correct_direction"), "direction"), r(F.avg((F.col("actual") >= 0).cast("int")), "up_rate"))
 
 
-@query("run_contract_audit", "SELECT rung, fold, seed, count(*) AS n_keys, count(*) FILTER (nb = 1 AND nt = 1) AS n_paired, round(max(abs(ab - at)), 6) AS label_gap FROM (SELECT rung, fold, seed, k, window_id, horizon, count(*) FILTER (model = 'base') AS nb, count(*) FILTER (model = 'tuned') AS nt, max(actual) FILTER (model = 'base') AS ab, max(actual) FILTER (model = 'tuned') AS at FROM preds GROUP BY ALL) GROUP BY rung, fold, seed")
+@query("run_contract_audit", "SELECT rung, fold, seed, count(*) AS n_keys, count(*) FILTER (nb = 1 AND nt = 1) AS n_paired, round(max(abs(ab - lt)), 6) AS label_gap FROM (SELECT rung, fold, seed, k, window_id, horizon, count(*) FILTER (model = 'base') AS nb, count(*) FILTER (model = 'tuned') AS nt, max(actual) FILTER (model = 'base') AS ab, max(actual) FILTER (model = 'tuned') AS lt FROM preds GROUP BY ALL) GROUP BY rung, fold, seed")
 def run_contract_audit(spark, d):
     one = lambda m: F.when(F.col("model") == m, F.col("actual"))
     p = predictions(spark, d).groupBy(*CELL, "k", "window", "horizon").agg(F.count(one("base")).alias("nb"), F.count(one("tuned")).alias("nt"), F.max(one("base")).alias("ab"), F.max(one("tuned")).alias("at"))

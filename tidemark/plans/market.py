@@ -413,13 +413,13 @@ def feature_frame(spark, d):
 
 def _rounded_sql(columns):
     whole = set(_CAL)
-    return ", ".join(c if c in whole else f"round({c}, 4) AS {c}" for c in columns)
+    return ", ".join(c if c in whole else f"round({c}, {6 if c == 'close' else 4}) AS {c}" for c in columns)
 
 
 @query("feature_table", f"SELECT k, date, {_rounded_sql(_COLUMNS)} FROM ftable WHERE y IS NOT NULL AND idx > {_WARM}")
 def feature_table(spark, d):
     out = feature_frame(spark, d).where(f"y is not null and idx > {_WARM}")
-    return out.select("k", "date", *(F.col(c) if c in _CAL else r(c, places=4) for c in _COLUMNS))
+    return out.select("k", "date", *(F.col(c) if c in _CAL else r(c, places=6 if c == "close" else 4) for c in _COLUMNS))
 
 
 @query("feature_roles", f"SELECT c AS \"column\", g AS \"group\", r AS role, n AS n_values FROM (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {chr(39)}{g}{chr(39)}, {chr(39)}{x}{chr(39)})' for c, g, x in ROLES)}) t(c, g, r) JOIN (UNPIVOT (SELECT {', '.join(f'count({c}) AS {c}' for c in _COLUMNS)} FROM ftable) ON {', '.join(_COLUMNS)} INTO NAME c VALUE n) USING (c)")

@@ -1,0 +1,34 @@
+"""DuckDB SQL for those queries of this subpackage that SQL can express."""
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_ITEM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLE: dict[str, str] = {
+    "op2_near_dedup": f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOW}, {_WORD}) AS w FROM documents),
+ sets AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS s FROM words)),
+ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+ common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+ pairs AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+ reach(doc, other) AS (SELECT x, y FROM pairs UNION SELECT r.doc, b.y FROM reach r JOIN pairs b ON r.other = b.x),
+ least AS (SELECT doc, min(other) AS other FROM reach GROUP BY doc)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(other, d.doc_id)) AS kept FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least ON least.doc = d.doc_id""",
+    "op4_rlz": f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+ windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+ firsts AS (SELECT h, min(doc_id) AS f FROM windows GROUP BY h),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE f < doc_id),
+ left_over AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.p) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.p = t.p GROUP BY t.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM words w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = w.doc_id LEFT JOIN left_over k ON k.doc_id = w.doc_id""",
+    "op7_decontamination": f"""
+WITH words AS (SELECT doc_id, regexp_extract_all({_LOW}, {_ITEM}) AS w FROM documents),
+ items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, {_ITEM}) AS w FROM benchmark),
+ patterns AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS p FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM items WHERE len(w) > 0)),
+ windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words CROSS JOIN (SELECT DISTINCT n FROM patterns))),
+ found AS (SELECT doc_id, i, w.n, item FROM windows w JOIN patterns p ON p.p = w.p AND p.n = w.n),
+ hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM found) GROUP BY doc_id),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM words w LEFT JOIN hit h ON h.doc_id = w.doc_id LEFT JOIN named n ON n.doc_id = w.doc_id""",
+}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, ctw, decontam, fingerprint, langid, near_dup, pii, rlz, suffix_repeats, token_files
 from tidemark.llm._common import only
+from tidemark.llm.oracle import ORACLE
 
 
 def vocabulary() -> str:
@@ -94,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
 }
-ORACLE: dict[str, str] = {}
+
+
+__all__ = ["ORACLE", "QUERIES"]

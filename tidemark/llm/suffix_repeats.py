@@ -5,8 +5,8 @@ gram. All distinct segments of a gram are brought together; their suffixes that
 window), the common prefixes of neighbours are taken, and a stack scan over them gives the intervals of the tree. An interval
 at least `WIDTH` deep is a repeat with all its occurrences; it is left-maximal where the bytes before its occurrences differ.
 
-A gram with more than `GROUP` distinct segments is dealt into chunks of that size, each with its own tree. Windows that no chunk
-finds repeated meet by their fingerprints, so none is lost.
+A gram with more than `GROUP` distinct segments is dealt into chunks of that size, each with its own tree. Each tree then names
+its distinct windows once by their fingerprints, which meet those of the other chunks, so no repeat is lost.
 
 Null, empty and short texts have no window. Repeated rows and equal texts are occurrences of each other, also under
 one doc_id. Matches never cross documents. Empty tables give no rows; extra columns are not read.
@@ -108,7 +108,7 @@ def tree(segments: list[bytes], before: list[int], width: int):
 
 
 def _trees(segments: DataFrame, width: int) -> DataFrame:
-    """Of each distinct segment, sorted by gram and chunk: its repeated windows, and those of a dealt gram that its chunk doesn't repeat."""
+    """Of each distinct segment, sorted by gram and chunk: its repeated windows, and of a dealt gram each distinct window once."""
 
     def flush(rows):
         pieces = [r[1] for r in rows]
@@ -118,10 +118,14 @@ def _trees(segments: DataFrame, width: int) -> DataFrame:
         for s, a, m in zip(seg.tolist(), at.tolist(), maximal.tolist()):
             repeats[s].append({"at": a, "group": int(name[s][a]), "maximal": m})
         left: list[list[dict]] = [[] for _ in rows]
+        told: set[int] = set()  # of a repeated window one occurrence speaks for this tree
         for i, r in enumerate(rows):
             if r[3]:
                 held = {x["at"] for x in repeats[i]}
-                left[i] = [{"at": a, "window": int(w)} for a, w in enumerate(name[i]) if a not in held]
+                for a, w in enumerate(name[i].tolist()):
+                    if a not in held or w not in told:
+                        left[i].append({"at": a, "window": w})
+                        told.add(w)
         kinds = [pa.list_(pa.struct([("at", pa.int32()), ("group", pa.int64()), ("maximal", pa.bool_())])), pa.list_(pa.struct([("at", pa.int32()), ("window", pa.int64())]))]
         return pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.binary()), pa.array(repeats, kinds[0]), pa.array(left, kinds[1])], names=["segment", "repeats", "open"])
 

@@ -163,7 +163,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     b = con.sql(base.ORACLE[name]).df()
     a = base.QUERIES[name](spark, SMALL).toPandas()[list(b.columns)]
-    plain = [sorted(tuple("~" if v is None or v != v else f"{v:.9g}" if isinstance(v, (int, float, np.number)) else str(v)[:10] if isinstance(v, (date, pd.Timestamp)) else str(v) for v in r) for r in d.astype(object).itertuples(index=False)) for d in (a, b)]
+    plain = [sorted(tuple("~" if pd.isna(v) else f"{v:.9g}" if isinstance(v, (int, float, np.number)) else str(v)[:10] if isinstance(v, (date, pd.Timestamp)) else str(v) for v in r) for r in d.astype(object).itertuples(index=False)) for d in (a, b)]
     assert plain[0] == plain[1] and (len(a) or name == "metrics_grouping_sets")
 
 

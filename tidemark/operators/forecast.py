@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.operators.score import LEVELS, Z
+from tidemark.operators.score import Z
 
 Forecaster = Callable[[list[np.ndarray], int], np.ndarray]
 
@@ -35,5 +35,3 @@ def forecast(windows: DataFrame, keys: list[str], context: str, horizon: int, ma
 
     return windows.select(*keys, context).mapInPandas(run, f"{schema}, horizon int, q array<double>")
 
-
-__all__ = ["LEVELS", "forecast", "gaussian"]

@@ -11,9 +11,9 @@ from tidemark.functions import scalars
 from tidemark.functions.scalars import ratio
 from tidemark.operators import calendar, quality, text
 from tidemark.operators.rolling import by
+from tidemark.plans.base import CTE, bars, query, r, rets, signals, spine, spine24, table
 from tidemark.plans.evaluation import CELL, predictions
-from tidemark.plans.base import CTE, FIRST, bars, query, r, rets, series, signals, spine, spine24, table
-from tidemark.plans.market import _FEATS, _calendar, _filed, feature_frame
+from tidemark.plans.market import _FEATS, _filed, feature_frame
 
 # selection -------------------------------------------------------------------------------------------------------------
 
@@ -342,5 +342,3 @@ def run_completeness(spark, d):
     n = predictions(spark, d).groupBy(*CELL, "model").agg(F.count("*").alias("n"))
     return n.groupBy(*CELL).agg((F.bool_and(F.col("n") == 1200) & (F.count("*") == 2)).alias("complete"))
 
-
-__all__ = ["FIRST", "_calendar", "series"]

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.scalars import pinball as loss
 from tidemark.functions.scalars import ratio
 from tidemark.operators import align, calendar, resample, rolling, score, windows
 from tidemark.operators.forecast import forecast
 from tidemark.operators.rolling import by
-from tidemark.plans.base import CTE, LAST, bars, query, r, rets, spine
-from tidemark.plans.market import _CAL, _calendar, _roll, feature_frame, features
+from tidemark.plans.base import CTE, bars, query, r, rets, spine
+from tidemark.plans.market import _calendar, feature_frame, features
 
 RUNGS, SEEDS, YEARS = (20, 60, 120), (0, 1, 2), (1997, 1998, 1999)
 HORIZON, STRIDE, MOST = 5, 5, 40
@@ -565,8 +566,6 @@ def importances(spark, d):
     s = swapped(spark, d).withColumn("before", _sigma(last(""))).withColumn("after", _sigma(last("new_")))
     t = targets(spark, d).where(F.col("fold") == YEAR).select("k", "origin", "actual", "forecast_origin")
     rows = s.select("k", "feature", "repeat", "window", "origin", "before", "after").join(t, ["k", "origin"])
-    from tidemark.functions.scalars import pinball as loss
-
     wq = lambda c: 2 * ratio(F.avg(loss(score.LEVELS, score.gaussian_quantiles(F.col(c)), F.col("actual"))), F.avg(F.abs("actual")))
     out = rows.groupBy("k", "feature", "repeat", "window").agg(F.min("forecast_origin").alias("forecast_origin"), wq("before").alias("baseline_wql"), wq("after").alias("permuted_wql"))
     return out.withColumn("delta", F.col("permuted_wql") - F.col("baseline_wql"))
@@ -632,5 +631,3 @@ def forecast_udf(spark, d):
     q = forecast(c, ["k", "fold", "window"], "y_context", HORIZON)
     return q.select("k", "fold", "window", "horizon", r(score.level("q", 0.1), "q10"), r(score.level("q", 0.9), "q90"))
 
-
-__all__ = ["LAST", "_CAL", "_roll"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import FEDERAL, ratio
 from tidemark.operators import align, calendar, rolling

@@ -25,8 +25,9 @@ PASSAGE = 5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; a missing label is filled in."""
-    named = langid.identify(docs, langid.fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # whatever its columns are named
+    named = langid.identify(rows, langid.fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
+    return named.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

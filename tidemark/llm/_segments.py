@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import as_bytes, byte_values, mix, stored, window_hash, word_hashes
+from tidemark.llm._common import as_bytes, byte_values, stored, window_hash, word_hashes
 
 _BASE = "doc_id long, text_key binary, n_units long, n_bytes long, sha string, grams array<long>, starts array<int>"
 
@@ -114,5 +114,3 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     np.add.at(edge, starts + width, -1)
     return np.cumsum(edge[:n]) > 0
 
-
-__all__ = ["Units", "candidates", "chosen", "covered", "mix", "scan", "text_key", "with_first"]

@@ -5,7 +5,8 @@ labelled documents, all of them up to `FIT_DOCS` and else a share of them chosen
 number of languages. Prediction covers every whole text.
 
 Null text, text without a letter and a model without labels give `und`, score 0 and no spans. Repeated rows are answered
-each; ties go to the language first in order. An empty table gives no rows; extra columns stay.
+each; ties go to the language first in order. An empty table gives no rows; extra
+columns stay, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled documents that the model is fit on at most (as an expectation).
 FIT_DOCS = 50_000
@@ -169,7 +171,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     held = spark.sparkContext.broadcast(model)
     names = ("lang_pred", "score", "lang_spans")
     kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>"])
+    added = T.StructType.fromDDL("lang_pred string, score double, lang_spans array<struct<start:int,end:int,lang:string>>")
+    schema = T.StructType([*kept, *added.fields])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(it):

@@ -30,7 +30,7 @@ DEPTH = 5
 BLOCK = 32 << 20
 #: A byte that UTF-8 never has: before a text's beginning, and its end.
 END = 0xFF
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 _WORD_END = np.uint64(0xE7D)
 _SENT = "block int, kind int, part int, keys binary, counts binary"
 _TOP = "c1 int, node int, n0 double, n1 double, s double"

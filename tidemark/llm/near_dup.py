@@ -7,8 +7,8 @@ threshold falls below `MISS`; the survivors are verified on their full sets.
 
 No group is expanded into all its pairs. In each bucket the members are first compared with one leader; connected
 components of the confirmed links follow; then only members of different components in the same bucket are left, minus the
-leader, which has met them all. After `STARS` such rounds the pairs of still different components are compared outright, so
-that no link between components is lost.
+leader, which has met them all. After a few rounds of ever more leaders those who are still apart are compared outright,
+each pair once, so that no link between components is lost.
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle has its whole word
 sequence as one. A null doc_id stands alone (null component). Rows with equal doc_ids count as one document with one row
@@ -31,7 +31,8 @@ from tidemark.llm._common import as_bytes, mix, reliable, stored, window_hash, w
 BANDS, ROWS = 32, 4
 #: Hashes compared at a time, and the probability of missing a pair that each batch may add.
 BATCH, MISS = 16, 1e-6
-STARS = 2
+#: Leaders of a bucket in each round; who is apart after these rounds is compared outright.
+LEADERS = (1, 4, 16)
 _SLOPE = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
@@ -178,6 +179,13 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Rows (band, node, n, weight, comp) of the bands that hold more than one component, ranked in their band, the heaviest node first."""
+    apart = reliable(rows.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"))
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "node"))
+    return stored(rows.join(apart, "band").withColumn("rank", place))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, class_id (least doc_id with this set), component_id, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -185,10 +193,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = reliable(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
     nodes = stored(full.join(classes, ["k1", "k2"]).where("doc_id = class_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["node"]))
-    in_band = nodes.select("node", "n", F.col("node").alias("comp"), F.explode("bands").alias("band"))
-    met = in_band.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "n", "comp")).alias("lead")).where("members > 1").drop("members")
-    buckets = stored(in_band.join(met, "band"))
-    sets = _sets(rows, buckets.select("node").distinct(), width)
+    in_band = nodes.select("node", "n", F.explode("bands").alias("band"))
+    met = in_band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(in_band.join(met, "band"))
+    # who shares bands with many stands in the middle of a group, and leads its buckets
+    weights = reliable(shared.groupBy("node").agg(F.sum("members").alias("weight")))
+    rows_left = _ranked(shared.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("comp")))
+    sets = _sets(rows, weights.select("node"), width)
     edges, labels, tried = None, None, None
 
     def link(pairs: DataFrame) -> None:
@@ -198,27 +209,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             edges = new if edges is None else reliable(edges.unionByName(new))
             labels = components(edges)
 
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            pairs = buckets.where("comp <> lead.comp").where(_alike("n", "lead.n", percent)).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-        else:
-            left, right = (buckets.select("band", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-            pairs = left.join(right, "band").where("a > b and comp_a <> comp_b").where(_alike("n_a", "n_b", percent)).select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    def compare(pairs: DataFrame) -> None:
+        nonlocal tried
+        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
         alive = reliable(_survivors(_with_signatures(pairs, nodes), percent).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("matches"), "b"))))
-        tried = alive.select("a", "b") if tried is None else tried.unionByName(alive.select("a", "b"))
+        tried = alive.select("a", "b") if tried is None else reliable(tried.unionByName(alive.select("a", "b")))
         link(alive.where("nth = 1").select("a", "b"))  # a member's likeliest leader first
         link(_apart(alive.where("nth > 1").select("a", "b"), labels))
-        if turn == STARS:
-            break
-        # each leader has met its bucket; the others go on where they are apart
-        left = buckets.where("node <> lead.node").select("band", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = left.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct("node", "n", "comp")).alias("lead")).where("c1 <> c2").drop("c1", "c2")
-        buckets = stored(left.join(open_, "band"))
-        if buckets.isEmpty():
-            break
+
+    for leaders in LEADERS:
+        lead = rows_left.where(F.col("rank") <= leaders).select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("rank").alias("rank_b"))
+        met = rows_left.join(lead, "band").where("rank > rank_b and comp <> comp_b").where(_alike("n", "n_b", percent))
+        compare(met.select(F.col("node").alias("a"), "b"))
+        # the leaders have met their buckets; the others go on where they are apart
+        left = rows_left.where(F.col("rank") > leaders).drop("rank", "comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows_left = _ranked(left)
+    # who is left: each pair of different components once, in the first band that both have
+    held = rows_left.select("band", "node", "n", "comp").join(nodes.select("node", "bands"), "node")
+    one, two = (held.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "bands"))) for x in "ab")
+    first = F.expr("band = element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), z -> z is not null), 1)")
+    rest = one.join(two, "band").where("node_a > node_b and comp_a <> comp_b").where(_alike("n_a", "n_b", percent)).where(first)
+    compare(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     out = base.join(classes, ["k1", "k2"], "left").withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))
     out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("comp", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,10 +46,16 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as Parquet in a new shared folder: for wide rows, which a checkpoint would keep uncompressed."""
-    path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as Parquet in a new shared folder: for wide rows, which a checkpoint would keep uncompressed.
+
+    What was shuffled for it is garbage now; collecting that at once lets Spark's cleaner take the files off the disks.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table"
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -129,17 +136,3 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def as_bytes(text: str | None, lower: bool = False) -> np.ndarray:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return np.frombuffer(raw.translate(LOWER) if lower else raw, np.uint8)
-
-
-def minimizers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions that hold the smallest gram hash of some run of `window` grams, the leftmost of equals: any two equal runs choose the same place."""
-    n = len(grams)
-    if n < window:
-        return np.zeros(0, np.int64)
-    key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    # sliding minimum by blocks: the lesser of a suffix of one block and a prefix of the next
-    rows = np.concatenate((key, np.full(-n % window, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, window)
-    left = np.minimum.accumulate(rows, axis=1).ravel()
-    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(right[: n - window + 1], left[window - 1 : n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at[np.concatenate(([True], at[1:] != at[:-1]))]

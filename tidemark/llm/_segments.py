@@ -84,14 +84,15 @@ def candidates(rows: DataFrame, base: DataFrame, within: bool) -> DataFrame:
     """doc_id, text_key, text, starts: documents, one for each text, with those segments whose gram occurs in another text (or, `within`, elsewhere in the same one)."""
     each = base.where("doc_id = first_id").select("doc_id", "text_key", F.explode(F.arrays_zip("grams", "starts")).alias("s")).select("doc_id", "text_key", F.col("s.grams").alias("gram"), F.col("s.starts").alias("start"))
     met = each.groupBy("gram").agg(F.min("text_key").alias("k1"), F.max("text_key").alias("k2"), F.min("start").alias("s1"), F.max("start").alias("s2"))
-    met = met.where("k1 <> k2 or s1 <> s2" if within else "k1 <> k2").select("gram")
+    # written out, so that the join below stands alone and Spark can split a gram that many texts hold
+    met = stored(met.where("k1 <> k2 or s1 <> s2" if within else "k1 <> k2").select("gram"))
     meant = each.join(met, "gram").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
     return stored(rows.join(meant, "doc_id").select("doc_id", "text_key", "text", "starts"))
 
 
 def with_first(base: DataFrame) -> DataFrame:
     """base with first_id (the least doc_id of this text) and copies (rows with this text)."""
-    firsts = base.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    firsts = stored(base.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     return base.join(firsts, "text_key")
 
 

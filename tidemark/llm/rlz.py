@@ -81,7 +81,7 @@ def _parsed(cand: DataFrame, found: DataFrame, width: int, texts: bool) -> DataF
 def factorise(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256, factors (start, end, source in words) and, if `texts`, the kept words of those that lose any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    base = stored(with_first(scan(rows, True, gram, width)))
+    base = stored(with_first(stored(scan(rows, True, gram, width))))
     cand = candidates(rows, base, within=False)
     blocks = stored(_blocks(cand, width, gram))
     held = blocks.groupBy("block").agg(F.min("doc_id").alias("first_doc"), F.first("windows").alias("windows"))

@@ -169,7 +169,7 @@ def _kept(cand: DataFrame, found: DataFrame, width: int, texts: bool) -> DataFra
 
 def _found(docs: DataFrame, width: int, gram: int):
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    base = stored(with_first(scan(rows, False, gram, width)))
+    base = stored(with_first(stored(scan(rows, False, gram, width))))
     cand = candidates(rows, base, within=True)
     seen = stored(_occurrences(cand, width, gram))
     distinct = stored(seen.groupBy("segment").agg(F.count("*").alias("times"), F.first("gram").alias("gram"), F.first("bytes").alias("bytes"), F.min("before").alias("b1"), F.max("before").alias("b2")))

@@ -10,8 +10,10 @@ doc_ids first. An empty table makes no sequences. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from tidemark.llm._common import only, reliable, shared_dir
 
 #: Ids of a sequence, sequences of a batch.
 WIDTH, ROWS = 2048, 256
-CACHE = 400_000
+CACHE = 800_000
+#: Marks that end a run of letters and never begin a contraction.
+_MARKS = ".,;:!?*%$&#|()[]{}<>/=+-_~^@\""
 _PARTS = "part int, path string, n_docs long, n_tokens long"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -35,18 +39,55 @@ class _Ids:
     """Ids of texts by the tokenizers library, as little-endian bytes; units met before come from a bounded cache."""
 
     def __init__(self, path: str) -> None:
+        # one task has one core: the library's own threads only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        size = max(self.tokenizer.get_vocab(True).values()) + 1
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        vocab = self.tokenizer.get_vocab(True)
+        size = max(vocab.values()) + 1
+        self.opens = np.zeros(size, bool)  # tokens that begin with a blank, in the vocabulary's alphabet
+        self.opens[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
+        self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words) -> None:
+        """Puts units into the cache. Letters followed by marks are two pre-tokens, so such a unit is its letters' ids and its marks'."""
+        split = []
+        whole = {}
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and stem.isalpha() and (stem.isascii() or max(stem) < "\u0180"):
+                split.append((w, stem, w[len(stem) :]))
+                if stem not in self.known:
+                    whole[stem] = None
+            else:
+                whole[w] = None
+        plain = [w for w in whole if w.isalpha() and (w.isascii() or max(w) < "\u0180")]
+        other = list(whole.keys() - set(plain))
+        for at in range(0, len(plain), 4096):
+            # runs of letters, each after a blank: the blank begins a token, which tells the words of one encoding apart
+            part = plain[at : at + 4096]
+            ids = np.frombuffer(self._fresh([" " + " ".join(part)])[0], self.kind)
+            cut = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.kind.itemsize).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:z] for a, z in zip(cut, cut[1:]))))
+        self.known.update(zip(other, self._fresh([" " + w for w in other])))
+        for w, stem, tail in split:
+            ids = self.tails.get(tail)
+            if ids is None:
+                if len(self.tails) > CACHE:
+                    self.tails.clear()
+                ids = self.tails[tail] = self._fresh([tail])[0]
+            self.known[w] = self.known[stem] + ids
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
@@ -55,15 +96,13 @@ class _Ids:
         for block in blocks(text):
             first, *rest = units(block)
             if first:
-                out += self._fresh([first])
+                out.append(self.heads.get(first) or self.heads.setdefault(first, self._fresh([first])[0]) if len(first) < 32 and len(self.heads) < CACHE else self._fresh([first])[0])
             found = list(map(self.known.get, rest))
             if None in found:
                 if len(self.known) > CACHE:
                     self.known.clear()
-                new = list(dict.fromkeys(w for w, x in zip(rest, found) if x is None))
-                made = dict(zip(new, self._fresh([" " + w for w in new])))
-                self.known.update((w, x) for w, x in made.items() if len(w) < 64)
-                found = [made[w] if x is None else x for w, x in zip(rest, found)]
+                self._learn(dict.fromkeys(w for w, x in zip(rest, found) if x is None))
+                found = [self.known[w] if x is None else x for w, x in zip(rest, found)]
             out += found
         return b"".join(out)
 

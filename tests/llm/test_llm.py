@@ -205,6 +205,58 @@ def test_repeats(docs, rows, empty, monkeypatch):
     assert suffix_repeats.remove_repeats(empty).count() == 0
 
 
+def odd_ids():
+    """Texts under repeated and null ids, some of them copies, in rows of different lengths."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("aeiorstnl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    shared, other = prose(70), prose(60)
+    data = [(1, f"{prose(40)} {shared}"), (2, f"{prose(300)} {shared} {prose(5)}"), (2, prose(9)), (2, f"{shared} {prose(80)}"), (None, f"{prose(10)} {other}"), (None, f"{other} {prose(30)}"), (None, None), (3, f"x {prose(120)} {shared}")]
+    return data + [data[3], data[4], (2, None)]
+
+
+def test_rlz_odd_ids(spark):
+    data = odd_ids()
+    first, want = {}, Counter()
+    for d, t in sorted((x for x in data if x[0]), key=lambda x: x[0]):
+        w = WORD.findall(t or "")
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    for d, t in data:
+        w = WORD.findall(t or "")
+        out = [False] * len(w)
+        for i in range(len(w) - 49):
+            if d and first[tuple(w[i : i + 50])] < d:
+                out[i : i + 50] = [True] * 50
+        want[d, len(w), sum(out), sha(" ".join(x for x, o in zip(w, out) if not o))] += 1
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = rlz.factorise(d).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    assert all(len(r.factors) == (r.n_removed > 0) for r in got)
+
+
+@pytest.mark.parametrize("group", [2048, 2])
+def test_repeats_odd_ids(spark, monkeypatch, group):
+    data = odd_ids()
+    raw = [(d, (t or "").encode()) for d, t in data]
+    seen, want = Counter(b[i : i + 200] for _, b in raw for i in range(len(b) - 199)), Counter()
+    for d, b in raw:
+        out = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            out[i : i + 200] |= seen[b[i : i + 200]] > 1
+        want[d, len(b), int(out.sum()), sha(np.frombuffer(b, np.uint8)[~out].tobytes())] += 1
+    monkeypatch.setattr(suffix_repeats, "GROUP", group)
+    got = suffix_repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_decontamination_odd_ids(spark):
+    data = odd_ids()
+    bench = [(str(k), " ".join(t.split()[:12])) for k, (_, t) in enumerate(data) if t]
+    d, b = spark.createDataFrame(data, "doc_id long, text string").repartition(5), spark.createDataFrame(bench, "item_id string, text string")
+    one, many = (Counter((r.doc_id, r.n_words, tuple(r["items"]), tuple((s.start, s.end) for s in r.spans)) for r in decontam.contamination(d, b, item_bytes=size).collect()) for size in (decontam.ITEM_BYTES, 700))
+    assert one == many and one.total() == len(data)
+
+
 def test_interval_tree():
     assert sorted(suffix_repeats.intervals([0, 3, 5, 5, 2, 0, 4], 2)) == [(0, 3, 3), (0, 4, 2), (1, 3, 5), (5, 6, 4)]
 

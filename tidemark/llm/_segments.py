@@ -81,13 +81,24 @@ def scan(rows: DataFrame, words: bool, gram: int, width: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, base: DataFrame, within: bool) -> DataFrame:
-    """doc_id, text_key, text, starts: documents, one for each text, with those segments whose gram occurs in another text (or, `within`, elsewhere in the same one)."""
-    each = base.where("doc_id = first_id").select("doc_id", "text_key", F.explode(F.arrays_zip("grams", "starts")).alias("s")).select("doc_id", "text_key", F.col("s.grams").alias("gram"), F.col("s.starts").alias("start"))
+    """doc_id, text_key, text, starts: documents, the first of each text, with those segments whose gram occurs in another text (or, `within`, elsewhere in the same one).
+
+    A text is known by its key, as a doc_id may be null or stand for several texts. Texts without any doc_id only count `within`.
+    """
+    each = base.where("doc_id <=> first_id" if within else "doc_id = first_id").select("doc_id", "text_key", F.explode(F.arrays_zip("grams", "starts")).alias("s")).select("doc_id", "text_key", F.col("s.grams").alias("gram"), F.col("s.starts").alias("start"))
     met = each.groupBy("gram").agg(F.min("text_key").alias("k1"), F.max("text_key").alias("k2"), F.min("start").alias("s1"), F.max("start").alias("s2"))
     # written out, so that the join below stands alone and Spark can split a gram that many texts hold
     met = stored(met.where("k1 <> k2 or s1 <> s2" if within else "k1 <> k2").select("gram"))
     meant = each.join(met, "gram").groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
-    return stored(rows.join(meant, "doc_id").select("doc_id", "text_key", "text", "starts"))
+    keyed = rows.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text_key"), "text")
+    same = keyed["doc_id"].eqNullSafe(meant["doc_id"]) & (keyed["text_key"] == meant["text_key"])
+    return stored(keyed.join(meant, same).select(keyed["doc_id"], keyed["text_key"], "text", "starts"))
+
+
+def with_parts(base: DataFrame, parts: DataFrame) -> DataFrame:
+    """base with the columns of `parts` (a row for each first document of a text, by doc_id and text_key), null where there are none."""
+    found = parts.withColumnsRenamed({"doc_id": "__d", "text_key": "__k"})
+    return base.join(found, base["doc_id"].eqNullSafe(found["__d"]) & (base["text_key"] == found["__k"]), "left").drop("__d", "__k")
 
 
 def with_first(base: DataFrame) -> DataFrame:

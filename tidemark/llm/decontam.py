@@ -24,7 +24,7 @@ ITEM_BYTES = 16 << 20
 WINDOW = 10
 #: Lowers A-Z; every other ASCII character that isn't a letter or digit becomes a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SCHEMA = "doc_id long, n_words long, spans array<struct<start:int,end:int,char_start:int,char_end:int>>, items array<string>"
+_SCHEMA = "n_words long, spans array<struct<start:int,end:int,char_start:int,char_end:int>>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -81,6 +81,9 @@ def _bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(docs: DataFrame, items, window: int) -> DataFrame:
+    """docs (text, and columns that say which row it is) with the hits in place of the text."""
+    keys = [f for f in docs.schema.fields if f.name != "text"]
+    names = [f.name for f in keys]
     made: dict[int, _Automaton] = {}
 
     def run(it):
@@ -89,7 +92,7 @@ def _scan(docs: DataFrame, items, window: int) -> DataFrame:
         machine = made[0]
         for batch in it:
             n_words, spans, named = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 found = words(text)
                 n_words.append(len(found))
                 places, hit = machine.scan(found)
@@ -99,9 +102,9 @@ def _scan(docs: DataFrame, items, window: int) -> DataFrame:
                 spans.append(places)
                 named.append(sorted({machine.items[k] for k in hit}))
             kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "char_start", "char_end")]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(named, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(named, pa.list_(pa.string()))], names=[*names, "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keys), _SCHEMA]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -114,11 +117,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     if n == 1:
         return _scan(docs, spark.sparkContext.broadcast([tuple(r) for r in items.collect()]), window)
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    # a doc_id may be null or stand for several texts: rows are known by their text, too, and equal rows are counted
+    rows = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     out = None
     for k in range(n):
         held = spark.sparkContext.broadcast([(r[0], r[1]) for r in dealt.where(F.col("block") == k).collect()])
-        out = _scan(docs, held, window) if out is None else out.unionByName(_scan(docs, held, window))
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", _merged(F.col("spans")))
+        found = _scan(rows, held, window).groupBy("doc_id", "text_key").agg(F.count("*").cast("int").alias("copies"), *(F.first(c).alias(c) for c in ("n_words", "spans", "items")))
+        out = found if out is None else out.unionByName(found)
+    whole = out.groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", _merged(F.col("spans")))
+    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "spans", "items")
 
 
 def _merged(spans):

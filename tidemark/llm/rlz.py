@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import stored, window_hash
-from tidemark.llm._segments import Units, candidates, chosen, covered, scan, with_first
+from tidemark.llm._segments import Units, candidates, chosen, covered, scan, with_first, with_parts
 
 WIDTH, GRAM = 50, 10
 _BLOCKS = "doc_id long, text_key binary, start int, n int, block binary, windows array<long>"
@@ -94,12 +94,12 @@ def factorise(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts: bool
     whole = F.array(F.struct(F.col("start").alias("start"), F.col("n").alias("n"), F.col("first_doc").alias("source")))
     some = F.transform(F.filter("earlier", lambda e: e["source"] < F.col("doc_id")), lambda e: F.struct((F.col("start") + e["k"]).alias("start"), F.lit(1).alias("n"), e["source"].alias("source")))
     hits = F.when(F.col("first_doc") < F.col("doc_id"), whole).otherwise(F.coalesce(some, F.array().cast("array<struct<start:int,n:int,source:bigint>>")))
-    found = met.select("doc_id", "text_key", F.explode(hits).alias("hit")).groupBy("doc_id", "text_key").agg(F.collect_list("hit").alias("hits"))
+    found = met.select("doc_id", "text_key", F.explode(hits).alias("hit")).groupBy("doc_id", "text_key").agg(F.collect_set("hit").alias("hits"))
     parsed = _parsed(cand, found, width, texts).dropDuplicates(["doc_id", "text_key"])
     copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_units") >= width)
     source = F.array(F.struct(F.lit(0).alias("start"), F.col("n_units").cast("int").alias("end"), F.col("first_id").alias("source")))
     none = F.array().cast("array<struct<start:int,end:int,source:bigint>>")
-    out = base.drop("grams", "starts").join(parsed, ["doc_id", "text_key"], "left")
+    out = with_parts(base.drop("grams", "starts"), parsed)
     return out.select(
         "doc_id",
         F.col("n_units").alias("n_words"),

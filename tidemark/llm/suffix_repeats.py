@@ -9,7 +9,7 @@ A gram with more than `GROUP` distinct segments is dealt into chunks of that siz
 its distinct windows once by their fingerprints, which meet those of the other chunks, so no repeat is lost.
 
 Null, empty and short texts have no window. Repeated rows and equal texts are occurrences of each other, also under
-one doc_id. Matches never cross documents. Empty tables give no rows; extra columns are not read.
+one doc_id or a null one. Matches never cross documents. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import byte_values, stored, window_hash
-from tidemark.llm._segments import Units, candidates, chosen, covered, scan, with_first
+from tidemark.llm._segments import Units, candidates, chosen, covered, scan, with_first, with_parts
 
 WIDTH, GRAM = 200, 40
 #: Distinct segments of one gram that share a tree, and bytes of segments whose trees are built at once.
@@ -164,7 +164,7 @@ def _kept(cand: DataFrame, found: DataFrame, width: int, texts: bool) -> DataFra
                     kept.append(left if texts else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], names=["doc_id", "text_key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return cand.select("doc_id", "text_key", "text").join(found, ["doc_id", "text_key"]).mapInArrow(run, _HELD)
+    return cand.select("doc_id", "text_key", "text").join(found, "text_key").select("doc_id", "text_key", "text", "hits").mapInArrow(run, _HELD)
 
 
 def _found(docs: DataFrame, width: int, gram: int):
@@ -202,10 +202,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, texts:
     span = "array<struct<start:int,n:int>>"
     some = F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(1).alias("n")))
     hits = F.when(F.col("times") > 1, F.array(F.struct("start", "n"))).otherwise(some).cast(span)
-    found = seen.select("doc_id", "text_key", "start", "n", "segment").join(known, "segment").select("doc_id", "text_key", F.explode(hits).alias("hit")).groupBy("doc_id", "text_key").agg(F.collect_list("hit").alias("hits"))
+    found = seen.select("doc_id", "text_key", "start", "n", "segment").join(known, "segment").select("text_key", F.explode(hits).alias("hit")).groupBy("text_key").agg(F.collect_list("hit").alias("hits"))
     kept = _kept(cand, found, width, texts).dropDuplicates(["doc_id", "text_key"])
     copy = (F.col("copies") > 1) & (F.col("n_units") >= width)
-    out = base.drop("grams", "starts").join(kept, ["doc_id", "text_key"], "left")
+    out = with_parts(base.drop("grams", "starts"), kept)
     return out.select(
         "doc_id",
         F.col("n_units").alias("n_bytes"),

@@ -98,6 +98,18 @@ def test_pii_terms(spark):
     assert clean[100].text == rest[0][1] and clean[500].text is None
 
 
+def test_pii_terms_everywhere(spark):
+    """A telling term goes wherever a document that holds the entity has it, and stays in the others."""
+    far = " and so on it went for a while" * 4
+    near = [(i, f"case {i} {'word' * i} Jonquil wrote to keeper@box.org{far}. JONQUIL left; Jonquils, jonquil") for i in range(1, 6)]
+    apart = [(None, f"Jonquil came{far} to keeper@box.org"), (7, f"only Jonquil{far}")]
+    rest = [(100 + i, f"in this case we wrote to someone about it{far}") for i in range(60)]
+    got = by_id(pii.findings(spark.createDataFrame([*near, *apart, *rest], "doc_id long, text string")))
+    for i, t in near:
+        assert [t[x.start : x.end] for x in got[i].terms] == ["Jonquil", "JONQUIL", "jonquil"]
+    assert [(x.start, x.end) for x in got[None].terms] == [(0, 7)] and not got[7].terms
+
+
 # near duplicates
 
 

@@ -1,7 +1,7 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
 Entities are the values that the base patterns find (e-mail, IP address, card and phone number). A term is a word near such a
-value. Over the whole corpus, a term's disclosure of an entity is its pointwise mutual information with the entity as a share
+value, and what holds of it there holds of every place of that word in a document with the value. Over the whole corpus, a term's disclosure of an entity is its pointwise mutual information with the entity as a share
 of the entity's own information:
 
     disclosure = ln(N n_et / (n_e n_t)) / ln(N / n_e)
@@ -38,9 +38,9 @@ _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 _MENTIONS = "array<struct<entity:string,term:string,start:int,end:int>>"
 
 
-def _matches(text: Column, pattern: str, kind: int) -> Column:
+def _matches(text: Column, pattern: str | Column, kind: int) -> Column:
     """Leftmost non-overlapping matches as array<struct<kind,start,end,value>>: what stands between them gives their places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
 
@@ -118,6 +118,21 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
+def _everywhere(found: DataFrame, telling: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, end, disclosure: all places of each telling term in the documents that hold its entity, outside base spans."""
+    holds = found.where(F.size("spans") > 0)
+    words = holds.select("doc_id", "text_key", F.array_distinct(F.transform("spans", _entity)).alias("entities"), F.explode(_terms(F.col("held"))).alias("term"))
+    words = words.join(telling.select("term").distinct(), "term", "left_semi").select("doc_id", "text_key", "term", F.explode("entities").alias("entity"))
+    told = words.join(telling, ["entity", "term"]).groupBy("doc_id", "text_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = told.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
+    same = holds["doc_id"].eqNullSafe(told["d"]) & (holds["text_key"] == told["k"])
+    each = holds.join(told, same).select("doc_id", "text_key", "spans", "held", F.explode("told").alias("t"))
+    # a term is letters only, so that it stands for itself in a pattern
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("t.term"), F.lit(r"(?!\p{L})"))
+    places = F.filter(_matches(F.col("held"), pattern, 4), lambda p: ~F.exists("spans", lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"])))
+    return each.select("doc_id", "text_key", F.explode(places).alias("p"), "t.disclosure").select("doc_id", "text_key", "p.start", "p.end", "disclosure")
+
+
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """entity, term, disclosure of all pairs that reach SUPPORT and GENERALISE. found: spans and mentions by document; texts: the documents' text."""
     n_docs = found.agg(F.count("*").alias("n_docs"))
@@ -135,10 +150,12 @@ def findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """One row a document: key, text_key, spans array<struct<kind,start,end,value>> (base), terms array<struct<start,end,disclosure>>."""
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     spans = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text", base_spans(F.col("text")).alias("spans"))
-    found = stored(spans.select("doc_id", "text_key", "spans", _mentions(F.col("text"), F.col("spans")).alias("mentions")))
-    telling = disclosures(found, rows)
+    held = F.when(F.size("spans") > 0, F.col("text")).alias("held")
+    found = stored(spans.select("doc_id", "text_key", "spans", held, _mentions(F.col("text"), F.col("spans")).alias("mentions")))
+    telling = stored(disclosures(found, rows))
     placed = found.where(F.size("mentions") > 0).select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*")
-    terms = placed.join(telling, ["entity", "term"]).groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    near = placed.join(telling, ["entity", "term"]).select("doc_id", "text_key", "start", "end", "disclosure")
+    terms = near.unionByName(_everywhere(found, telling)).groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = terms.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     same = found["doc_id"].eqNullSafe(terms["d"]) & (found["text_key"] == terms["k"])
     return found.join(terms, same, "left").select("doc_id", "text_key", "spans", F.coalesce("terms", F.lit([]).cast("array<struct<start:int,end:int,disclosure:double>>")).alias("terms"))

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -290,6 +291,39 @@ def test_language(spark, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_pieces(spark, monkeypatch):
+    """Words over the ends of pieces, and documents labelled alone, count as in one piece; a repeated row is answered twice."""
+    rng = random.Random(3)
+    words = {"en": "the of and with this that from have which".split(), "de": "der und nicht auch werden eine über für".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    train = spark.createDataFrame([(i, text(lang, 40), lang) for i in range(40) for lang in words], "doc_id long, text string, lang string").cache()
+    data = [(i, f"{text('en', 3 * i)} {text('de', i)} {'wort' * i} {text('en', i)}") for i in range(1, 40)]
+    data += [(40, text("de", 3000)), (40, text("de", 3000)), (41, data[3][1]), (41, data[3][1])]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    answers = lambda: sorted((r.doc_id, r.lang_pred, r.score, tuple((s.start, s.end, s.lang) for s in r.lang_spans)) for r in langid.identify(d, langid.fit(train)).collect())
+    one = answers()
+    monkeypatch.setattr(langid, "_PIECE", 7)
+    assert answers() == one and len(one) == len(data)
+    monkeypatch.setattr(langid, "ALONE", 0)
+    assert answers() == one
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(1)
+    for n_lang, n in ((2, 9), (3, 7), (300, 2)):
+        for _ in range(5):
+            s = (rng.random((n, n_lang)) * 30).round(2).astype(np.float32)
+            best = max(itertools.product(range(n_lang), repeat=n), key=lambda p: sum(s[t, x] for t, x in enumerate(p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:])))
+            assert langid._path_alone(s).tolist() == list(best) == langid._paths([s])[0].tolist()
+
+
+def test_language_held_out(spark):
+    """Held-out accuracy of the registered query on the given labels."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert got[0] > 0.97 and got[1] > 50
+
+
 # decontamination
 
 
@@ -311,7 +345,7 @@ def test_decontamination(spark, docs, rows, empty):
                         hit.update(range(j, j + len(q)))
                         items.add(name)
         want[d] = (len(w), len(hit), sorted(items))
-    for size in (decontam.ITEM_BYTES, 100):  # with 100, the items are dealt into blocks
+    for size in (decontam.ITEM_BYTES, 100):  # with 100, the items are dealt into blocks, and long ones into runs
         got = by_id(decontam.contamination(docs, b, item_bytes=size))
         assert {d: (r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) for d, r in got.items()} == want
     for d, t, _ in rows:
@@ -337,25 +371,28 @@ def test_ctw(docs, rows, empty, spark):
 
 def test_ctw_against_recursion(spark):
     """The mixture of one small text, node by node."""
-    texts = [(0, "abab abba"), (1, "abab"), (2, None)]
+    texts = [(0, "abab abba incomprehensibilities-incomprehensibilities"), (1, "abab comprehensibilities é\0\t x"), (2, None)]
     got = by_id(ctw.score(spark.createDataFrame(texts, "doc_id long, text string"), modulus=1, remainder=5))
     nodes = {}
+    leaf = lambda c: len(c) == ctw.DEPTH or len(c) >= ctw.LEAST and any(x in b" \t\n\x0b\x0c\r\xff" for x in c)
 
     def steps(t):
         b = bytes([0xFF]) * ctw.DEPTH + (t or "").encode() + bytes([0xFF])
         for i in range(ctw.DEPTH, len(b)):
+            path = b[i - ctw.DEPTH : i][::-1]
+            path = next(path[:d] for d in range(ctw.DEPTH + 1) if leaf(path[:d]))
             for k in range(8):
-                yield b[i - ctw.DEPTH : i][::-1], (1 << k) + (b[i] >> (8 - k)), (b[i] >> (7 - k)) & 1
+                yield path, (1 << k) + (b[i] >> (8 - k)), (b[i] >> (7 - k)) & 1
 
     for _, t in texts:
         for ctx, node, bit in steps(t):
-            for d in range(ctw.DEPTH + 1):
+            for d in range(len(ctx) + 1):
                 nodes.setdefault((ctx[:d], node), [0, 0])[bit] += 1
     kt = lambda n: float(ctw.log_kt(np.array(float(n[0])), np.array(float(n[1]))))
 
     def weighted(ctx, node):
         own = kt(nodes[ctx, node])
-        if len(ctx) == ctw.DEPTH:
+        if leaf(ctx):
             return own
         below = sum(weighted(c, n) for c, n in nodes if n == node and len(c) == len(ctx) + 1 and c[: len(ctx)] == ctx)
         return np.logaddexp(own, below) - np.log(2)
@@ -364,7 +401,7 @@ def test_ctw_against_recursion(spark):
         total = 0.0
         for ctx, node, bit in steps(t):
             p = None
-            for k in range(ctw.DEPTH, -1, -1):
+            for k in range(len(ctx), -1, -1):
                 n = nodes[ctx[:k], node]
                 own = (n[bit] + 0.5) / (sum(n) + 1)
                 w = np.exp(kt(n) - np.log(2) - weighted(ctx[:k], node))

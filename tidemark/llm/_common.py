@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,41 +22,52 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the shared spark.checkpoint.dir, as a URI; a temporary one only where the setting is absent."""
-    root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names, as a URI."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = os.environ.setdefault("TIDEMARK_TEST_CHECKPOINTS", tempfile.mkdtemp(prefix="tidemark-"))
-        root = root if "://" in root else f"file://{root}"
-    return root
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root if "://" in root else f"file://{root}").rstrip("/")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder and read from there by all that follows."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the shared spark.checkpoint.dir, as a URI."""
+    return f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as Parquet in a new shared folder: for wide rows, which a checkpoint would keep uncompressed.
+@contextmanager
+def _shuffles_end(spark: SparkSession):
+    """What a job shuffles within is taken off the disks when it ends: its result is stored, and nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
 
-    What was shuffled for it is garbage now; collecting that at once lets Spark's cleaner take the files off the disks.
-    """
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet to a new shared folder and read from there by all that follows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Takes tables that `stored` made off the shared folder, once nothing reads them any more."""
+    for df in tables:
+        for uri in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+            with suppress(OSError, ValueError, NotImplementedError):  # a store that only Spark reaches keeps them until the folder goes
+                store, path = fs.FileSystem.from_uri(uri)
+                store.delete_dir(path)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with what an operator adds."""
     return df.select(*(F.col(f"`{n}`") for n in names))

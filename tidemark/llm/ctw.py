@@ -1,15 +1,16 @@
 """Language-model scoring by context-tree weighting over binary-decomposed byte contexts.
 
-A byte is eight binary decisions. Each decision has a context tree over the `DEPTH` bytes before; every node holds a
+A byte is eight binary decisions. Each decision has a context tree over the bytes before; every node holds a
 Krichevsky-Trofimov estimate of its counts, and a node's weighted probability is half its own estimate and half the product of
 its children's. With the counts of the training texts, the weights give the predictive mixture over all depths, and the
-code length of any text. Texts begin in a context of END bytes and end with one.
+code length of any text. Texts begin in a context of END bytes and end with one. A path of the tree goes `LEAST` bytes back
+at least, then on to the last white space, and `DEPTH` bytes at most: where a leaf stands follows from the bytes of its path.
 
 Work is dealt twice. Blocks of documents (about `BLOCK` bytes each, by a hash of doc_id) send their distinct grams (a
 context and the byte after it) with their counts to partitions by the last two bytes of the context, as packed arrays.
 There every subtree below depth two is whole; the sums that reach the top are at most 65,280 rows. The partitions then
-answer each block with the log-probabilities of its grams, and the block scores its documents. All statistics cover every
-training text, and nothing but the top of the tree is held at one place.
+answer each block with the log-probabilities of its grams, in the order in which it sent them, and the block scores its
+documents. All statistics cover every training text, and nothing but the top of the tree is held at one place.
 
 Null text counts as empty; a null doc_id trains. Without training texts every estimate is even. Repeated rows are scored each.
 Empty tables give no rows; extra columns are not read.
@@ -20,21 +21,28 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import LOWER, mix, stored, word_hashes
+from tidemark.llm._common import LOWER, SPACE, dropped, mix, stored, word_hashes
 
-DEPTH = 5
-BLOCK = 32 << 20
+#: Bytes of a context: at least, and at most (with the byte after it, sixteen).
+LEAST, DEPTH = 8, 15
+BLOCK = 16 << 20
+#: Partitions of the tree at most: more than the blocks of a part would only make the packed arrays small.
+PARTS = 4096
 #: A byte that UTF-8 never has: before a text's beginning, and its end.
 END = 0xFF
 _CHUNK = 1 << 20
 _WORD_END = np.uint64(0xE7D)
-_SENT = "block int, kind int, part int, keys binary, counts binary"
+_STOP = SPACE.copy()
+_STOP[END] = True
+_CODEC = pa.Codec("zstd", compression_level=1)
+_SENT = "block int, kind int, part int, n int, keys binary, counts binary"
 _TOP = "c1 int, node int, n0 double, n1 double, s double"
-_ANSWER = "block int, kind int, keys binary, found binary"
+_ANSWER = "block int, kind int, part int, found binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
@@ -57,17 +65,33 @@ def held_out(doc_id: int | None, modulus: int, remainder: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % modulus == remainder
 
 
-def _gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For all bytes of the texts and their ends: the gram, most recent context byte first and the byte itself last; and where each text begins."""
+def depths(stop: np.ndarray) -> np.ndarray:
+    """Bytes of the context of each place, given the places of white space and ENDs: back to the last one, within LEAST and DEPTH."""
+    at = np.arange(len(stop))
+    last = np.maximum.accumulate(np.where(stop, at, -DEPTH))
+    return np.clip(at - np.concatenate(([-DEPTH], last[:-1])), LEAST, DEPTH)
+
+
+def _gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all bytes of the texts and their ends the gram as two integers: the context, most recent byte first, no bytes beyond its depth, and the byte itself last; and where each text begins."""
     head, end = bytes([END]) * DEPTH, bytes([END])
     b = np.frombuffer(b"".join(head + t + end for t in texts), np.uint8)
     size = np.array([len(t) + 1 for t in texts])
     first = np.cumsum(size) - size
     at = np.arange(size.sum()) + np.repeat(DEPTH * np.arange(1, len(texts) + 1), size)
-    key = b[at - 1].astype(np.uint64)
-    for j in range(2, DEPTH + 1):
-        key = (key << np.uint64(8)) | b[at - j]
-    return (key << np.uint64(8)) | b[at], first
+    depth = depths(_STOP[b])[at]
+    wide = b.astype(np.uint64)
+    high, low = np.zeros(len(at), np.uint64), wide[at]
+    for j in range(1, LEAST + 1):
+        high |= wide[at - j] << np.uint64(64 - 8 * j)
+    deep = np.arange(len(at))
+    for j in range(LEAST + 1, DEPTH + 1):
+        deep = deep[depth[deep] >= j]
+        if j <= 8:
+            high[deep] |= wide[at[deep] - j] << np.uint64(64 - 8 * j)
+        else:
+            low[deep] |= wide[at[deep] - j] << np.uint64(128 - 8 * j)
+    return high, low, first
 
 
 def _word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,52 +118,90 @@ def _chunks(table: pa.Table):
         yield ids, texts
 
 
-def _tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
-    k, n = k[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(n, first) if len(k) else n
+class _Counts:
+    """Distinct keys of pieces of text and their counts. A key is a hash and what it stands for."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, weight: int, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts one piece; which of its distinct keys each place holds, and their hashes."""
+        h = key[0] if len(key) == 1 else mix(key[0] ^ mix(key[1]))
+        codes, found = pd.factorize(h)
+        first = np.empty(len(found), np.int64)
+        first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
+        self.parts.append((found, np.bincount(codes, minlength=len(found)) * weight, *(k[first] for k in key if len(key) > 1)))
+        if len(self.parts) > 24:
+            self.parts = [self.whole()]
+        return codes.astype(np.int32), found
+
+    def whole(self) -> tuple[np.ndarray, ...]:
+        """Hashes, ascending, counts and what they stand for."""
+        h, n, *rest = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(h)
+        first = np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
+        return h[order][first], np.add.reduceat(n[order], first), *(x[order][first] for x in rest)
+
+
+def _dealt(parts: int, h: np.ndarray, high: np.ndarray | None = None, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which keys are sent, by partition and then by key; and where each partition's begin."""
+    order = np.arange(len(h)) if high is None else np.lexsort((low, high))
+    part = (mix(h if high is None else high >> np.uint64(48)) % np.uint64(parts)).astype(np.int16)[order]
+    by_part = np.argsort(part, kind="stable")
+    return order[by_part], np.searchsorted(part[by_part], np.arange(parts + 1))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays, byte by byte of their elements: sorted keys have long runs of equal leading bytes."""
+    planes = [np.ascontiguousarray(c.astype(c.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns]
+    return _CODEC.compress(b"".join(planes), asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    flat, at, out = np.frombuffer(_CODEC.decompress(raw, n * sum(sizes)), np.uint8), 0, []
+    for kind, size in zip(kinds, sizes):
+        planes = flat[at : at + n * size].reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind))
+        at += n * size
+    return out
+
+
+_KEYS = {0: ("u8", "u8"), 1: ("u8",)}
 
 
-def _counted(keys: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
-    s = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.diff(np.concatenate((first, [len(s)]))) * weight
+def _tallied(pieces, modulus: int, remainder: int, each=None) -> tuple[_Counts, _Counts]:
+    """Counts of the grams and words of pieces of documents. Held-out documents count nothing, but their keys are there."""
+    grams, words = _Counts(), _Counts()
+    for ids, texts in pieces:
+        if each is None:
+            for weight in (1, 0):
+                some = [t for i, t in zip(ids, texts) if held_out(i, modulus, remainder) != bool(weight)]
+                if some:
+                    high, low, _ = _gram_keys(some)
+                    grams.add(weight, high, low)
+                    words.add(weight, _word_keys(some)[0])
+        else:
+            high, low, first = _gram_keys(texts)
+            hashes, begin = _word_keys(texts)
+            each((ids, texts), (first, *grams.add(0, high, low)), (begin, len(hashes), *words.add(0, hashes)))
+    return grams, words
 
 
 def _send(parts: int, modulus: int, remainder: int):
     def run(key, table):
         block = key[0].as_py()
-        got: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
-        for ids, texts in _chunks(table):
-            train = [not held_out(i, modulus, remainder) for i in ids]
-            for weight in (1, 0):
-                some = [t for t, ok in zip(texts, train) if ok == bool(weight)]
-                for kind, make in ((0, _gram_keys), (1, _word_keys)):
-                    if some:
-                        k, n = _counted(make(some)[0], weight)
-                        got[kind][0].append(k)
-                        got[kind][1].append(n)
-            for kind in (0, 1):
-                if len(got[kind][0]) > 8:
-                    k, n = _tally(*got[kind])
-                    got[kind] = [k], [n]
-        rows = [[] for _ in range(5)]
-        for kind in (0, 1):
-            k, n = _tally(*got[kind])
-            part = (mix(k >> np.uint64(8 * (DEPTH - 1)) if kind == 0 else k) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            k, n = k[order], n[order].astype(np.int64)
-            for p in range(parts):
-                if ends[p] < ends[p + 1]:
-                    cut = slice(ends[p], ends[p + 1])
-                    for column, x in zip(rows, (block, kind, p, k[cut].tobytes(), n[cut].astype(np.uint32).tobytes())):
-                        column.append(x)
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(rows, kinds)], names=["block", "kind", "part", "keys", "counts"])
+        rows: list[list] = [[] for _ in range(6)]
+        for kind, counts in enumerate(_tallied(_chunks(table), modulus, remainder)):
+            h, n, *rest = counts.whole()
+            order, ends = _dealt(parts, h, *rest)
+            n, keys = n[order].astype(np.uint32), [k[order] for k in (rest or [h])]
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                cut = slice(ends[p], ends[p + 1])
+                for column, x in zip(rows, (block, kind, p, int(ends[p + 1] - ends[p]), _packed(*(k[cut] for k in keys)), _packed(n[cut]))):
+                    column.append(x)
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(rows, kinds)], names=["block", "kind", "part", "n", "keys", "counts"])
 
     return run
 
@@ -147,51 +209,72 @@ def _send(parts: int, modulus: int, remainder: int):
 class _Subtrees:
     """All context nodes from depth two down that one partition's grams reach."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys, self.counts = keys, counts.astype(np.float64)
-        self.sym = (keys & np.uint64(0xFF)).astype(np.int64)
-        self.context = []
-        for d in range(2, DEPTH + 1):
-            c = keys >> np.uint64(8 * (DEPTH - d + 1))
-            self.context.append(np.cumsum(np.concatenate(([0], c[1:] != c[:-1]))))
-        self.c1 = (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
+    def __init__(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> None:
+        self.counts = counts.astype(np.float64)
+        self.sym = (low & np.uint64(0xFF)).astype(np.int64)
+        self.c1 = (high >> np.uint64(56)).astype(np.int64)
+        depth = np.full(len(high), DEPTH)
+        for j in range(DEPTH - 1, 0, -1):
+            byte = high >> np.uint64(64 - 8 * j) if j <= 8 else low >> np.uint64(128 - 8 * j)
+            depth[_STOP[(byte & np.uint64(0xFF)).astype(np.int64)]] = max(j, LEAST)
+        self.levels = []  # from the deepest: the grams whose context goes so deep, their nodes, and which are leaves
+        for d in range(DEPTH, 1, -1):
+            of = np.flatnonzero(depth >= d)
+            if len(of):
+                x = high[of] >> np.uint64(max(0, 64 - 8 * d))
+                new = x[1:] != x[:-1]
+                if d > 8:
+                    y = low[of] >> np.uint64(128 - 8 * d)
+                    new |= y[1:] != y[:-1]
+                self.levels.append((of, np.concatenate(([0], np.cumsum(new))), depth[of] == d))
 
     def bit(self, level: int):
         """For one of the eight decisions: each gram's prediction at depth two, its node, its bit, and the sums (c1, node, n0, n1, log weighted) that go up."""
         node = (1 << level) + (self.sym >> (8 - level))
         bit = (self.sym >> (7 - level)) & 1
-        child_at = child_log = guess = None
-        for c in reversed(self.context):
-            name, first, of = np.unique((c << 8) | node, return_index=True, return_inverse=True)
-            n1 = np.bincount(of, self.counts * bit, len(name))
-            n0 = np.bincount(of, self.counts * (1 - bit), len(name))
+        ones, zeros = self.counts * bit, self.counts * (1 - bit)
+        guess = np.zeros(len(node))
+        child_at, child_log = np.zeros(0, np.int64), np.zeros(0)
+        for grams, place, leaf in self.levels:
+            name, first, of = np.unique((place << 8) | node[grams], return_index=True, return_inverse=True)
+            n1 = np.bincount(of, ones[grams], len(name))
+            n0 = np.bincount(of, zeros[grams], len(name))
             own = log_kt(n0, n1)
-            mine = np.where(bit == 1, n1[of], n0[of])
-            kt = (mine + 0.5) / (n0[of] + n1[of] + 1)
-            if guess is None:
-                guess, log = kt, own
-            else:
-                below = np.bincount(of[child_at], child_log, len(name))
-                log = np.logaddexp(own, below) - np.log(2)
-                w = np.exp(own - np.log(2) - log)[of]
-                guess = w * kt + (1 - w) * guess
-            child_at, child_log = first, log
+            below = np.bincount(of[np.searchsorted(grams, child_at)], child_log, len(name))
+            log = np.where(leaf[first], own, np.logaddexp(own, below) - np.log(2))
+            w = np.where(leaf[first], 1.0, np.exp(own - np.log(2) - log))[of]
+            kt = (np.where(bit[grams] == 1, n1[of], n0[of]) + 0.5) / (n0[of] + n1[of] + 1)
+            guess[grams] = w * kt + (1 - w) * guess[grams]
+            child_at, child_log = grams[first], log
         return guess, node, bit, (self.c1[child_at], node[child_at], n0, n1, child_log)
 
 
-def _packed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()]
-    return _tally(keys, counts)
+class _Part:
+    """The keys that blocks sent to one partition, each once, their counts, and where each block's keys stand among them."""
+
+    def __init__(self, kind: int, table: pa.Table) -> None:
+        got = [(_unpacked(k, n, *_KEYS[kind]), _unpacked(c, n, "u4")[0]) for k, c, n in zip(*(table.column(x).to_pylist() for x in ("keys", "counts", "n")))]
+        keys = [np.concatenate([k[i] for k, _ in got]) for i in range(len(_KEYS[kind]))]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), bool)
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        new[:1] = True
+        first = np.flatnonzero(new)
+        self.keys = [k[order][first] for k in keys]
+        self.counts = np.add.reduceat(np.concatenate([c for _, c in got])[order].astype(np.int64), first)
+        self.at = np.empty(len(order), np.int64)
+        self.at[order] = np.cumsum(new) - 1
+        self.sizes = [len(c) for _, c in got]
 
 
 def _sums(key, table):
     """What one partition sends to the top: sums by last byte and node; of words their number and total (c1 = -1)."""
-    keys, counts = _packed(table)
+    part = _Part(key[0].as_py(), table)
     if key[0].as_py() == 1:
-        rows = [[-1], [-1], [float((counts > 0).sum())], [float(counts.sum())], [0.0]]
+        rows = [[-1], [-1], [float((part.counts > 0).sum())], [float(part.counts.sum())], [0.0]]
     else:
-        trees, parts = _Subtrees(keys, counts), []
+        trees, parts = _Subtrees(*part.keys, part.counts), []
         for level in range(8):
             c1, node, n0, n1, log = trees.bit(level)[3]
             name, of = np.unique((c1 << 8) | node, return_inverse=True)
@@ -232,61 +315,55 @@ class Top:
 
 def _answers(held):
     def run(key, table):
-        keys, counts = _packed(table)
+        part = _Part(key[0].as_py(), table)
         if key[0].as_py() == 1:
-            found = counts.astype(np.float32)
+            found = part.counts.astype(np.float32)
         else:
-            trees, total = _Subtrees(keys, counts), np.zeros(len(keys))
+            trees, total = _Subtrees(*part.keys, part.counts), np.zeros(len(part.counts))
             for level in range(8):
                 guess, node, bit, _ = trees.bit(level)
                 total += np.log10(held.value.finish(guess, trees.c1, node, bit))
             found = total.astype(np.float32)
-        back = [found[np.searchsorted(keys, np.frombuffer(x, np.uint64))].tobytes() for x in table.column("keys").to_pylist()]
-        return pa.table([table.column("block"), table.column("kind"), table.column("keys"), pa.array(back, pa.binary())], names=["block", "kind", "keys", "found"])
+        back = np.split(found[part.at], np.cumsum(part.sizes)[:-1])
+        return pa.table([table.column("block"), table.column("kind"), table.column("part"), pa.array([x.tobytes() for x in back], pa.binary())], names=["block", "kind", "part", "found"])
 
     return run
 
 
-class _Lookup:
-    def __init__(self, table: pa.Table, kind: int) -> None:
-        rows = [i for i, k in enumerate(table.column("kind").to_pylist()) if k == kind]
-        keys = np.concatenate([np.frombuffer(table.column("keys")[i].as_py(), np.uint64) for i in rows])
-        found = np.concatenate([np.frombuffer(table.column("found")[i].as_py(), np.float32) for i in rows])
-        order = np.argsort(keys)
-        self.keys, self.found = keys[order], found[order].astype(np.float64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys, each distinct key searched once, in ascending order."""
-        order = np.argsort(keys)
-        s = keys[order]
-        new = np.concatenate(([True], s[1:] != s[:-1]))
-        value = self.found[np.searchsorted(self.keys, s[new])]
-        out = np.empty(len(keys))
-        out[order] = value[np.cumsum(new) - 1]
-        return out
-
-
-def _score(modulus: int, remainder: int, n_words: int, n_tokens: int):
+def _score(modulus: int, remainder: int, n_words: int, n_tokens: int, parts: int):
     norm = np.log10(n_tokens + n_words + 1)
 
+    def values(counts: _Counts, answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, ascending, and what the partitions have found for them."""
+        h, _, *rest = counts.whole()
+        order, _ = _dealt(parts, h, *rest)
+        got = sorted((p, f) for k, p, f in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "found"))) if k == kind)
+        out = np.empty(len(h))
+        out[order] = np.frombuffer(b"".join(f for _, f in got), np.float32)
+        return h, out
+
     def run(docs, answers):
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         out: list[list] = [[] for _ in kinds]
+        pieces: list[tuple] = []
+
+        def each(piece, grams, words):
+            pieces.append(((piece[0], [len(t) for t in piece[1]]), grams, words))
+
         if docs.num_rows:
-            grams, words = _Lookup(answers, 0), _Lookup(answers, 1)
-            for ids, texts in _chunks(docs):
-                k, first = _gram_keys(texts)
-                w, begin = _word_keys(texts)
-                c = words(w)
-                n = np.diff(np.concatenate((begin, [len(w)])))
+            grams, words = _tallied(_chunks(docs), modulus, remainder, each)
+            (g, g_found), (w, w_found) = values(grams, answers, 0), values(words, answers, 1)
+            for (ids, sizes), (first, codes, found), (begin, n_words_, w_codes, w_keys) in pieces:
+                c = w_found[np.searchsorted(w, w_keys)][w_codes]
+                n = np.diff(np.concatenate((begin, [n_words_])))
                 columns = (
                     ids,
                     [held_out(i, modulus, remainder) for i in ids],
                     n,
                     np.add.reduceat((c > 0).astype(np.int64), begin),
-                    [len(t) for t in texts],
+                    sizes,
                     np.add.reduceat(np.log10(c + 1), begin) - n * norm,
-                    np.add.reduceat(grams(k), first),
+                    np.add.reduceat(g_found[np.searchsorted(g, found)][codes], first),
                 )
                 for column, x in zip(out, columns):
                     column.extend(x)
@@ -304,15 +381,13 @@ def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, block_bytes: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // block_bytes))
-    parts = max(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(PARTS, max(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_blocks)).cast("int"))
     sent = stored(dealt.groupBy("block").applyInArrow(_send(parts, modulus, remainder), _SENT))
     top = sent.groupBy("kind", "part").applyInArrow(_sums, _TOP).groupBy("c1", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "s")))
     top = Top(top.collect())  # at most 256 x 255 + 1 rows
-    answers = sent.groupBy("kind", "part").applyInArrow(_answers(spark.sparkContext.broadcast(top)), _ANSWER)
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(modulus, remainder, top.n_words, top.n_tokens), _SCORED)
+    answers = stored(sent.groupBy("kind", "part").applyInArrow(_answers(spark.sparkContext.broadcast(top)), _ANSWER))
+    dropped(sent)
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(modulus, remainder, top.n_words, top.n_tokens, parts), _SCORED)
     bits = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(top.n_tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
-
-
-

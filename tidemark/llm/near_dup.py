@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._common import as_bytes, mix, reliable, stored, window_hash, word_hashes
+from tidemark.llm._common import as_bytes, mix, stored, window_hash, word_hashes
 
 #: Signature: BANDS bands of ROWS hashes. At similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
@@ -140,12 +140,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node that edges (a, b) connect each node with. Labels spread along edges and jump to their own labels, written out each round."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    labels = reliable(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")))
+    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         new = labels.join(near, "node").join(jump, "comp", "left").select("node", F.least("comp", "seen", "root").alias("comp"), (F.least("comp", "seen", "root") < F.col("comp")).alias("moved"))
-        new = reliable(new)
+        new = stored(new)
         labels = new.select("node", "comp")
         if new.where("moved").isEmpty():
             return labels
@@ -181,7 +181,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _ranked(rows: DataFrame) -> DataFrame:
     """Rows (band, node, n, weight, comp) of the bands that hold more than one component, ranked in their band, the heaviest node first."""
-    apart = reliable(rows.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"))
+    apart = stored(rows.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"))
     place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "node"))
     return stored(rows.join(apart, "band").withColumn("rank", place))
 
@@ -191,29 +191,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     base = stored(features(rows, width))
     full = base.where("n_shingles > 0 and doc_id is not null")
-    classes = reliable(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
+    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
     nodes = stored(full.join(classes, ["k1", "k2"]).where("doc_id = class_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["node"]))
     in_band = nodes.select("node", "n", F.explode("bands").alias("band"))
     met = in_band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(in_band.join(met, "band"))
     # who shares bands with many stands in the middle of a group, and leads its buckets
-    weights = reliable(shared.groupBy("node").agg(F.sum("members").alias("weight")))
+    weights = stored(shared.groupBy("node").agg(F.sum("members").alias("weight")))
     rows_left = _ranked(shared.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("comp")))
     sets = _sets(rows, weights.select("node"), width)
     edges, labels, tried = None, None, None
 
     def link(pairs: DataFrame) -> None:
         nonlocal edges, labels
-        new = reliable(_verified(pairs, sets, percent))
+        new = stored(_verified(pairs, sets, percent))
         if edges is None or not new.isEmpty():
-            edges = new if edges is None else reliable(edges.unionByName(new))
+            edges = new if edges is None else stored(edges.unionByName(new))
             labels = components(edges)
 
     def compare(pairs: DataFrame) -> None:
         nonlocal tried
         pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        alive = reliable(_survivors(_with_signatures(pairs, nodes), percent).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("matches"), "b"))))
-        tried = alive.select("a", "b") if tried is None else reliable(tried.unionByName(alive.select("a", "b")))
+        alive = stored(_survivors(_with_signatures(pairs, nodes), percent).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("matches"), "b"))))
+        tried = alive.select("a", "b") if tried is None else stored(tried.unionByName(alive.select("a", "b")))
         link(alive.where("nth = 1").select("a", "b"))  # a member's likeliest leader first
         link(_apart(alive.where("nth > 1").select("a", "b"), labels))
 

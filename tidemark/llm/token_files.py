@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm._chunks import blocks, units
-from tidemark.llm._common import only, reliable, shared_dir
+from tidemark.llm._common import only, shared_dir, stored
 
 #: Ids of a sequence, sequences of a batch.
 WIDTH, ROWS = 2048, 256
@@ -216,7 +216,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, uri: str | None = None, t
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{uri}/{name}"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([at], pa.int64())})
 
     rows = only(docs, "doc_id", text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = reliable(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _PARTS))
+    parts = stored(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _PARTS))
     # one row a file: the running total over them is small whatever the files hold
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -23,26 +23,35 @@ LANGUAGE_SHARE = 0.5
 PASSAGE = 5
 
 
+def _unused(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like these that no column of docs has."""
+    mark = "_" * (1 + max(map(len, docs.columns)))
+    return tuple(mark + n for n in names)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; a missing label is filled in."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # whatever its columns are named
-    named = langid.identify(rows, langid.fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE))
-    return named.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
+    pred, share = _unused(docs, "lang", "share")
+    named = langid.identify(docs, langid.fit(docs), names=(pred, share)).where((F.col(pred) != "und") & (F.col(share) >= LANGUAGE_SHARE))
+    return named.select(*(F.coalesce(c, pred).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """The document of the least doc_id of each group of near duplicates (five-word shingles, similarity 0.8); of rows of one doc_id the first by text. A null doc_id stays."""
+    (nth,) = _unused(docs, "nth")
     copies = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(copies, "doc_id", "left_anti")
     again = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy("text")
-    return left.withColumn("__nth", F.row_number().over(again)).where("__nth = 1 or doc_id is null").select(docs.columns)
+    return left.withColumn(nth, F.row_number().over(again)).where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage; a row is known by doc_id and text, as the id may be null."""
+    d, k = _unused(docs, "doc_id", "key")
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where(F.exists("spans", lambda s: s["end"] - s["start"] >= PASSAGE)).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = found.where(F.exists("spans", lambda s: s["end"] - s["start"] >= PASSAGE)).select(F.col("doc_id").alias(d), F.col("text_key").alias(k)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad[d]) & (decontam.text_key(docs["text"]) == bad[k])
+    return docs.join(bad, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

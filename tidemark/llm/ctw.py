@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import LOWER, SPACE, dropped, mix, stored, word_hashes
 
 #: Bytes of a context: at least, and at most (with the byte after it, sixteen).
-LEAST, DEPTH = 8, 15
-BLOCK = 16 << 20
+LEAST, DEPTH = 6, 15
+BLOCK = 8 << 20
 #: Partitions of the tree at most: more than the blocks of a part would only make the packed arrays small.
 PARTS = 4096
 #: A byte that UTF-8 never has: before a text's beginning, and its end.
 END = 0xFF
-_CHUNK = 1 << 20
+#: Keys of pieces that wait until they are merged with the others.
+MERGE = 1 << 20
+_CHUNK = 1 << 19
 _WORD_END = np.uint64(0xE7D)
 _STOP = SPACE.copy()
 _STOP[END] = True
@@ -123,6 +125,7 @@ class _Counts:
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
+        self.fresh = 0
 
     def add(self, weight: int, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts one piece; which of its distinct keys each place holds, and their hashes."""
@@ -131,8 +134,9 @@ class _Counts:
         first = np.empty(len(found), np.int64)
         first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
         self.parts.append((found, np.bincount(codes, minlength=len(found)) * weight, *(k[first] for k in key if len(key) > 1)))
-        if len(self.parts) > 24:
-            self.parts = [self.whole()]
+        self.fresh += len(found)
+        if self.fresh > MERGE:
+            self.parts, self.fresh = [self.whole()], 0
         return codes.astype(np.int32), found
 
     def whole(self) -> tuple[np.ndarray, ...]:

@@ -5,34 +5,34 @@ stands for each class. Classes that agree in a band of their MinHash signature a
 one batch of the signature at a time and dropped as soon as the posterior probability that its similarity reaches the
 threshold falls below `MISS`; the survivors are verified on their full sets.
 
-No group is expanded into all its pairs. In each bucket the members are first compared with one leader; connected
-components of the confirmed links follow; then only members of different components in the same bucket are left, minus the
-leader, which has met them all. After a few rounds of ever more leaders those who are still apart are compared outright,
-each pair once, so that no link between components is lost.
+No group is expanded into all its pairs. In each bucket the members are compared with a few leaders, one at first, the
+heaviest; connected components of the confirmed links follow; then only buckets that still hold members of different
+components are left, without the leaders, which have met all of theirs. This goes on with more leaders until none is
+left, so that no link between components is lost.
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle has its whole word
 sequence as one. A null doc_id stands alone (null component). Rows with equal doc_ids count as one document with one row
-each. Empty tables give no rows; extra columns are not read.
+each; of its different texts those links count that the least key's set has, or that another document shares. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm._common import as_bytes, mix, stored, window_hash, word_hashes
+from tidemark.llm._common import as_bytes, dropped, mix, stored, window_hash, word_hashes
 
 #: Signature: BANDS bands of ROWS hashes. At similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
 #: Hashes compared at a time, and the probability of missing a pair that each batch may add.
 BATCH, MISS = 16, 1e-6
-#: Leaders of a bucket in each round; who is apart after these rounds is compared outright.
-LEADERS = (1, 4, 16)
+#: Leaders of a bucket in each round, the last number in all further ones.
+LEADERS = (1, 8, 64)
 _SLOPE = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
@@ -94,8 +94,11 @@ def least_matches(threshold: float) -> np.ndarray:
     return np.array(out)
 
 
-def _survivors(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, sig_a, sig_b) those that no batch of the signature rules out: a, b, matches."""
+def _met(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a row's node and a leader of its band, of different components, that no batch of the signature rules out.
+
+    Each row is compared where it stands: what is emitted are survivors alone.
+    """
 
     def run(it):
         least = least_matches(percent / 100)
@@ -103,16 +106,23 @@ def _survivors(pairs: DataFrame, percent: int) -> DataFrame:
         for b in it:
             if not b.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, size) for i in (2, 3))
-            live, total = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
+            held = b.column(4)
+            leader = {k: held.flatten().field(k) for k in ("node", "n", "comp", "sig")}
+            row = np.repeat(np.arange(b.num_rows), held.value_lengths().to_numpy())
+            node, n, comp = (b.column(i).to_numpy() for i in range(3))
+            other, m, comp_b = (leader[k].to_numpy() for k in ("node", "n", "comp"))
+            alike = 100 * np.minimum(n[row], m) >= percent * np.maximum(n[row], m)
+            live = np.flatnonzero((comp[row] != comp_b) & alike)
+            left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, size) for x in (b.column(3), leader["sig"]))
+            total = np.zeros(len(row), np.int64)
             for k in range(size // BATCH):
                 cut = slice(k * BATCH, (k + 1) * BATCH)
-                total[live] += (left[live, cut] == right[live, cut]).sum(1)
+                total[live] += (left[row[live], cut] == right[live, cut]).sum(1)
                 live = live[total[live] >= least[k]]
-            keep = pa.array(live)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array(total[live], pa.int32())], names=["a", "b", "matches"])
+            x, y = node[row[live]], other[live]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches int")
+    return rows.select("band", "node", "n", "comp", "sig").join(leaders, "band").select("node", "n", "comp", "sig", "leaders").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,46 +154,51 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = labels.join(near, "node").join(jump, "comp", "left").select("node", F.least("comp", "seen", "root").alias("comp"), (F.least("comp", "seen", "root") < F.col("comp")).alias("moved"))
-        new = stored(new)
+        least = F.least("comp", "seen", "root")
+        new = stored(labels.join(near, "node").join(jump, "comp", "left").select("node", least.alias("comp"), (least < F.col("comp")).alias("moved")))
+        dropped(labels)
         labels = new.select("node", "comp")
         if new.where("moved").isEmpty():
             return labels
 
 
-def _with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b")
+def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """labels (node, comp) after new edges: only the components that they touch are looked at."""
+    if labels is None:
+        return components(edges)
+    one, two = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    ends = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b")
+    roots = components(stored(ends))
+    moved = labels.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    return stored(moved.unionByName(roots.join(labels, "node", "left_anti")))
 
 
-def _alike(n: str, m: str, percent: int):
-    """Sets of these sizes can reach the threshold."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shingles: the full sets of the given documents."""
+    """node, shingles: the full sets of the given documents (of a doc_id with several texts, each)."""
 
     def run(it):
         for b in it:
-            made = [shingles(t, width).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
-
-    return stored(rows.join(nodes, rows["doc_id"] == nodes["node"], "left_semi").mapInArrow(run, "node long, shingles binary"))
-
+            made = [shingles(t, width) for t in b.column(1).to_pylist()]
+            keys = [int(x.sum(dtype=np.uint64).view(np.int64)) for x in made]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "k1", "shingles"])
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those pairs (a, b) that are still in different components."""
-    left, right = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-    return pairs.join(left, "a", "left").join(right, "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    wanted = nodes.select(F.col("node").alias("doc_id"), F.col("k1").alias("key"))
+    found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, k1 long, shingles binary")
+    same = found.join(wanted, "doc_id").where("k1 = key")
+    return stored(same.select(F.col("doc_id").alias("node"), "shingles").dropDuplicates(["node"]))
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Rows (band, node, n, weight, comp) of the bands that hold more than one component, ranked in their band, the heaviest node first."""
-    apart = stored(rows.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band"))
-    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "node"))
-    return stored(rows.join(apart, "band").withColumn("rank", place))
+def _leaders(rows: DataFrame, most: int) -> DataFrame:
+    """band, leaders: up to `most` nodes of each band, of each hash class the heaviest; aggregated before they are shuffled."""
+    one = F.max_by(F.struct("node", "n", "comp", "sig"), F.struct("weight", (-F.col("node")).alias("last"))).alias("leader")
+    if most == 1:
+        return rows.groupBy("band").agg(one).select("band", F.array("leader").alias("leaders"))
+    sub = F.pmod(F.xxhash64("node"), F.lit(most)).alias("sub")
+    return rows.groupBy("band", sub).agg(one).groupBy("band").agg(F.collect_list("leader").alias("leaders"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,44 +207,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     base = stored(features(rows, width))
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
-    nodes = stored(full.join(classes, ["k1", "k2"]).where("doc_id = class_id").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands").dropDuplicates(["node"]))
-    in_band = nodes.select("node", "n", F.explode("bands").alias("band"))
+    # a doc_id that stands for several texts is known by the least of their keys
+    one = F.min_by(F.struct("n_shingles", "k1", "sig", "bands"), F.struct("k1", "k2")).alias("x")
+    nodes = full.join(classes, ["k1", "k2"]).where("doc_id = class_id").groupBy(F.col("doc_id").alias("node")).agg(one)
+    nodes = stored(nodes.select("node", F.col("x.n_shingles").alias("n"), "x.k1", "x.sig", "x.bands"))
+    in_band = nodes.select("node", F.explode("bands").alias("band"))
     met = in_band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(in_band.join(met, "band"))
     # who shares bands with many stands in the middle of a group, and leads its buckets
-    weights = stored(shared.groupBy("node").agg(F.sum("members").alias("weight")))
-    rows_left = _ranked(shared.join(weights, "node").select("band", "node", "n", "weight", F.col("node").alias("comp")))
-    sets = _sets(rows, weights.select("node"), width)
-    edges, labels, tried = None, None, None
-
-    def link(pairs: DataFrame) -> None:
-        nonlocal edges, labels
-        new = stored(_verified(pairs, sets, percent))
-        if edges is None or not new.isEmpty():
-            edges = new if edges is None else stored(edges.unionByName(new))
-            labels = components(edges)
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal tried
-        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        alive = stored(_survivors(_with_signatures(pairs, nodes), percent).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("matches"), "b"))))
-        tried = alive.select("a", "b") if tried is None else stored(tried.unionByName(alive.select("a", "b")))
-        link(alive.where("nth = 1").select("a", "b"))  # a member's likeliest leader first
-        link(_apart(alive.where("nth > 1").select("a", "b"), labels))
-
-    for leaders in LEADERS:
-        lead = rows_left.where(F.col("rank") <= leaders).select("band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("rank").alias("rank_b"))
-        met = rows_left.join(lead, "band").where("rank > rank_b and comp <> comp_b").where(_alike("n", "n_b", percent))
-        compare(met.select(F.col("node").alias("a"), "b"))
-        # the leaders have met their buckets; the others go on where they are apart
-        left = rows_left.where(F.col("rank") > leaders).drop("rank", "comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        rows_left = _ranked(left)
-    # who is left: each pair of different components once, in the first band that both have
-    held = rows_left.select("band", "node", "n", "comp").join(nodes.select("node", "bands"), "node")
-    one, two = (held.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "bands"))) for x in "ab")
-    first = F.expr("band = element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), z -> z is not null), 1)")
-    rest = one.join(two, "band").where("node_a > node_b and comp_a <> comp_b").where(_alike("n_a", "n_b", percent)).where(first)
-    compare(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    out = base.join(classes, ["k1", "k2"], "left").withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))
+    weights = shared.groupBy("node").agg(F.sum("members").alias("weight"))
+    near = stored(nodes.drop("bands").join(weights, "node"))
+    left = stored(shared.select("band", "node").join(near.select("node", "n", "sig", "weight", F.col("node").alias("comp")), "node"))
+    dropped(shared)
+    sets, labels = _sets(rows, near, width), None
+    for most in chain(LEADERS, repeat(LEADERS[-1])):
+        leaders = stored(_leaders(left, most))
+        edges = stored(_verified(_met(left, leaders, percent), sets, percent))
+        if labels is None or not edges.isEmpty():
+            labels = _merged(labels, edges)
+        # the leaders have met their bands; the others go on where they are apart
+        rest = _labelled(left.join(leaders, "band").where(~F.array_contains("leaders.node", F.col("node"))).drop("leaders"), labels)
+        apart = rest.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band")
+        new = stored(rest.join(apart, "band"))
+        dropped(left, leaders, edges)
+        left = new
+        if left.isEmpty():
+            break
+    out = base.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))
     out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("comp", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -192,11 +192,55 @@ def test_rlz(docs, rows, empty):
         want[d] = (len(w), sum(out), sha(" ".join(x for x, o in zip(w, out) if not o)))
     got = by_id(rlz.factorise(docs, texts=True))
     assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in got.items()} == want
-    for r in got.values():
-        assert all(f.end - f.start >= 50 and f.source < r.doc_id for f in r.factors)
+    words = {d: WORD.findall(t or "") for d, t, _ in rows}
+    for d, r in got.items():
+        for f in r.factors:  # each is in its source, word for word
+            assert f.end - f.start >= 50 and f.source < d and words[d][f.start : f.end] == words[f.source][f.place : f.place + f.end - f.start]
     assert rlz.factorise(empty).count() == 0
 
 
+def test_rlz_goes_as_far_as_a_document(spark):
+    """A factor goes on where its document does, though another document holds the middle earlier; greedy parses against brute force."""
+    rng = random.Random(8)
+    prose = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]
+    long, mid, tail = prose(500), prose(60), prose(70)
+    data = [(0, prose(9) + long[150:350] + prose(20)), (1, long), (5, prose(8) + mid + tail[:55]), (9, prose(30) + long + prose(11)), (11, mid[:-3] + prose(5) + long[340:420] + tail + long[100:160])]
+    got = by_id(rlz.factorise(spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string")))
+    assert [(f.start, f.end, f.source, f.place) for f in got[9].factors] == [(30, 530, 1, 0)]
+    texts = dict(data)
+    for d, w in data:
+        want, at = [], 0
+        while at + 50 <= len(w):
+            reach = [(k, -o, -p) for o, x in texts.items() if o < d for p in range(len(x) - 49) if x[p : p + 50] == w[at : at + 50] for k in [next((k for k in range(50, len(w) - at) if w[at + k : at + k + 1] != x[p + k : p + k + 1]), len(w) - at)]]
+            if reach:
+                want.append((at, at + max(reach)[0]))
+                at += max(reach)[0] - 50
+            at += 1
+        assert [(f.start, f.end) for f in got[d].factors] == want
+
+
+def test_repeat_groups(docs, rows, monkeypatch):
+    """Of every window that repeats, one group has all occurrences."""
+    some = [(d, t) for d, t, _ in rows if t and len(t) < 8000]
+    places: dict[bytes, set] = {}
+    first: dict[str, int] = {}
+    for d, t in some:
+        first.setdefault(t, d)
+    for t, d in first.items():
+        b = t.encode()
+        for i in range(len(b) - 199):
+            places.setdefault(b[i : i + 200], set()).add((d, i))
+    for group in (8192, 2):
+        monkeypatch.setattr(suffix_repeats, "GROUP", group)
+        out = suffix_repeats.repeat_groups(docs.where(F.length("text") < 8000)).collect()
+        groups: dict[tuple, set] = {}
+        for r in out:
+            groups.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+        have = {frozenset((d, s + k) for d, s in found) for (_, n), found in groups.items() for k in range(n - 199)}
+        again = {frozenset(x) for x in places.values() if len(x) > 1}
+        assert again and (again <= have if group == 8192 else {x for y in again for x in y} <= {x for y in have for x in y})
+
+
 def test_repeats(docs, rows, empty, monkeypatch):
     seen = Counter()
     for _, t, _ in rows:
@@ -244,7 +288,7 @@ def test_rlz_odd_ids(spark):
     d = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     got = rlz.factorise(d).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
-    assert all(len(r.factors) == (r.n_removed > 0) for r in got)
+    assert all((len(r.factors) > 0) == (r.n_removed > 0) for r in got)
 
 
 @pytest.mark.parametrize("group", [2048, 2])

@@ -108,21 +108,25 @@ def with_first(base: DataFrame) -> DataFrame:
 
 
 def chosen(batch, words: bool, gram: int, width: int):
-    """For each row of candidates: the units and the chosen segments as (start, number of windows) lists; none if the text isn't the one that was scanned."""
+    """For each row of candidates: the units and the chosen segments as lists of starts, numbers of windows and grams; none if the text isn't the one that was scanned."""
     for key, text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
         u = Units(text, words)
         if text_key(text) != key:
-            yield u, [], []
+            yield u, [], [], []
             continue
-        _, first, n = u.segments(gram, width)
+        grams, first, n = u.segments(gram, width)
         at = np.searchsorted(first, np.sort(np.array(starts, np.int64)))
-        yield u, first[at].tolist(), n[at].tolist()
+        yield u, first[at].tolist(), n[at].tolist(), grams[at].view(np.int64).tolist()
 
 
-def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Which of n units a window that begins at one of `starts` covers."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n units the spans cover."""
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
+
+def lists(column) -> tuple[np.ndarray, list]:
+    """Where each row's elements begin and end in a list column, and its fields as arrays."""
+    flat = column.flatten()
+    fields = [flat.field(i).to_numpy() for i in range(flat.type.num_fields)]
+    return np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy()))), fields

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import LOWER, SPACE, dropped, mix, stored, word_hashes
 
-#: Bytes of a context: at least, and at most (with the byte after it, sixteen).
-LEAST, DEPTH = 6, 15
-BLOCK = 8 << 20
+#: Bytes of a context: at least, and at most (15 with the byte after it would fill the key).
+LEAST, DEPTH = 5, 8
+BLOCK = 16 << 20
 #: Partitions of the tree at most: more than the blocks of a part would only make the packed arrays small.
 PARTS = 4096
 #: A byte that UTF-8 never has: before a text's beginning, and its end.

@@ -111,6 +111,44 @@ def test_pii_terms_everywhere(spark):
     assert [(x.start, x.end) for x in got[None].terms] == [(0, 7)] and not got[7].terms
 
 
+def test_pii_disclosure_against_brute_force(spark):
+    """Secrets, classes and parts: every rated pair and every span of the query, with plain Python."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    vocab = [chr(97 + i // 26) + chr(97 + i % 26) + "word" for i in range(90)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    data = [(i, f'{prose(30)} token = "{key()}" {prose(20)}. The token again') for i in range(6)]
+    data += [(20 + i, f"{prose(20)} curator box{i}@museum.example.org {prose(20)}") for i in range(5)]
+    data += [(40 + i, prose(40)) for i in range(80)] + [(200, "a" * 50 + " 12345678901234567890123 plain"), (201, None), (202, "")]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = by_id(pii.findings(d))
+    texts = {i: t or "" for i, t in data}
+    words = {i: set(re.findall("[a-z]+", t.lower())) for i, t in texts.items()}
+    own = {i: re.findall(r"[0-9a-f]{40}", t) for i, t in texts.items() if i < 6} | {i: re.findall(r"\S+@\S+", t) for i, t in texts.items() if 20 <= i < 40}
+    entities = {i: {"secret", f"secret:{v[0]}"} if i < 6 else {"email", f"email:{v[0]}", f"email account:{v[0].split('@')[0]}", "email host:museum.example.org"} for i, v in own.items()}
+    near, want = {}, {}
+    for i, (v,) in own.items():
+        at = texts[i].index(v)
+        lo, hi = max(0, at - pii.REACH), at + len(v) + pii.REACH
+        for m in re.finditer("[A-Za-z]+", texts[i]):
+            if len(m[0]) >= pii.TERM and (lo < m.start() or lo == 0) and m.end() < hi and lo <= m.start() and not at <= m.start() < at + len(v):
+                near.setdefault(m[0].lower(), {}).setdefault(i, None)
+    n = len(data)
+    for term, docs_ in near.items():
+        for e in {e for i in docs_ for e in entities[i]}:
+            n_et, n_e, n_t = sum(e in entities[i] for i in docs_), sum(e in x for x in entities.values()), sum(term in w for w in words.values())
+            if n_et >= pii.SUPPORT and np.log(n * n_et / (n_e * n_t)) / np.log(n / n_e) >= pii.GENERALISE:
+                want.setdefault(e, set()).add(term)
+    assert "token" in want["secret"] and {"email", "email host:museum.example.org"} <= want.keys()
+    for i, t in texts.items():
+        terms = {x for e in entities.get(i, ()) for x in want.get(e, ())}
+        at = [(m.start(), m.end()) for m in re.finditer("[A-Za-z]+", t) if m[0].lower() in terms and not any(t.index(v) <= m.start() < t.index(v) + len(v) for v in own.get(i, ()))]
+        assert [(x.start, x.end) for x in got[i].terms] == at, i
+        assert [(x.start, x.end) for x in got[i].secrets] == ([(t.index(own[i][0]), t.index(own[i][0]) + 40)] if i < 6 else []), i
+    clean = by_id(pii.sanitise(d))
+    assert not any(v[0] in clean[i].text for i, v in own.items()) and all(clean[i].text == t for i, t in data if i >= 40)
+
+
 # near duplicates
 
 

@@ -10,6 +10,8 @@ import re
 
 #: A blank between white space (or before the end) belongs to a longer run of white space.
 _RUN = re.compile(r"\s \s|\s \Z")
+#: White space but the blank, each with a blank behind it: without one of these or two blanks there is no such run.
+_HINTS = ["  ", *(c + " " for c in map(chr, range(0x3001)) if c.isspace() and c != " ")]
 BLOCK = 1 << 16
 
 
@@ -34,4 +36,4 @@ def blocks(text: str, size: int = BLOCK):
 
 def units(block: str) -> list[str]:
     """The block's independent units: the first as it stands, the others without the blank that begins them; [block] if runs of white space forbid this."""
-    return [block] if _RUN.search(block) else block.split(" ")
+    return [block] if any(h in block for h in _HINTS) and _RUN.search(block) else block.split(" ")

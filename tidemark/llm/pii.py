@@ -1,13 +1,15 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give protected entities away.
 
-Entities are the values that the base patterns find (e-mail, IP address, card and phone number). A term is a word near such a
-value, and what holds of it there holds of every place of that word in a document with the value. Over the whole corpus, a term's disclosure of an entity is its pointwise mutual information with the entity as a share
-of the entity's own information:
+Protected entities are the values that the base patterns find (e-mail, IP address, card and phone number), secrets (literals
+of letters and digits whose characters carry `SECRET_BITS` or more), and what is known by their parts: an e-mail's account
+and host, an address's network, and the class of such values as a whole. A term is a word near such a value, and what
+holds of it there holds of every place of that word in a document with the value. Over the whole corpus, a term's
+disclosure of an entity is its pointwise mutual information with the entity as a share of the entity's own information:
 
     disclosure = ln(N n_et / (n_e n_t)) / ln(N / n_e)
 
 where N counts documents, n_e and n_t those that hold the entity and the term, n_et those with the term near the entity. A
-term that at least `SUPPORT` different texts put near the entity is generalised from `GENERALISE` on and removed from
+term that at least `SUPPORT` different texts put near the entity (fewer are chance) is generalised from `GENERALISE` on and removed from
 `REMOVE` on. Lacking a taxonomy, generalising means putting the class of the term, [WORD], in its place.
 
 All of it is DataFrame functions. Null and empty texts have no spans; repeated rows are answered each; offsets count code
@@ -25,7 +27,11 @@ from tidemark.llm._common import stored
 SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
 #: Characters on either side of an entity in which terms are sought, and the least length of a term.
 REACH, TERM = 48, 3
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+#: Of KINDS, those of the base patterns; the number of the last.
+BASE, TERM_KIND = 4, 5
+#: Bits of information in the characters of a literal of letters and digits from which on it is a secret.
+SECRET_BITS = 72.0
 #: kind: (what a text must hold, the pattern). Possessive quantifiers and look-behinds keep them linear on long runs and leave the leftmost matches as they are.
 _MAIL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -33,6 +39,7 @@ PATTERNS = {
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){12}", r"[0-9](?:[\x20-]?+[0-9]){12,}+"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "secret": (r"[A-Za-z0-9_-]{20}", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"),
 }
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 _MENTIONS = "array<struct<entity:string,term:string,start:int,end:int>>"
@@ -70,29 +77,50 @@ def _luhn(value: Column) -> Column:
     return n.between(13, 19) & (F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step) % 10 == 0)
 
 
+def _secret(value: Column) -> Column:
+    """A literal with four letters and four digits at least whose characters carry SECRET_BITS: length times entropy."""
+    chars = F.split(value, "")
+    n = F.size(chars)
+    own = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda t, c: t + F.size(F.filter(chars, lambda x: x == c)) * F.log2(F.size(F.filter(chars, lambda x: x == c)).cast("double")))
+    return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 4) & (F.length(F.regexp_replace(value, "[^A-Za-z]", "")) >= 4) & (n * F.log2(n.cast("double")) - own >= SECRET_BITS)
+
+
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _VALID = {
     "email": lambda v: F.lit(True),
     "ip": lambda v: v.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
     "card": _luhn,
     "phone": lambda v: F.length(_digits(v)).between(9, 15),
+    "secret": _secret,
 }
 
 
-def base_spans(text: Column) -> Column:
-    """Base findings of a text by kind as listed, then start."""
+def _spans(text: Column, kinds: range) -> Column:
     found = []
-    for k, kind in enumerate(KINDS[:4]):
-        guard, pattern = PATTERNS[kind]
-        valid = _VALID[kind]
+    for k in kinds:
+        guard, pattern = PATTERNS[KINDS[k]]
+        valid = _VALID[KINDS[k]]
         hits = F.filter(_matches(text, pattern, k), lambda s: valid(s["value"]))
         found.append(F.when(text.rlike(guard), hits).otherwise(F.lit([]).cast(_SPAN)))
     return F.concat(*found)
 
 
-def _entity(span: Column) -> Column:
+def base_spans(text: Column) -> Column:
+    """Base findings of a text by kind as listed, then start."""
+    return _spans(text, range(BASE))
+
+
+def _entities(span: Column) -> Column:
+    """What a finding protects: its value, what is known by its parts (an e-mail's account and host, a network), and its class."""
     kind = F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1)
-    return F.concat(kind, F.lit(":"), F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"])))
+    named = lambda part, value: F.concat(kind, F.lit(f"{part}:"), value)
+    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"].isin(2, 3), _digits(span["value"])).otherwise(span["value"])
+    parts = F.when(span["kind"] == 0, F.array(named(" account", F.substring_index(value, "@", 1)), named(" host", F.substring_index(value, "@", -1)))).when(span["kind"] == 1, F.array(named(" network", F.substring_index(value, ".", 3)))).otherwise(F.lit([]).cast("array<string>"))
+    return F.concat(F.array(named("", value)), parts, F.array(kind))
+
+
+def _all_entities(spans: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(spans, _entities)))
 
 
 def _mentions(text: Column, spans: Column) -> Column:
@@ -100,8 +128,8 @@ def _mentions(text: Column, spans: Column) -> Column:
 
     def near(span: Column) -> Column:
         low = F.greatest(span["start"] - REACH, F.lit(0))
-        before = _matches(F.substring(text, low + 1, span["start"] - low), r"\p{L}+", 4)
-        after = _matches(F.substring(text, span["end"] + 1, F.lit(REACH)), r"\p{L}+", 4)
+        before = _matches(F.substring(text, low + 1, span["start"] - low), r"\p{L}+", TERM_KIND)
+        after = _matches(F.substring(text, span["end"] + 1, F.lit(REACH)), r"\p{L}+", TERM_KIND)
         before = F.filter(before, lambda t: (t["start"] > 0) | (low == 0))
         after = F.filter(after, lambda t: (t["end"] < REACH) & (t["start"] > 0))
         both = F.concat(
@@ -109,7 +137,7 @@ def _mentions(text: Column, spans: Column) -> Column:
             F.transform(after, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + span["end"]).alias("start"), (t["end"] + span["end"]).alias("end"))),
         )
         both = F.filter(both, lambda t: (F.length(t["term"]) >= TERM) & ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        return F.transform(both, lambda t: F.struct(_entity(span).alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+        return F.flatten(F.transform(_entities(span), lambda e: F.transform(both, lambda t: F.struct(e.alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))))
 
     return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, near))).otherwise(F.lit([]).cast(_MENTIONS))
 
@@ -121,7 +149,7 @@ def _terms(text: Column) -> Column:
 def _everywhere(found: DataFrame, telling: DataFrame) -> DataFrame:
     """doc_id, text_key, start, end, disclosure: all places of each telling term in the documents that hold its entity, outside base spans."""
     holds = found.where(F.size("spans") > 0)
-    words = holds.select("doc_id", "text_key", F.array_distinct(F.transform("spans", _entity)).alias("entities"), F.explode(_terms(F.col("held"))).alias("term"))
+    words = holds.select("doc_id", "text_key", _all_entities(F.col("spans")).alias("entities"), F.explode(_terms(F.col("held"))).alias("term"))
     words = words.join(telling.select("term").distinct(), "term", "left_semi").select("doc_id", "text_key", "term", F.explode("entities").alias("entity"))
     told = words.join(telling, ["entity", "term"]).groupBy("doc_id", "text_key", "term").agg(F.max("disclosure").alias("disclosure"))
     told = told.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
@@ -129,14 +157,14 @@ def _everywhere(found: DataFrame, telling: DataFrame) -> DataFrame:
     each = holds.join(told, same).select("doc_id", "text_key", "spans", "held", F.explode("told").alias("t"))
     # a term is letters only, so that it stands for itself in a pattern
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("t.term"), F.lit(r"(?!\p{L})"))
-    places = F.filter(_matches(F.col("held"), pattern, 4), lambda p: ~F.exists("spans", lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"])))
+    places = F.filter(_matches(F.col("held"), pattern, TERM_KIND), lambda p: ~F.exists("spans", lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"])))
     return each.select("doc_id", "text_key", F.explode(places).alias("p"), "t.disclosure").select("doc_id", "text_key", "p.start", "p.end", "disclosure")
 
 
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """entity, term, disclosure of all pairs that reach SUPPORT and GENERALISE. found: spans and mentions by document; texts: the documents' text."""
     n_docs = found.agg(F.count("*").alias("n_docs"))
-    per_entity = found.where(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    per_entity = found.where(F.size("spans") > 0).select(F.explode(_all_entities(F.col("spans"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     pair = F.array_distinct(F.transform("mentions", lambda m: F.struct(m["entity"].alias("entity"), m["term"].alias("term"))))
     pairs = found.where(F.size("mentions") > 0).select("text_key", F.explode(pair).alias("pair")).groupBy("pair", "text_key").agg(F.count("*").alias("n")).groupBy("pair").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts"))
     pairs = stored(pairs.where(F.col("n_texts") >= SUPPORT).select("pair.entity", "pair.term", "n_et"))
@@ -147,9 +175,12 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row a document: key, text_key, spans array<struct<kind,start,end,value>> (base), terms array<struct<start,end,disclosure>>."""
+    """One row a document: key, text_key, spans array<struct<kind,start,end,value>> (base), secrets (likewise), terms array<struct<start,end,disclosure>>."""
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    spans = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text", base_spans(F.col("text")).alias("spans"))
+    base, secrets = base_spans(F.col("text")), _spans(F.col("text"), range(BASE, TERM_KIND))
+    spans = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text", base.alias("base"), secrets.alias("secrets"))
+    apart = F.filter("secrets", lambda x: ~F.exists("base", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
+    spans = spans.select("doc_id", "text_key", "text", F.concat("base", apart).alias("spans"))
     held = F.when(F.size("spans") > 0, F.col("text")).alias("held")
     found = stored(spans.select("doc_id", "text_key", "spans", held, _mentions(F.col("text"), F.col("spans")).alias("mentions")))
     telling = stored(disclosures(found, rows))
@@ -158,17 +189,18 @@ def findings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     terms = near.unionByName(_everywhere(found, telling)).groupBy("doc_id", "text_key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = terms.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     same = found["doc_id"].eqNullSafe(terms["d"]) & (found["text_key"] == terms["k"])
-    return found.join(terms, same, "left").select("doc_id", "text_key", "spans", F.coalesce("terms", F.lit([]).cast("array<struct<start:int,end:int,disclosure:double>>")).alias("terms"))
+    own, secrets = F.filter("spans", lambda s: s["kind"] < BASE), F.filter("spans", lambda s: s["kind"] >= BASE)
+    return found.join(terms, same, "left").select("doc_id", "text_key", own.alias("spans"), secrets.alias("secrets"), F.coalesce("terms", F.lit([]).cast("array<struct<start:int,end:int,disclosure:double>>")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with [EMAIL], [IP], [CARD] and [PHONE] in place of entities, [WORD] in place of generalised terms, and without removed ones. Null text stays null."""
+    """docs with [EMAIL], [IP], [CARD], [PHONE] and [SECRET] in place of entities, [WORD] in place of generalised terms, and without removed ones. Null text stays null."""
     found = findings(docs, text, key)
     marks = F.concat(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), s["kind"] + 1).alias("mark"))),
+        F.transform(F.concat("spans", "secrets"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), s["kind"] + 1).alias("mark"))),
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[WORD]")).alias("mark"))),
     )
-    marks = found.where((F.size("spans") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.array_sort(marks).alias("__marks")).dropDuplicates(["__d", "__k"])
+    marks = found.where(F.size("spans") + F.size("secrets") + F.size("terms") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.array_sort(marks).alias("__marks")).dropDuplicates(["__d", "__k"])
     body = F.col(f"`{text}`")
 
     def step(done: Column, m: Column) -> Column:

@@ -29,10 +29,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(k: int) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
 
-    counts = map(count, range(4))
-    terms = F.transform("terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-    every = F.concat(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), terms)
-    return found.select("doc_id", *counts, F.sha2(pii.listed(spans).cast("binary"), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+    counts = map(count, range(pii.BASE))
+    terms = F.transform("terms", lambda t: F.struct(F.lit(pii.TERM_KIND).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    every = F.concat(F.transform(F.concat(spans, "secrets"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), terms)
+    added = (F.size("secrets").cast("long").alias("n_secret"), F.size("terms").cast("long").alias("n_term"), (F.size(every) > 0).alias("personal"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(spans).cast("binary"), 256).alias("base_sha256"), pii.listed(every).alias("spans"), *added)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ from tidemark.llm._common import only, shared_dir, stored
 #: Ids of a sequence, sequences of a batch.
 WIDTH, ROWS = 2048, 256
 CACHE = 800_000
+#: Documents whose new units are encoded together.
+SLICE = 128
 #: Marks that end a run of letters and never begin a contraction.
 _MARKS = ".,;:!?*%$&#|()[]{}<>/=+-_~^@\""
 _PARTS = "part int, path string, n_docs long, n_tokens long"
@@ -79,8 +81,11 @@ class _Ids:
             ids = np.frombuffer(self._fresh([" " + " ".join(part)])[0], self.kind)
             cut = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.kind.itemsize).tolist()
             raw = ids.tobytes()
-            self.known.update(zip(part, (raw[a:z] for a, z in zip(cut, cut[1:]))))
-        self.known.update(zip(other, self._fresh([" " + w for w in other])))
+            if len(cut) != len(part) + 1:  # a vocabulary whose tokens don't tell where a word begins
+                self.known.update(zip(part, self._fresh([" " + w for w in part]), strict=True))
+                continue
+            self.known.update(zip(part, (raw[a:z] for a, z in zip(cut, cut[1:])), strict=True))
+        self.known.update(zip(other, self._fresh([" " + w for w in other]), strict=True))
         for w, stem, tail in split:
             ids = self.tails.get(tail)
             if ids is None:
@@ -89,22 +94,38 @@ class _Ids:
                 ids = self.tails[tail] = self._fresh([tail])[0]
             self.known[w] = self.known[stem] + ids
 
+    def _head(self, first: str) -> bytes:
+        if len(first) >= 32 or len(self.heads) >= CACHE:
+            return self._fresh([first])[0]
+        return self.heads.get(first) or self.heads.setdefault(first, self._fresh([first])[0])
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the units that none has had before are encoded together."""
+        plans, met = [], {}
+        for text in texts:
+            if any(s in text for s in self.special):
+                plans.append(None)
+                continue
+            parts = [units(block) for block in blocks(text)]
+            for unit in parts:
+                met.update(dict.fromkeys(unit[1:]))
+            plans.append(parts)
+        new = [w for w in met if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = list(met)
+        if new:
+            self._learn(new)
+        out, known = [], self.known.__getitem__
+        for text, parts in zip(texts, plans, strict=True):
+            if parts is None:
+                out.append(self._fresh([text])[0])
+            else:
+                out.append(b"".join([x for first, *rest in parts for x in (self._head(first) if first else b"", *map(known, rest))]))
+        return out
+
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._fresh([text])[0]
-        out = []
-        for block in blocks(text):
-            first, *rest = units(block)
-            if first:
-                out.append(self.heads.get(first) or self.heads.setdefault(first, self._fresh([first])[0]) if len(first) < 32 and len(self.heads) < CACHE else self._fresh([first])[0])
-            found = list(map(self.known.get, rest))
-            if None in found:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                self._learn(dict.fromkeys(w for w, x in zip(rest, found) if x is None))
-                found = [self.known[w] if x is None else x for w, x in zip(rest, found)]
-            out += found
-        return b"".join(out)
+        return self.many([text])[0]
 
 
 _LOADED: dict[str, _Ids] = {}
@@ -193,16 +214,14 @@ def write(docs: DataFrame, path: str, end_id: int = 2, uri: str | None = None, t
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         out, end, at, n_docs = None, np.array([end_id], ids.kind).tobytes(), 0, 0
         index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        for batch in it:
-            if not batch.num_rows:
-                continue
+        for batch in (x.slice(lo, SLICE) for x in it for lo in range(0, x.num_rows, SLICE)):
             if out is None:
                 out = _Writer(store, f"{root}/{name}.arrow", ids.kind)
                 sink = store.open_output_stream(f"{root}/{name}.index.arrow")
                 places = pa.ipc.new_file(sink, index)
             starts, counts = [], []
-            for t in batch.column(1).to_pylist():
-                made = (ids(t) if t else b"") + end
+            for made in ids.many([t or "" for t in batch.column(1).to_pylist()]):
+                made += end
                 out.add(made)
                 starts.append(at)
                 counts.append(len(made) // ids.kind.itemsize)

@@ -14,6 +14,7 @@ import os
 import uuid
 import zlib
 from array import array
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -101,19 +102,19 @@ class _Ids:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the units that none has had before are encoded together."""
-        plans, met = [], {}
+        plans, met = [], set()
         for text in texts:
             if any(s in text for s in self.special):
                 plans.append(None)
                 continue
             parts = [units(block) for block in blocks(text)]
             for unit in parts:
-                met.update(dict.fromkeys(unit[1:]))
+                met.update(islice(unit, 1, None))
             plans.append(parts)
-        new = [w for w in met if w not in self.known]
+        new = met.difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = list(met)
+            new = met
         if new:
             self._learn(new)
         out, known = [], self.known.__getitem__
@@ -121,7 +122,7 @@ class _Ids:
             if parts is None:
                 out.append(self._fresh([text])[0])
             else:
-                out.append(b"".join([x for first, *rest in parts for x in (self._head(first) if first else b"", *map(known, rest))]))
+                out.append(b"".join([x for unit in parts for x in chain((self._head(unit[0]) if unit[0] else b"",), map(known, islice(unit, 1, None)))]))
         return out
 
     def __call__(self, text: str) -> bytes:

@@ -1,5 +1,6 @@
 """Literal vectors, metamorphic and plan tests of the operators."""
 
+import hashlib
 from datetime import date, datetime
 
 import numpy as np
@@ -171,3 +172,43 @@ def test_series_windows_are_partitioned(spark):
     plan = base.rets(spark, SMALL).withColumns(rolling.price_features(rolling.by("k")))._jdf.queryExecution().executedPlan().toString()
     big = [x for x in plan.splitlines() if "SinglePartition" in x]
     assert len(big) <= 1  # the day calendar alone
+
+
+def test_price_features_against_pandas(spark):
+    rng = np.random.default_rng(3)
+    n = 260
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+    p = pd.DataFrame({"k": "a", "date": pd.date_range("2020-01-01", periods=n).date, "open": close * np.exp(rng.normal(0, 0.01, n)), "high": close * 1.02, "low": close * (0.99 - 0.02 * rng.random(n)), "close": close, "volume": np.where(rng.random(n) < 0.05, 0.0, rng.integers(1, 10**6, n).astype(float))})
+    got = spark.createDataFrame(p).withColumns(rolling.price_features(rolling.by("k"))).orderBy("date").toPandas()
+    lv = np.log(p.volume.replace(0, np.nan))
+    want = {
+        "overnight_gap": np.log(p.open / p.close.shift(1)),
+        "range_vol": np.sqrt(np.log(p.high / p.low) ** 2 / (4 * np.log(2))).rolling(22, min_periods=15).mean(),
+        "momentum_21": np.log(p.close / p.close.shift(21)),
+        "momentum_63": np.log(p.close / p.close.shift(63)),
+        "dist_ma50": np.log(p.close / p.close.rolling(50, min_periods=40).mean()),
+        "dist_ma200": np.log(p.close / p.close.rolling(200, min_periods=150).mean()),
+        "volume_z": (lv - lv.rolling(20, min_periods=15).mean()) / lv.rolling(20, min_periods=15).std(),
+    }
+    for name, x in want.items():
+        np.testing.assert_allclose(got[name].astype(float), x, rtol=1e-8, atol=1e-12)
+
+
+def test_sessions_on_known_days(spark):
+
+    open_ = {r.session_date for r in calendar.trading_sessions(calendar.calendar_spine(spark, "1999-01-01", "2024-12-31")).select("session_date").collect()}
+    business = {r.date for r in calendar.business_days(calendar.calendar_spine(spark, "2019-01-01", "2024-12-31")).select("date").collect()}
+    day = date
+    closed = [day(2022, 6, 20), day(2022, 4, 15), day(2024, 3, 29), day(2001, 4, 13), day(2000, 4, 21), day(2021, 12, 24), day(2023, 1, 2), day(2024, 6, 19), day(1999, 4, 2)]
+    assert not open_ & set(closed)
+    assert {day(2021, 12, 31), day(2021, 6, 18), day(2022, 4, 18), day(2024, 4, 1), day(1999, 12, 31)} <= open_
+    assert day(2021, 6, 18) not in business and day(2021, 12, 31) not in business and day(2024, 3, 29) in business
+
+
+def test_bootstrap_draws_against_python(spark):
+
+    values = [float(v) for v in (3, 1, 4, 1, 5, 9, 2)]
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "k string, i int, v double")
+    got = {r.draw: r["mean"] for r in resample.draws(df, ["k"], "v", ["i"], 40, block=3).collect()}
+    pick = lambda d, i: values[(int(hashlib.md5(f"7|g|{d}|{i // 3}".encode()).hexdigest()[:8], 16) % 7 + i % 3) % 7]
+    assert len(got) == 40 and all(abs(got[d] - sum(pick(d, i) for i in range(7)) / 7) < 1e-12 for d in got)

@@ -29,21 +29,36 @@ def nth_weekday(date: Column, month: int, weekday: int, nth: int) -> Column:
     return (F.month(date) == month) & (F.weekday(date) == weekday) & week
 
 
-def fixed_holiday(date: Column, days: list[str]) -> Column:
-    """Is date one of the MM-dd days, or the Friday before or Monday after one that falls on a weekend."""
-    md = [F.date_format(F.date_add(date, k), "MM-dd").isin(days) for k in (0, 1, -1)]
-    return md[0] | (md[1] & (F.weekday(date) == 4)) | (md[2] & (F.weekday(date) == 0))
+def fixed_holiday(date: Column, days: dict[str, int], friday: list[str]) -> Column:
+    """Is date one of the MM-dd days, from their first year on, or the Monday after one on a Sunday or, for those of `friday`, the Friday before one on a Saturday."""
 
+    def falls(k: int, some) -> Column:
+        day = F.date_add(date, k)
+        return reduce(or_, [(F.date_format(day, "MM-dd") == md) & (F.year(day) >= days[md]) for md in some])
 
-#: Days off as MM-dd and as (month, weekday, nth), for the market and for federal offices.
-MARKET = (["01-01", "07-04", "12-25"], [(1, 0, 3), (2, 0, 3), (5, 0, 0), (9, 0, 1), (11, 3, 4)])
-FEDERAL = (["01-01", "07-04", "11-11", "12-25"], [(1, 0, 3), (2, 0, 3), (5, 0, 0), (9, 0, 1), (10, 0, 2), (11, 3, 4)])
+    return falls(0, days) | (falls(1, friday) & (F.weekday(date) == 4)) | (falls(-1, days) & (F.weekday(date) == 0))
+
+
+def good_friday(date: Column) -> Column:
+    """Is date the Friday before Easter, by Gauss's rule for 1900 to 2099."""
+    y = F.year(date)
+    a = y % 19
+    d = (19 * a + 24) % 30
+    e = (2 * (y % 4) + 4 * (y % 7) + 6 * d + 5) % 7
+    late = ((d == 29) & (e == 6)) | ((d == 28) & (e == 6) & (a > 10))
+    return date == F.date_add(F.make_date(y, F.lit(3), F.lit(20)), (d + e - F.when(late, 7).otherwise(0)).cast("int"))
+
+
+#: Days off as MM-dd and their first year, those of them that a Friday stands for, as (month, weekday, nth), and whether Good Friday is one; for the market and for federal offices.
+MARKET = ({"01-01": 0, "06-19": 2022, "07-04": 0, "12-25": 0}, ["06-19", "07-04", "12-25"], [(1, 0, 3), (2, 0, 3), (5, 0, 0), (9, 0, 1), (11, 3, 4)], True)
+FEDERAL = ({"01-01": 0, "06-19": 2021, "07-04": 0, "11-11": 0, "12-25": 0}, ["01-01", "06-19", "07-04", "11-11", "12-25"], [(1, 0, 3), (2, 0, 3), (5, 0, 0), (9, 0, 1), (10, 0, 2), (11, 3, 4)], False)
 
 
 def is_open(date: Column, rules=MARKET) -> Column:
     """A weekday that the rules don't close."""
-    fixed, floating = rules
-    closed = reduce(or_, [nth_weekday(date, *f) for f in floating], fixed_holiday(date, fixed))
+    fixed, friday, floating, easter = rules
+    closed = reduce(or_, [nth_weekday(date, *f) for f in floating], fixed_holiday(date, fixed, friday))
+    closed = closed | good_friday(date) if easter else closed
     return (F.weekday(date) < 5) & ~closed
 
 

@@ -13,21 +13,25 @@ def drawn(*parts: Column | str | int, below: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % below
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with i from 0 on and n, the rows of its group."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(w))
-
-
 def draws(df: DataFrame, keys: list[str], value: str, order: list[str], n_draws: int, block: int = 1, seed: int = 7, within: list[str] = ()) -> DataFrame:
-    """keys, draw, mean: means of resampled values, in circular blocks of `block` rows, the last cut to n; `within` strata are drawn alone and averaged."""
+    """keys, draw, mean: means of resampled values, in circular blocks of `block` rows, the last cut to n; `within` strata are drawn alone and averaged.
+
+    A group's values (one a forecast window) are held as one array, and each draw takes its values from it by place: df is
+    read once, and only the arrays are shuffled, once for each share of the draws.
+    """
     groups = [*keys, *within]
-    rows = numbered(df, groups, order)
-    named = F.concat_ws("/", *groups)
-    starts = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    start = drawn(seed, named, F.col("draw"), F.floor(F.col("i") / block), below=F.col("n"))
-    picked = starts.select(*groups, "draw", ((start + F.col("i") % block) % F.col("n")).alias("i"))
-    mean = picked.join(rows.select(*groups, "i", F.col(value).alias("__v")), [*groups, "i"]).groupBy(*groups, "draw").agg(F.avg("__v").alias("mean"))
+    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
+    held = df.groupBy(*groups).agg(F.transform(ordered, lambda s: s["__v"]).alias("__held"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(min(n_draws, 4 * parts) - 1))).alias("__share")).repartition(parts, *groups, "__share")
+    each = shares.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_draws - 1)), lambda x: x % min(n_draws, 4 * parts) == F.col("__share"))).alias("draw"))
+    n, named = F.size("__held").cast("long"), F.concat_ws("/", *groups)
+
+    def step(total: Column, i: Column) -> Column:
+        start = drawn(seed, named, F.col("draw"), F.floor(i / block), below=n)
+        return total + F.get("__held", ((start + i % block) % n).cast("int"))
+
+    mean = each.select(*groups, "draw", (F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), step) / n).alias("mean"))
     return mean.groupBy(*keys, "draw").agg(F.avg("mean").alias("mean")) if within else mean
 
 

@@ -55,16 +55,16 @@ def average_rank(c: str, w_keys: list[str]) -> Column:
 
 
 def price_features(w: WindowSpec) -> dict[str, Column]:
-    """Overnight gap, Parkinson range, momentum, distance to means, volume z-score."""
-    volume = F.when(F.col("volume") > 0, F.col("volume"))
+    """Overnight gap, mean daily range volatility (Parkinson), log momentum, log distance to means, z-score of the log volume."""
+    volume = F.ln(F.when(F.col("volume") > 0, F.col("volume")))
     mean, std = rolling(F.avg, volume, w, 20, 15), rolling(F.stddev_samp, volume, w, 20, 15)
-    spread = F.pow(F.ln(ratio(F.col("high"), F.col("low"))), 2)
+    daily = F.sqrt(F.pow(F.ln(ratio(F.col("high"), F.col("low"))), 2) / F.lit(4 * 0.6931471805599453))
     return {
         "overnight_gap": F.ln(ratio(F.col("open"), lag("close", w))),
-        "range_vol": F.sqrt(rolling(F.avg, spread, w, 22, 15) / F.lit(4 * 0.6931471805599453)),
-        "momentum_21": pct_change("close", w, 21),
-        "momentum_63": pct_change("close", w, 63),
-        "dist_ma50": ratio(F.col("close"), rolling(F.avg, "close", w, 50, 40)) - 1,
-        "dist_ma200": ratio(F.col("close"), rolling(F.avg, "close", w, 200, 150)) - 1,
+        "range_vol": rolling(F.avg, daily, w, 22, 15),
+        "momentum_21": F.ln(ratio(F.col("close"), lag("close", w, 21))),
+        "momentum_63": F.ln(ratio(F.col("close"), lag("close", w, 63))),
+        "dist_ma50": F.ln(ratio(F.col("close"), rolling(F.avg, "close", w, 50, 40))),
+        "dist_ma200": F.ln(ratio(F.col("close"), rolling(F.avg, "close", w, 200, 150))),
         "volume_z": ratio(volume - mean, F.nullif(std, F.lit(0.0))),
     }

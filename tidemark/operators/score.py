@@ -55,9 +55,11 @@ def metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def window_wql(df: DataFrame, keys: list[str], denominator: list[str]) -> DataFrame:
     """WQL of each window (keys, window). The mean absolute actual is taken over `denominator`: the fold, or the window's own keys."""
-    scale = F.avg(F.abs("actual")).over(Window.partitionBy(*denominator))
     loss = pinball(LEVELS, F.col("q"), F.col("actual"))
-    return df.withColumn("__s", scale).withColumn("__l", loss).groupBy(*keys, "window").agg((2 * ratio(F.avg("__l"), F.max("__s"))).alias("wql"))
+    sums = df.groupBy(*dict.fromkeys([*denominator, *keys, "window"])).agg(F.avg(loss).alias("__l"), F.sum(F.abs("actual")).alias("__a"), F.count("actual").alias("__n"))
+    own = Window.partitionBy(*denominator)  # of rows that are one a window by now
+    scale = ratio(F.sum("__a").over(own), F.sum("__n").over(own))
+    return sums.select(*keys, "window", (2 * ratio(F.col("__l"), scale)).alias("wql"))
 
 
 def crossings(q: Column, tolerance: float = 1e-8) -> Column:

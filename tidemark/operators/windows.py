@@ -24,12 +24,13 @@ def split_by_fraction(df: DataFrame, keys: list[str], fraction: float, horizon:
     return df.withColumn("part", F.when(F.col("idx") > n - rows, "validation").otherwise("train"))
 
 
-def origins(df: DataFrame, keys: list[str], horizon: int, stride: int, most: int) -> DataFrame:
-    """keys, window, origin (the last context row): each stretch of rows given by `keys` is cut from its first row on, while a whole horizon is left; the earliest `most`."""
+def origins(df: DataFrame, keys: list[str], horizon: int, stride: int, most: int | None = None) -> DataFrame:
+    """keys, window, origin (the last context row): each stretch of rows given by `keys` is cut from its first row on, while a whole horizon is left; all of them, or the earliest `most`."""
     w = Window.partitionBy(*keys)
     placed = df.withColumn("lo", F.min("idx").over(w)).withColumn("hi", F.max("idx").over(w))
     start = F.col("idx") - F.col("lo")
-    first = placed.where((start % stride == 0) & (F.col("idx") + horizon - 1 <= F.col("hi")) & (start / stride < most))
+    first = placed.where((start % stride == 0) & (F.col("idx") + horizon - 1 <= F.col("hi")))
+    first = first if most is None else first.where(start / stride < most)
     return first.select(*keys, (start / stride).cast("long").alias("window"), (F.col("idx") - 1).alias("origin"))
 
 

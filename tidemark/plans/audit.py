@@ -12,7 +12,7 @@ from tidemark.functions.scalars import ratio
 from tidemark.operators import calendar, quality, text
 from tidemark.operators.rolling import by
 from tidemark.plans.base import CTE, bars, query, r, rets, signals, spine, spine24, table
-from tidemark.plans.evaluation import CELL, predictions
+from tidemark.plans.evaluation import CELL, predictions, targets
 from tidemark.plans.market import _FEATS, _filed, feature_frame
 
 # selection -------------------------------------------------------------------------------------------------------------
@@ -57,10 +57,10 @@ def lowest_coverage(spark, d):
     return m.orderBy(F.round("s", 9), "column").limit(5).select("column", r("s", "share"))
 
 
-@query("date_set_ops", "SELECT date, 'either' AS kind FROM (SELECT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_orderkey % 50 = 0) UNION ALL SELECT date, 'orders_only' FROM (SELECT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 50 = 0 EXCEPT SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_orderkey % 50 = 0)")
+@query("date_set_ops", "SELECT date, 'either' AS kind FROM (SELECT CAST(o_orderdate AS DATE) AS date FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem) UNION ALL SELECT date, 'orders_only' FROM (SELECT CAST(o_orderdate AS DATE) AS date FROM orders EXCEPT SELECT CAST(l_shipdate AS DATE) FROM lineitem)")
 def date_set_ops(spark, d):
-    a = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("date").alias("date"))
-    b = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_shipdate").cast("date").alias("date"))
+    a = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
+    b = table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
     return a.union(b).distinct().withColumn("kind", F.lit("either")).unionByName(a.subtract(b).withColumn("kind", F.lit("orders_only")))
 
 
@@ -249,12 +249,12 @@ def recompute_checks(spark, d):
     return f.groupBy("k").agg(r(F.max(F.abs(F.col("y") - (F.ln("close") - F.ln("before")))), "target_gap"), r(F.max(F.abs(F.col("overnight_gap") - (F.ln("open") - F.ln("before")))), "overnight_gap"))
 
 
-@query("changes_on_release_only", "SELECT k, date FROM (SELECT k, date, v1_lag1 IS DISTINCT FROM lag(v1_lag1) OVER (PARTITION BY k ORDER BY date) AS changed, lag(date) OVER (PARTITION BY k ORDER BY date) AS before FROM ftable) f WHERE changed AND before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM signals s JOIN daymap m ON m.date = s.avail WHERE s.k = f.k AND s.v1 IS NOT NULL AND m.next_after = f.date AND s.id % 2 = 0)")
+@query("changes_on_release_only", "SELECT k, date FROM (SELECT k, date, v1_lag1 IS DISTINCT FROM lag(v1_lag1) OVER (PARTITION BY k ORDER BY date) AS changed, lag(date) OVER (PARTITION BY k ORDER BY date) AS before FROM ftable) f WHERE changed AND before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM signals s JOIN daymap m ON m.date = s.avail WHERE s.k = f.k AND s.v1 IS NOT NULL AND m.next_after = f.date)")
 def changes_on_release_only(spark, d):
     w = by("k")
     f = feature_frame(spark, d).select("k", "date", (~F.col("v1_lag1").eqNullSafe(F.lag("v1_lag1").over(w))).alias("changed"), F.lag("date").over(w).alias("before")).where("changed and before is not null")
     m = F.broadcast(calendar.session_day_map(spine(spark)).select(F.col("date").alias("avail"), F.col("next_after").alias("date")))
-    known = signals(spark, d).where("v1 is not null and id % 2 = 0").join(m, "avail").select("k", "date")
+    known = signals(spark, d).where("v1 is not null").join(m, "avail").select("k", "date")
     return f.select("k", "date").join(known, ["k", "date"], "left_anti")
 
 
@@ -337,8 +337,9 @@ def missing_dates(spark, d):
     return feature_frame(spark, d).select("k", "date", n.alias("n_missing")).where("n_missing > 0")
 
 
-@query("run_completeness", "SELECT rung, fold, seed, bool_and(n = 1200) AND count(*) = 2 AS complete FROM (SELECT rung, fold, seed, model, count(*) AS n FROM preds GROUP BY ALL) GROUP BY rung, fold, seed")
+@query("run_completeness", "SELECT rung, p.fold, seed, bool_and(p.n = e.n) AND count(*) = 2 AS complete FROM (SELECT rung, fold, seed, model, count(*) AS n FROM preds GROUP BY ALL) p JOIN (SELECT fold, count(*) AS n FROM tgt GROUP BY fold) e ON e.fold = p.fold GROUP BY rung, p.fold, seed")
 def run_completeness(spark, d):
     n = predictions(spark, d).groupBy(*CELL, "model").agg(F.count("*").alias("n"))
-    return n.groupBy(*CELL).agg((F.bool_and(F.col("n") == 1200) & (F.count("*") == 2)).alias("complete"))
+    expected = targets(spark, d).groupBy("fold").agg(F.count("*").alias("expected"))  # a row for each window and step of the fold
+    return n.join(expected, "fold").groupBy(*CELL).agg((F.bool_and(F.col("n") == F.col("expected")) & (F.count("*") == 2)).alias("complete"))
 

@@ -57,10 +57,14 @@ def r(c: Column | str, name: str | None = None, places: int = 6) -> Column:
 
 
 def open_sql(rules, d: str = "date") -> str:
-    fixed, floating = rules
-    days = ", ".join(f"'{x}'" for x in fixed)
+    fixed, friday, floating, easter = rules
+    falls = lambda k, some: "(" + " OR ".join(f"(strftime({d} + {k}, '%m-%d') = '{x}' AND year({d} + {k}) >= {fixed[x]})" for x in some) + ")"
     nth = " OR ".join(f"(month({d}) = {m} AND isodow({d}) = {w + 1} AND {f'day({d}) > 24' if n == 0 else f'(day({d}) + 6) // 7 = {n}'})" for m, w, n in floating)
-    observed = f"strftime({d}, '%m-%d') IN ({days}) OR (isodow({d}) = 5 AND strftime({d} + 1, '%m-%d') IN ({days})) OR (isodow({d}) = 1 AND strftime({d} - 1, '%m-%d') IN ({days}))"
+    observed = f"{falls(0, fixed)} OR (isodow({d}) = 5 AND {falls(1, friday)}) OR (isodow({d}) = 1 AND {falls(-1, fixed)})"
+    if easter:
+        a, m = f"(year({d}) % 19)", f"((19 * (year({d}) % 19) + 24) % 30)"
+        e = f"((2 * (year({d}) % 4) + 4 * (year({d}) % 7) + 6 * {m} + 5) % 7)"
+        observed += f" OR {d} = make_date(year({d}), 3, 20) + CAST({m} + {e} - CASE WHEN {e} = 6 AND ({m} = 29 OR ({m} = 28 AND {a} > 10)) THEN 7 ELSE 0 END AS INT)"
     return f"(isodow({d}) < 6 AND NOT ({observed} OR {nth}))"
 
 

@@ -17,7 +17,7 @@ from tidemark.plans.base import CTE, bars, query, r, rets, spine
 from tidemark.plans.market import _calendar, feature_frame, features
 
 RUNGS, SEEDS, YEARS = (20, 60, 120), (0, 1, 2), (1997, 1998, 1999)
-HORIZON, STRIDE, MOST = 5, 5, 40
+HORIZON, STRIDE = 5, 5
 CELL = ["rung", "fold", "seed"]
 
 # SQL of the same frames ------------------------------------------------------------------------------------------------
@@ -29,7 +29,7 @@ def _frame(n):
 
 _Z, _L = (f"[{', '.join(map(repr, x))}]" for x in (score.Z, score.LEVELS))
 CTE["folds"] = f"SELECT *, CAST(year(date) AS INT) AS fold FROM rets WHERE y IS NOT NULL AND year(date) IN {YEARS}"
-CTE["org"] = f"SELECT k, fold, (idx - lo) // {STRIDE} AS window_id, idx - 1 AS origin FROM (SELECT k, fold, idx, min(idx) OVER (PARTITION BY k, fold) AS lo, max(idx) OVER (PARTITION BY k, fold) AS hi FROM folds) WHERE (idx - lo) % {STRIDE} = 0 AND idx + {HORIZON - 1} <= hi AND (idx - lo) // {STRIDE} < {MOST}"
+CTE["org"] = f"SELECT k, fold, (idx - lo) // {STRIDE} AS window_id, idx - 1 AS origin FROM (SELECT k, fold, idx, min(idx) OVER (PARTITION BY k, fold) AS lo, max(idx) OVER (PARTITION BY k, fold) AS hi FROM folds) WHERE (idx - lo) % {STRIDE} = 0 AND idx + {HORIZON - 1} <= hi"
 CTE["tgt"] = f"SELECT o.k, o.fold, o.window_id, o.origin, h.h AS horizon, t.date, t.y AS actual, b.date AS forecast_origin FROM org o CROSS JOIN (SELECT CAST(unnest(range(1, {HORIZON + 1})) AS INT) AS h) h JOIN rets t ON t.k = o.k AND t.idx = o.origin + h.h JOIN rets b ON b.k = o.k AND b.idx = o.origin"
 CTE["sigmas"] = "SELECT k, idx AS origin, " + ", ".join(f"stddev_samp(y) {_frame(n + s)} AS s{n + s}, avg(y) {_frame(n + s)} AS m{n + s}" for n in RUNGS for s in SEEDS) + " FROM rets"
 CTE["cells"] = " UNION ALL ".join(f"SELECT k, origin, {n} AS rung, {s} AS seed, '{m}' AS model, {f'm{n + s}' if m == 'tuned' else '0.0'} AS shift, {f's{n + s}' if m == 'tuned' else 's60'} AS sigma FROM sigmas" for n in RUNGS for s in SEEDS for m in ("base", "tuned"))
@@ -56,7 +56,7 @@ def folded(spark, d):
 
 def targets(spark, d):
     s = rets(spark, d)
-    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE, MOST)
+    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE)
     return windows.targets(o, s, ["k"], HORIZON, "y")
 
 
@@ -98,14 +98,14 @@ _KEYS = ["rung", "fold", "k", "window"]
 
 
 def deltas(spark, d):
-    s = seed_means(spark, d)
-    return paired(s.where("model = 'tuned'"), s.where("model = 'base'"), _KEYS)
+    side = lambda model: F.max(F.when(F.col("model") == model, F.col("wql")))
+    return seed_means(spark, d).groupBy(*_KEYS).agg((side("tuned") - side("base")).alias("delta")).where("delta is not null")
 
 
 def versus_control(spark, d):
     s = seed_means(spark, d).where("model = 'tuned'")
-    control = s.where("rung = 60").select("fold", "k", "window", F.col("wql").alias("c"))
-    return s.where("rung <> 60").join(control, ["fold", "k", "window"]).select(*_KEYS, (F.col("wql") - F.col("c")).alias("delta"))
+    each = s.groupBy("fold", "k", "window").agg(F.max(F.when(F.col("rung") == 60, F.col("wql"))).alias("c"), F.collect_list(F.when(F.col("rung") != 60, F.struct("rung", "wql"))).alias("others"))  # one a rung
+    return each.where("c is not null").select("fold", "k", "window", "c", F.explode("others").alias("o")).select(F.col("o.rung").alias("rung"), "fold", "k", "window", (F.col("o.wql") - F.col("c")).alias("delta"))
 
 
 def run_wql(spark, d):
@@ -144,7 +144,7 @@ def rolling_windows(spark, d):
 
 @query("context_arrays", f"SELECT o.k, o.fold, o.window_id AS \"window\", least(o.origin, 20) AS n, round(c.total, 5) AS total, c.n_null FROM org o JOIN (SELECT k, idx, sum(y) {_frame(20)} AS total, count(*) {_frame(20)} - count(y) {_frame(20)} AS n_null FROM rets) c ON c.k = o.k AND c.idx = o.origin")
 def context_arrays(spark, d):
-    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE, MOST)
+    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE)
     c = windows.context(rets(spark, d), ["k"], ["y"], 20).select("k", F.col("idx").alias("origin"), "y_context").join(o, ["k", "origin"])
     there = F.filter("y_context", lambda x: x.isNotNull())
     return c.select("k", "fold", "window", F.size("y_context").cast("long").alias("n"), r(F.aggregate(there, F.lit(0.0), lambda s, x: s + x), "total", 5), (F.size("y_context") - F.size(there)).cast("long").alias("n_null"))
@@ -162,7 +162,7 @@ def future_block(spark, d):
 
 @query("horizon_covered", f"SELECT o.k, o.fold, o.origin, coalesce(bool_and(f.is_event_day IS NOT NULL AND f.days_to_event IS NOT NULL), false) AND count(f.k) = {HORIZON} AS covered FROM org o LEFT JOIN ftable f ON f.k = o.k AND f.idx > o.origin AND f.idx <= o.origin + {HORIZON} GROUP BY ALL")
 def horizon_covered(spark, d):
-    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE, MOST).select("k", "fold", F.col("origin").alias("idx"))
+    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE).select("k", "fold", F.col("origin").alias("idx"))
     days = feature_frame(spark, d).select("k", "idx", "is_event_day", "days_to_event").join(o.select("k", "fold").distinct(), "k")
     return align.horizon_covered(o, days, ["k", "fold"], HORIZON, ["is_event_day", "days_to_event"])
 
@@ -279,7 +279,7 @@ CTE["gains"] = "SELECT x.rung, x.fold, x.k, x.window_id, x.delta, v.vol, o.origi
 
 def gains(spark, d):
     s = rets(spark, d).select("k", F.col("idx").alias("origin"), F.stddev_samp("y").over(by("k").rowsBetween(-19, 0)).alias("vol"), F.date_trunc("week", "date").alias("week"))
-    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE, MOST)
+    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE)
     return deltas(spark, d).join(o, ["k", "fold", "window"]).join(s, ["k", "origin"])
 
 
@@ -459,7 +459,7 @@ for _name, _sort in (("top_improvements", "ASC"), ("top_regressions", "DESC")):
 
 # bootstraps ------------------------------------------------------------------------------------------------------------
 
-DRAWS = 200
+DRAWS = 3000
 
 
 @query("paired_delta", "SELECT rung, fold, count(*) AS n, round(avg(delta), 6) AS mean, round(avg(CAST(delta < 0 AS INT)), 6) AS win_share FROM deltas GROUP BY rung, fold")
@@ -540,7 +540,7 @@ CTE["imp"] = f"SELECT p.k, feature, repeat, p.window_id, min(t.forecast_origin)
 
 def contexts(spark, d):
     """k, window, origin, s60 and the context arrays of the features."""
-    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE, MOST).where(F.col("fold") == YEAR).drop("fold")
+    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE).where(F.col("fold") == YEAR).drop("fold")
     x = features(spark, d).withColumn("s60", F.stddev_samp("y").over(by("k").rowsBetween(-59, 0)))
     c = windows.context(x, ["k"], list(FEATURES), CONTEXT).select("k", F.col("idx").alias("origin"), "s60", *(F.col(f"{f}_context").alias(f) for f in FEATURES))
     return o.join(c, ["k", "origin"])
@@ -626,7 +626,7 @@ def ranking(spark, d):
 
 @query("forecast_udf", f"SELECT o.k, o.fold, o.window_id AS \"window\", h.h AS horizon, round(s.s60 * {_Z}[3], 6) AS q10, round(s.s60 * {_Z}[19], 6) AS q90 FROM org o JOIN sigmas s ON s.k = o.k AND s.origin = o.origin CROSS JOIN (SELECT CAST(unnest(range(1, {HORIZON + 1})) AS INT) AS h) h")
 def forecast_udf(spark, d):
-    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE, MOST)
+    o = windows.origins(folded(spark, d), ["k", "fold"], HORIZON, STRIDE)
     c = windows.context(rets(spark, d), ["k"], ["y"], 60).select("k", F.col("idx").alias("origin"), "y_context").join(o, ["k", "origin"])
     q = forecast(c, ["k", "fold", "window"], "y_context", HORIZON)
     return q.select("k", "fold", "window", "horizon", r(score.level("q", 0.1), "q10"), r(score.level("q", 0.9), "q90"))

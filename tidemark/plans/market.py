@@ -159,11 +159,11 @@ def event_flags_coverage(spark, d):
     return flagged.select("date", F.when(F.col("date") <= F.col("through"), F.coalesce("hit", F.lit(0))).alias("is_event_day"))
 
 
-@query("next_sessions", "SELECT event_id, step, session_date FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY session_date) AS INT) AS step, session_date FROM events JOIN sessions24 ON close_s > epoch(ts) AND session_date <= CAST(ts AS DATE) + 16 WHERE event_id % 20 = 0) WHERE step <= 5")
+@query("next_sessions", "SELECT event_id, step, session_date FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY session_date) AS INT) AS step, session_date FROM events JOIN sessions24 ON close_s > epoch(ts) AND session_date <= CAST(ts AS DATE) + 16) WHERE step <= 5")
 def next_sessions(spark, d):
     s = calendar.trading_sessions(spine24(spark))
     numbered = s.select("session_date", "idx")
-    at = align.first_close_after(table(spark, d, "events").where("event_id % 20 = 0").select("event_id", F.col("ts").alias("accepted"), F.col("ts").cast("date").alias("filed")), calendar.session_day_map(spine24(spark)))
+    at = align.first_close_after(table(spark, d, "events").select("event_id", F.col("ts").alias("accepted"), F.col("ts").cast("date").alias("filed")), calendar.session_day_map(spine24(spark)))
     first = at.join(F.broadcast(numbered.withColumnRenamed("session_date", "available")), "available")
     ahead = first.select("event_id", "idx", F.posexplode(F.sequence(F.col("idx"), F.col("idx") + 4)).alias("p", "j"))
     return ahead.select("event_id", (F.col("p") + 1).alias("step"), F.col("j").alias("idx")).join(F.broadcast(numbered), "idx").select("event_id", "step", "session_date")
@@ -327,8 +327,8 @@ def rolling_min_periods(spark, d):
     return s.select("k", "date", r(over(F.avg, "v1", w, 22, 15), "m22", 4), r(over(F.stddev_samp, "v1", w, 20, 15), "s20", 4), r(over(F.avg, "v1", w, 7, 4), "m7", 4))
 
 
-CTE["feats"] = f"""SELECT k, date, open, high, low, close, volume, y, idx, ln(open / lag(close) OVER w) AS overnight_gap, sqrt({_roll('avg', 'hl', 22, 15)} / (4 * ln(2))) AS range_vol, close / lag(close, 21) OVER w - 1 AS momentum_21, close / lag(close, 63) OVER w - 1 AS momentum_63,
- close / ({_roll('avg', 'close', 50, 40)}) - 1 AS dist_ma50, close / ({_roll('avg', 'close', 200, 150)}) - 1 AS dist_ma200, (volume - {_roll('avg', 'volume', 20, 15)}) / nullif({_roll('stddev_samp', 'volume', 20, 15)}, 0) AS volume_z FROM (SELECT *, ln(high / low) ** 2 AS hl FROM rets) {_W}"""
+CTE["feats"] = f"""SELECT k, date, open, high, low, close, volume, y, idx, ln(open / lag(close) OVER w) AS overnight_gap, ({_roll('avg', 'hl', 22, 15)}) AS range_vol, ln(close / lag(close, 21) OVER w) AS momentum_21, ln(close / lag(close, 63) OVER w) AS momentum_63,
+ ln(close / ({_roll('avg', 'close', 50, 40)})) AS dist_ma50, ln(close / ({_roll('avg', 'close', 200, 150)})) AS dist_ma200, (lv - {_roll('avg', 'lv', 20, 15)}) / nullif({_roll('stddev_samp', 'lv', 20, 15)}, 0) AS volume_z FROM (SELECT *, sqrt(ln(high / low) ** 2 / (4 * ln(2))) AS hl, ln(nullif(volume, 0)) AS lv FROM rets) {_W}"""
 _FEATS = ["overnight_gap", "range_vol", "momentum_21", "momentum_63", "dist_ma50", "dist_ma200", "volume_z"]
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import LOWER, SPACE, dropped, mix, stored, word_hashes
 
-#: Bytes of a context: at least, and at most (15 with the byte after it would fill the key).
-LEAST, DEPTH = 5, 8
+#: Bytes of a context: at least, and at most; with the byte after it, a gram fills an integer.
+LEAST, DEPTH = 5, 7
 BLOCK = 16 << 20
 #: Partitions of the tree at most: more than the blocks of a part would only make the packed arrays small.
 PARTS = 4096
@@ -37,7 +37,7 @@ PARTS = 4096
 END = 0xFF
 #: Keys of pieces that wait until they are merged with the others.
 MERGE = 1 << 20
-_CHUNK = 1 << 19
+_CHUNK = 1 << 20
 _WORD_END = np.uint64(0xE7D)
 _STOP = SPACE.copy()
 _STOP[END] = True
@@ -74,8 +74,8 @@ def depths(stop: np.ndarray) -> np.ndarray:
     return np.clip(at - np.concatenate(([-DEPTH], last[:-1])), LEAST, DEPTH)
 
 
-def _gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of the texts and their ends the gram as two integers: the context, most recent byte first, no bytes beyond its depth, and the byte itself last; and where each text begins."""
+def _gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For all bytes of the texts and their ends the gram as an integer: the context, most recent byte first, no bytes beyond its depth, and the byte itself last; and where each text begins."""
     head, end = bytes([END]) * DEPTH, bytes([END])
     b = np.frombuffer(b"".join(head + t + end for t in texts), np.uint8)
     size = np.array([len(t) + 1 for t in texts])
@@ -83,17 +83,14 @@ def _gram_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(size.sum()) + np.repeat(DEPTH * np.arange(1, len(texts) + 1), size)
     depth = depths(_STOP[b])[at]
     wide = b.astype(np.uint64)
-    high, low = np.zeros(len(at), np.uint64), wide[at]
+    key = wide[at]
     for j in range(1, LEAST + 1):
-        high |= wide[at - j] << np.uint64(64 - 8 * j)
+        key |= wide[at - j] << np.uint64(64 - 8 * j)
     deep = np.arange(len(at))
     for j in range(LEAST + 1, DEPTH + 1):
         deep = deep[depth[deep] >= j]
-        if j <= 8:
-            high[deep] |= wide[at[deep] - j] << np.uint64(64 - 8 * j)
-        else:
-            low[deep] |= wide[at[deep] - j] << np.uint64(128 - 8 * j)
-    return high, low, first
+        key[deep] |= wide[at[deep] - j] << np.uint64(64 - 8 * j)
+    return key, first
 
 
 def _word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,88 +118,68 @@ def _chunks(table: pa.Table):
 
 
 class _Counts:
-    """Distinct keys of pieces of text and their counts. A key is a hash and what it stands for."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.fresh = 0
-
-    def add(self, weight: int, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts one piece; which of its distinct keys each place holds, and their hashes."""
-        h = key[0] if len(key) == 1 else mix(key[0] ^ mix(key[1]))
-        codes, found = pd.factorize(h)
-        first = np.empty(len(found), np.int64)
-        first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
-        self.parts.append((found, np.bincount(codes, minlength=len(found)) * weight, *(k[first] for k in key if len(key) > 1)))
-        self.fresh += len(found)
-        if self.fresh > MERGE:
-            self.parts, self.fresh = [self.whole()], 0
-        return codes.astype(np.int32), found
-
-    def whole(self) -> tuple[np.ndarray, ...]:
-        """Hashes, ascending, counts and what they stand for."""
-        h, n, *rest = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(h)
-        first = np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
-        return h[order][first], np.add.reduceat(n[order], first), *(x[order][first] for x in rest)
-
+    """Distinct keys of pieces of text and their counts."""
 
-def _dealt(parts: int, h: np.ndarray, high: np.ndarray | None = None, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which keys are sent, by partition and then by key; and where each partition's begin."""
-    order = np.arange(len(h)) if high is None else np.lexsort((low, high))
-    part = (mix(h if high is None else high >> np.uint64(48)) % np.uint64(parts)).astype(np.int16)[order]
-    by_part = np.argsort(part, kind="stable")
-    return order[by_part], np.searchsorted(part[by_part], np.arange(parts + 1))
+    def __init__(self, merge: int | None = MERGE) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.merge, self.fresh = merge, 0
 
-
-def _packed(*columns: np.ndarray) -> bytes:
-    """Arrays, byte by byte of their elements: sorted keys have long runs of equal leading bytes."""
-    planes = [np.ascontiguousarray(c.astype(c.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns]
-    return _CODEC.compress(b"".join(planes), asbytes=True)
+    def add(self, weight: int, keys: np.ndarray) -> np.ndarray:
+        """Counts one piece; says which of its distinct keys each place holds."""
+        codes, found = pd.factorize(keys)
+        self.parts.append((found, np.bincount(codes, minlength=len(found)) * weight))
+        self.fresh += len(found)
+        if self.merge is not None and self.fresh > self.merge:
+            self.parts, self.fresh = [self.whole()[:2]], 0
+        return codes.astype(np.int32)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Keys, ascending, their counts, and where the keys of each piece stand among them."""
+        keys, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(keys)
+        new = np.concatenate(([True], np.diff(keys[order]) != 0))
+        at = np.empty(len(keys), np.int32)
+        at[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        return keys[order][first], np.add.reduceat(n[order], first), np.split(at, np.cumsum([len(k) for k, _ in self.parts])[:-1])
 
 
-def _unpacked(raw: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    flat, at, out = np.frombuffer(_CODEC.decompress(raw, n * sum(sizes)), np.uint8), 0, []
-    for kind, size in zip(kinds, sizes):
-        planes = flat[at : at + n * size].reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind))
-        at += n * size
-    return out
+def _dealt(kind: int, parts: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which ascending keys are sent, by partition; and where each partition's begin."""
+    part = (mix(keys if kind else keys >> np.uint64(48)) % np.uint64(parts)).astype(np.int16)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-_KEYS = {0: ("u8", "u8"), 1: ("u8",)}
+def _packed(x: np.ndarray) -> bytes:
+    """An array, byte by byte of its elements: sorted keys have long runs of equal leading bytes."""
+    planes = np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, x.itemsize).T)
+    return _CODEC.compress(planes.tobytes(), asbytes=True)
 
 
-def _tallied(pieces, modulus: int, remainder: int, each=None) -> tuple[_Counts, _Counts]:
-    """Counts of the grams and words of pieces of documents. Held-out documents count nothing, but their keys are there."""
-    grams, words = _Counts(), _Counts()
-    for ids, texts in pieces:
-        if each is None:
-            for weight in (1, 0):
-                some = [t for i, t in zip(ids, texts) if held_out(i, modulus, remainder) != bool(weight)]
-                if some:
-                    high, low, _ = _gram_keys(some)
-                    grams.add(weight, high, low)
-                    words.add(weight, _word_keys(some)[0])
-        else:
-            high, low, first = _gram_keys(texts)
-            hashes, begin = _word_keys(texts)
-            each((ids, texts), (first, *grams.add(0, high, low)), (begin, len(hashes), *words.add(0, hashes)))
-    return grams, words
+def _unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(raw, n * size), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind)
 
 
 def _send(parts: int, modulus: int, remainder: int):
     def run(key, table):
-        block = key[0].as_py()
+        block, both = key[0].as_py(), (_Counts(), _Counts())
+        for ids, texts in _chunks(table):
+            for weight in (1, 0):  # held-out documents count nothing, but their keys are there
+                some = [t for i, t in zip(ids, texts) if held_out(i, modulus, remainder) != bool(weight)]
+                if some:
+                    both[0].add(weight, _gram_keys(some)[0])
+                    both[1].add(weight, _word_keys(some)[0])
         rows: list[list] = [[] for _ in range(6)]
-        for kind, counts in enumerate(_tallied(_chunks(table), modulus, remainder)):
-            h, n, *rest = counts.whole()
-            order, ends = _dealt(parts, h, *rest)
-            n, keys = n[order].astype(np.uint32), [k[order] for k in (rest or [h])]
+        for kind, counts in enumerate(both):
+            keys, n, _ = counts.whole()
+            order, ends = _dealt(kind, parts, keys)
+            keys, n = keys[order], n[order].astype(np.uint32)
             for p in np.flatnonzero(np.diff(ends)).tolist():
                 cut = slice(ends[p], ends[p + 1])
-                for column, x in zip(rows, (block, kind, p, int(ends[p + 1] - ends[p]), _packed(*(k[cut] for k in keys)), _packed(n[cut]))):
+                for column, x in zip(rows, (block, kind, p, int(ends[p + 1] - ends[p]), _packed(keys[cut]), _packed(n[cut]))):
                     column.append(x)
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(rows, kinds)], names=["block", "kind", "part", "n", "keys", "counts"])
@@ -213,24 +190,20 @@ def _send(parts: int, modulus: int, remainder: int):
 class _Subtrees:
     """All context nodes from depth two down that one partition's grams reach."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.counts = counts.astype(np.float64)
-        self.sym = (low & np.uint64(0xFF)).astype(np.int64)
-        self.c1 = (high >> np.uint64(56)).astype(np.int64)
-        depth = np.full(len(high), DEPTH)
+        self.sym = (keys & np.uint64(0xFF)).astype(np.int64)
+        self.c1 = (keys >> np.uint64(56)).astype(np.int64)
+        depth = np.full(len(keys), DEPTH)
         for j in range(DEPTH - 1, 0, -1):
-            byte = high >> np.uint64(64 - 8 * j) if j <= 8 else low >> np.uint64(128 - 8 * j)
-            depth[_STOP[(byte & np.uint64(0xFF)).astype(np.int64)]] = max(j, LEAST)
+            byte = (keys >> np.uint64(64 - 8 * j)) & np.uint64(0xFF)
+            depth[_STOP[byte.astype(np.int64)]] = max(j, LEAST)
         self.levels = []  # from the deepest: the grams whose context goes so deep, their nodes, and which are leaves
         for d in range(DEPTH, 1, -1):
             of = np.flatnonzero(depth >= d)
             if len(of):
-                x = high[of] >> np.uint64(max(0, 64 - 8 * d))
-                new = x[1:] != x[:-1]
-                if d > 8:
-                    y = low[of] >> np.uint64(128 - 8 * d)
-                    new |= y[1:] != y[:-1]
-                self.levels.append((of, np.concatenate(([0], np.cumsum(new))), depth[of] == d))
+                path = keys[of] >> np.uint64(64 - 8 * d)
+                self.levels.append((of, np.concatenate(([0], np.cumsum(path[1:] != path[:-1]))), depth[of] == d))
 
     def bit(self, level: int):
         """For one of the eight decisions: each gram's prediction at depth two, its node, its bit, and the sums (c1, node, n0, n1, log weighted) that go up."""
@@ -254,31 +227,22 @@ class _Subtrees:
 
 
 class _Part:
-    """The keys that blocks sent to one partition, each once, their counts, and where each block's keys stand among them."""
-
-    def __init__(self, kind: int, table: pa.Table) -> None:
-        got = [(_unpacked(k, n, *_KEYS[kind]), _unpacked(c, n, "u4")[0]) for k, c, n in zip(*(table.column(x).to_pylist() for x in ("keys", "counts", "n")))]
-        keys = [np.concatenate([k[i] for k, _ in got]) for i in range(len(_KEYS[kind]))]
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(order), bool)
-        for k in keys:
-            new[1:] |= k[order][1:] != k[order][:-1]
-        new[:1] = True
-        first = np.flatnonzero(new)
-        self.keys = [k[order][first] for k in keys]
-        self.counts = np.add.reduceat(np.concatenate([c for _, c in got])[order].astype(np.int64), first)
-        self.at = np.empty(len(order), np.int64)
-        self.at[order] = np.cumsum(new) - 1
-        self.sizes = [len(c) for _, c in got]
+    """The keys that blocks sent to one partition, each once, ascending, their counts, and where each block's keys stand among them."""
+
+    def __init__(self, table: pa.Table) -> None:
+        counts = _Counts()
+        for k, c, n in zip(*(table.column(x).to_pylist() for x in ("keys", "counts", "n"))):
+            counts.parts.append((_unpacked(k, n, "u8"), _unpacked(c, n, "u4").astype(np.int64)))
+        self.keys, self.counts, self.at = counts.whole()
 
 
 def _sums(key, table):
     """What one partition sends to the top: sums by last byte and node; of words their number and total (c1 = -1)."""
-    part = _Part(key[0].as_py(), table)
+    part = _Part(table)
     if key[0].as_py() == 1:
         rows = [[-1], [-1], [float((part.counts > 0).sum())], [float(part.counts.sum())], [0.0]]
     else:
-        trees, parts = _Subtrees(*part.keys, part.counts), []
+        trees, parts = _Subtrees(part.keys, part.counts), []
         for level in range(8):
             c1, node, n0, n1, log = trees.bit(level)[3]
             name, of = np.unique((c1 << 8) | node, return_inverse=True)
@@ -319,17 +283,16 @@ class Top:
 
 def _answers(held):
     def run(key, table):
-        part = _Part(key[0].as_py(), table)
+        part = _Part(table)
         if key[0].as_py() == 1:
             found = part.counts.astype(np.float32)
         else:
-            trees, total = _Subtrees(*part.keys, part.counts), np.zeros(len(part.counts))
+            trees, total = _Subtrees(part.keys, part.counts), np.zeros(len(part.counts))
             for level in range(8):
                 guess, node, bit, _ = trees.bit(level)
                 total += np.log10(held.value.finish(guess, trees.c1, node, bit))
             found = total.astype(np.float32)
-        back = np.split(found[part.at], np.cumsum(part.sizes)[:-1])
-        return pa.table([table.column("block"), table.column("kind"), table.column("part"), pa.array([x.tobytes() for x in back], pa.binary())], names=["block", "kind", "part", "found"])
+        return pa.table([table.column("block"), table.column("kind"), table.column("part"), pa.array([found[x].tobytes() for x in part.at], pa.binary())], names=["block", "kind", "part", "found"])
 
     return run
 
@@ -337,37 +300,33 @@ def _answers(held):
 def _score(modulus: int, remainder: int, n_words: int, n_tokens: int, parts: int):
     norm = np.log10(n_tokens + n_words + 1)
 
-    def values(counts: _Counts, answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes, ascending, and what the partitions have found for them."""
-        h, _, *rest = counts.whole()
-        order, _ = _dealt(parts, h, *rest)
+    def values(counts: _Counts, answers: pa.Table, kind: int) -> list[np.ndarray]:
+        """What the partitions have found for the keys of each piece."""
+        keys, _, at = counts.whole()
+        order, _ = _dealt(kind, parts, keys)
         got = sorted((p, f) for k, p, f in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "found"))) if k == kind)
-        out = np.empty(len(h))
+        out = np.empty(len(keys))
         out[order] = np.frombuffer(b"".join(f for _, f in got), np.float32)
-        return h, out
+        return [out[x] for x in at]
 
     def run(docs, answers):
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         out: list[list] = [[] for _ in kinds]
-        pieces: list[tuple] = []
-
-        def each(piece, grams, words):
-            pieces.append(((piece[0], [len(t) for t in piece[1]]), grams, words))
-
         if docs.num_rows:
-            grams, words = _tallied(_chunks(docs), modulus, remainder, each)
-            (g, g_found), (w, w_found) = values(grams, answers, 0), values(words, answers, 1)
-            for (ids, sizes), (first, codes, found), (begin, n_words_, w_codes, w_keys) in pieces:
-                c = w_found[np.searchsorted(w, w_keys)][w_codes]
-                n = np.diff(np.concatenate((begin, [n_words_])))
+            grams, words, pieces = _Counts(None), _Counts(None), []
+            for ids, texts in _chunks(docs):
+                (key, first), (word, begin) = _gram_keys(texts), _word_keys(texts)
+                pieces.append((ids, [len(t) for t in texts], first, grams.add(0, key), np.append(begin, len(word)), words.add(0, word)))
+            for (ids, sizes, first, codes, begin, word_codes), g, w in zip(pieces, values(grams, answers, 0), values(words, answers, 1), strict=True):
+                c, n = w[word_codes], np.diff(begin)
                 columns = (
                     ids,
                     [held_out(i, modulus, remainder) for i in ids],
                     n,
-                    np.add.reduceat((c > 0).astype(np.int64), begin),
+                    np.add.reduceat((c > 0).astype(np.int64), begin[:-1]),
                     sizes,
-                    np.add.reduceat(np.log10(c + 1), begin) - n * norm,
-                    np.add.reduceat(g_found[np.searchsorted(g, found)][codes], first),
+                    np.add.reduceat(np.log10(c + 1), begin[:-1]) - n * norm,
+                    np.add.reduceat(g[codes], first),
                 )
                 for column, x in zip(out, columns):
                     column.extend(x)

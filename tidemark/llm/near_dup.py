@@ -7,8 +7,8 @@ threshold falls below `MISS`; the survivors are verified on their full sets.
 
 No group is expanded into all its pairs. In each bucket the members are compared with a few leaders, one at first, the
 heaviest; connected components of the confirmed links follow; then only buckets that still hold members of different
-components are left, without the leaders, which have met all of theirs. This goes on with more leaders until none is
-left, so that no link between components is lost.
+components are left, without the leaders, which have met all of theirs. After two rounds those who are still apart meet block by block,
+where only what survives the comparison is emitted, so that no link between components is lost.
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle has its whole word
 sequence as one. A null doc_id stands alone (null component). Rows with equal doc_ids count as one document with one row
@@ -18,7 +18,6 @@ each; of its different texts those links count that the least key's set has, or
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ from tidemark.llm._common import as_bytes, dropped, mix, stored, window_hash, wo
 BANDS, ROWS = 32, 4
 #: Hashes compared at a time, and the probability of missing a pair that each batch may add.
 BATCH, MISS = 16, 1e-6
-#: Leaders of a bucket in each round, the last number in all further ones.
-LEADERS = (1, 8, 64)
+#: Leaders of a bucket in each round, and nodes of a block of those that are left.
+LEADERS, SIDE = (1, 8), 1024
 _SLOPE = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
@@ -94,6 +93,41 @@ def least_matches(threshold: float) -> np.ndarray:
     return np.array(out)
 
 
+def _signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _alive(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs left[x], right[y] those that no batch of the signature rules out."""
+    total = np.zeros(len(x), np.int64)
+    for k, least in enumerate(least_matches(percent / 100)):
+        cut = slice(k * BATCH, (k + 1) * BATCH)
+        total += (left[x, cut] == right[y, cut]).sum(1)
+        live = total >= least
+        x, y, total = x[live], y[live], total[live]
+    return x, y
+
+
+def _rest(rows: DataFrame, percent: int) -> DataFrame:
+    """The same of all nodes of a band that are still apart: a band is cut into blocks of about `SIDE` nodes, and each two blocks meet in a group of their own."""
+
+    def run(key, table):
+        node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "comp", "block"))
+        sig = _signatures(table.column("sig"))
+        one, two = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+        x, y = np.repeat(one, len(two)), np.tile(two, len(one))
+        alike = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        ok = (node[x] > node[y] if key[1] == key[2] else node[x] != node[y]) & (comp[x] != comp[y]) & alike
+        x, y = _alive(sig, sig, x[ok], y[ok], percent)
+        return pa.table({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
+
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / SIDE).alias("blocks"))
+    dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "sig")
+    return each.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def _met(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a row's node and a leader of its band, of different components, that no batch of the signature rules out.
 
@@ -101,8 +135,6 @@ def _met(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(it):
-        least = least_matches(percent / 100)
-        size = BANDS * ROWS
         for b in it:
             if not b.num_rows:
                 continue
@@ -113,13 +145,8 @@ def _met(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
             other, m, comp_b = (leader[k].to_numpy() for k in ("node", "n", "comp"))
             alike = 100 * np.minimum(n[row], m) >= percent * np.maximum(n[row], m)
             live = np.flatnonzero((comp[row] != comp_b) & alike)
-            left, right = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, size) for x in (b.column(3), leader["sig"]))
-            total = np.zeros(len(row), np.int64)
-            for k in range(size // BATCH):
-                cut = slice(k * BATCH, (k + 1) * BATCH)
-                total[live] += (left[row[live], cut] == right[live, cut]).sum(1)
-                live = live[total[live] >= least[k]]
-            x, y = node[row[live]], other[live]
+            x, y = _alive(_signatures(b.column(3)), _signatures(leader["sig"]), row[live], live, percent)
+            x, y = node[x], other[y]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
     return rows.select("band", "node", "n", "comp", "sig").join(leaders, "band").select("node", "n", "comp", "sig", "leaders").mapInArrow(run, "a long, b long").distinct()
@@ -220,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     left = stored(shared.select("band", "node").join(near.select("node", "n", "sig", "weight", F.col("node").alias("comp")), "node"))
     dropped(shared)
     sets, labels = _sets(rows, near, width), None
-    for most in chain(LEADERS, repeat(LEADERS[-1])):
+    for most in LEADERS:
         leaders = stored(_leaders(left, most))
         edges = stored(_verified(_met(left, leaders, percent), sets, percent))
         if labels is None or not edges.isEmpty():
@@ -231,8 +258,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         new = stored(rest.join(apart, "band"))
         dropped(left, leaders, edges)
         left = new
-        if left.isEmpty():
-            break
+    edges = stored(_verified(_rest(left, percent), sets, percent))
+    labels = labels if edges.isEmpty() else _merged(labels, edges)
+    dropped(left, edges)
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))
     out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("comp", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -182,6 +182,14 @@ def test_near_duplicates(docs, rows, empty, width):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_block_by_block(docs, rows, monkeypatch):
+    """Buckets of many nodes that leaders leave apart are cut into blocks."""
+    monkeypatch.setattr(near_dup, "SIDE", 2)
+    monkeypatch.setattr(near_dup, "LEADERS", (1,))
+    got = by_id(near_dup.near_duplicates(docs, width=2))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == components(rows, 2, 80)
+
+
 def test_near_duplicates_repeated_and_null_ids(spark):
     d = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_dup.near_duplicates(d, 2).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]

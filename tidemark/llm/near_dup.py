@@ -7,8 +7,8 @@ threshold falls below `MISS`; the survivors are verified on their full sets.
 
 No group is expanded into all its pairs. In each bucket the members are compared with a few leaders, one at first, the
 heaviest; connected components of the confirmed links follow; then only buckets that still hold members of different
-components are left, without the leaders, which have met all of theirs. After two rounds those who are still apart meet block by block,
-where only what survives the comparison is emitted, so that no link between components is lost.
+components are left, without the leaders, which have met all of theirs. After two rounds those who are still apart meet block by block
+with their full sets, and only links that join components are emitted, so that no component is lost.
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle has its whole word
 sequence as one. A null doc_id stands alone (null component). Rows with equal doc_ids count as one document with one row
@@ -30,8 +30,8 @@ from tidemark.llm._common import as_bytes, dropped, mix, stored, window_hash, wo
 BANDS, ROWS = 32, 4
 #: Hashes compared at a time, and the probability of missing a pair that each batch may add.
 BATCH, MISS = 16, 1e-6
-#: Leaders of a bucket in each round, and nodes of a block of those that are left.
-LEADERS, SIDE = (1, 8), 1024
+#: Leaders of a bucket in each round; nodes of a block of those that are left, and bytes of their sets.
+LEADERS, SIDE, SIDE_BYTES = (1, 8), 4096, 16 << 20
 _SLOPE = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
@@ -108,23 +108,44 @@ def _alive(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, pe
     return x, y
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
-    """The same of all nodes of a band that are still apart: a band is cut into blocks of about `SIDE` nodes, and each two blocks meet in a group of their own."""
+def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of all nodes of a band that are still apart: a band is cut into blocks of a bounded number of nodes and bytes, and each two blocks meet in a group of their own.
+
+    What the signature does not rule out is verified there, in the first band that both nodes have; only links that join
+    components not yet joined within the group come out, so never more than it has nodes.
+    """
 
     def run(key, table):
+        band, i, j = (k.as_py() for k in key)
         node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "comp", "block"))
         sig = _signatures(table.column("sig"))
-        one, two = (np.flatnonzero(block == k.as_py()) for k in key[1:])
-        x, y = np.repeat(one, len(two)), np.tile(two, len(one))
-        alike = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-        ok = (node[x] > node[y] if key[1] == key[2] else node[x] != node[y]) & (comp[x] != comp[y]) & alike
-        x, y = _alive(sig, sig, x[ok], y[ok], percent)
-        return pa.table({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
-
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / SIDE).alias("blocks"))
-    dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        held = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        two = np.flatnonzero(block == j)
+        comp = comp.copy()
+        a, b = [], []
+        for x in np.flatnonzero(block == i):
+            alike = 100 * np.minimum(n[two], n[x]) >= percent * np.maximum(n[two], n[x])
+            y = two[(comp[two] != comp[x]) & alike & ((node[two] < node[x]) | (i != j))]
+            _, y = _alive(sig, sig, np.full(len(y), x), y, percent)
+            y = y[bands[x, (bands[y] == bands[x]).argmax(1)] == band]
+            if not len(y):
+                continue
+            found = np.concatenate([held[k] for k in y])
+            at = np.minimum(np.searchsorted(held[x], found), n[x] - 1)
+            shared = np.add.reduceat((held[x][at] == found).astype(np.int64), np.cumsum(n[y]) - n[y])
+            for k in y[100 * shared >= percent * (n[x] + n[y] - shared)]:
+                if comp[k] != comp[x]:
+                    comp[comp == comp[k]] = comp[x]
+                    a.append(max(node[x], node[k]))
+                    b.append(min(node[x], node[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    size = F.greatest(F.count("*") / SIDE, F.sum("n") * 8 / SIDE_BYTES)
+    sizes = rows.groupBy("band").agg(F.ceil(size).alias("blocks"))
+    dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "sig")
+    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "sig", "bands", "shingles")
     return each.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -258,7 +279,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         new = stored(rest.join(apart, "band"))
         dropped(left, leaders, edges)
         left = new
-    edges = stored(_verified(_rest(left, percent), sets, percent))
+    # two nodes that share bands meet in the first of them, so bands go along
+    edges = stored(_rest(left, sets.join(nodes.select("node", "bands"), "node"), percent))
     labels = labels if edges.isEmpty() else _merged(labels, edges)
     dropped(left, edges)
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))

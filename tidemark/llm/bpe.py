@@ -207,15 +207,18 @@ class Decoder:
         return "".join(out)
 
 
-_LOADED: dict[str, tuple[Encoder, Decoder]] = {}
+_LOADED: dict[tuple[type, str], Encoder | Decoder] = {}
+
+
+def _one(kind: type, path: str) -> Encoder | Decoder:
+    """One encoder or decoder a process: a worker that only decodes keeps no merges."""
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(Merges(path))
+    return _LOADED[kind, path]
 
 
 def loaded(path: str) -> tuple[Encoder, Decoder]:
-    """One encoder and decoder a process."""
-    if path not in _LOADED:
-        m = Merges(path)
-        _LOADED[path] = Encoder(m), Decoder(m)
-    return _LOADED[path]
+    return _one(Encoder, path), _one(Decoder, path)
 
 
 def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -234,7 +237,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """docs with the token ids of `text` as array<int> in `ids`; null text gives an empty array."""
 
     def run(it):
-        encoder, _ = loaded(path)
+        encoder = _one(Encoder, path)
 
         def make(b):
             rows = [b"".join(encoder.feed(t)) if t else b"" for t in b.column(text).to_pylist()]
@@ -250,7 +253,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     """docs with the text of `ids` in `text`; null ids give ''."""
 
     def run(it):
-        _, decoder = loaded(path)
+        decoder = _one(Decoder, path)
 
         def make(b):
             col = b.column(ids)

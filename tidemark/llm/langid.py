@@ -36,7 +36,7 @@ _NAMES = sorted({n for _, n in SCRIPTS})
 _STARTS = np.array([s for s, _ in SCRIPTS], np.uint32)
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS], np.int64)
 #: Code points looked at, and characters of documents labelled, at a time.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 #: Documents of a slice that are labelled alone if they are much longer than all others.
 ALONE = 16
 
@@ -249,5 +249,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
                         spans.append([{"start": int(start[a]), "end": int(end[z]), "lang": m.langs[path[a]]} for a, z in zip(cut, stop)])
                 made = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *made, *([pa.array(spans, span)] if len(names) > 2 else [])], names=[*(f.name for f in kept), *names])
+                found = made = spans = None
+            pa.default_memory_pool().release_unused()  # the worker lives on for later stages
 
     return docs.mapInArrow(run, T.StructType([*kept, *added]))

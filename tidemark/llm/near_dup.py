@@ -32,6 +32,8 @@ BANDS, ROWS = 32, 4
 BATCH, MISS = 16, 1e-6
 #: Leaders of a bucket in each round; nodes of a block of those that are left, and bytes of their sets.
 LEADERS, SIDE, SIDE_BYTES = (1, 8), 4096, 16 << 20
+#: Texts that a worker holds at a time.
+SLICE = 500
 _SLOPE = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
 
@@ -56,7 +58,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set, the signature's low bytes and the band hashes (none for empty sets)."""
 
     def run(it):
-        for batch in it:
+        for batch in (b.slice(at, SLICE) for b in it for at in range(0, b.num_rows, SLICE)):
             n, k1, k2, sig, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)

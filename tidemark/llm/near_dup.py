@@ -231,7 +231,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, shingles: the full sets of the given documents (of a doc_id with several texts, each)."""
 
     def run(it):
-        for b in it:
+        for b in (x.slice(at, SLICE) for x in it for at in range(0, x.num_rows, SLICE)):
             made = [shingles(t, width) for t in b.column(1).to_pylist()]
             keys = [int(x.sum(dtype=np.uint64).view(np.int64)) for x in made]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "k1", "shingles"])

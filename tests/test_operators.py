@@ -152,7 +152,7 @@ def test_landed_edges(spark):
 
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = ["bars_daily", "asof_multi_column", "window_mean_join", "publication_date", "first_close_after", "vintage_as_known", "event_calendar", "feature_table", "metrics_grouping_sets", "block_bootstrap_ci", "importance_by_window", "sentences", "page_text", "table_fingerprint"]
+CHECKED = ["bars_daily", "asof_multi_column", "window_mean_join", "publication_date", "first_close_after", "vintage_as_known", "event_calendar", "feature_table", "metrics_grouping_sets", "block_bootstrap_ci", "importance_by_window", "sentences", "price_validation", "entity_flags", "changed_sources", "timeline_tone", "page_text", "table_fingerprint"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -160,7 +160,7 @@ def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.execute("set TimeZone='UTC'")
-    for t in ("orders", "lineitem", "events", "documents", "pages", "labels"):
+    for t in ("region", "orders", "lineitem", "events", "documents", "pages", "labels"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     b = con.sql(base.ORACLE[name]).df()
     a = base.QUERIES[name](spark, SMALL).toPandas()[list(b.columns)]

@@ -75,9 +75,14 @@ def keyword_hits(text: Column, word: Column) -> Column:
     return ((F.length(low) - F.length(F.replace(low, word, F.lit("")))) / F.length(word)).cast("long")
 
 
+#: What marks a sentence as boilerplate.
+BOILERPLATE = ("voting for the", "voting against", "for media inquiries", "implementation note", "for release at", "share", "last update:")
+
+
 def sentences(text: Column, least: int = 25) -> Column:
-    """Parts between sentence ends that are longer than `least`."""
-    return F.filter(F.split(text, r"(?<=[.;!?])\s+(?=[A-Z])"), lambda s: F.length(s) > least)
+    """Parts between sentence ends, trimmed, that are longer than `least` and hold no boilerplate."""
+    parts = F.transform(F.split(text, r"(?<=[.;!?])\s+(?=[A-Z])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: (F.length(s) > least) & ~F.lower(s).rlike("|".join(BOILERPLATE)))
 
 
 def printed_date(text: Column, fallback: Column) -> Column:

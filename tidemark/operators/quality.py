@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,13 @@ def pairwise_corr(df: DataFrame, ids: list[str], columns: list[str]) -> DataFram
     return df.select(cells.alias("c")).select("c.*").where("x is not null and y is not null").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
 
 
+def flags(df: DataFrame, key: str, entity: str, hit: Column, prefix: str) -> DataFrame:
+    """key and, for each entity that has a hit anywhere, <prefix><entity>: 1 where it has one, else 0. Entities are few: each is a column."""
+    marked = df.select(key, F.col(entity).cast("string").alias("__e"), hit.alias("__hit"))
+    names = sorted(r[0] for r in marked.where("__hit").select("__e").distinct().collect())
+    return marked.groupBy(key).agg(*(F.max(F.when((F.col("__e") == n) & F.col("__hit"), 1).otherwise(0)).alias(f"{prefix}{n}") for n in names))
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Order-free digest of a table: row count and the sums of two 60-bit halves of each row's md5."""
     text = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)))

@@ -54,11 +54,32 @@ def page_links(html: Column) -> Column:
     return F.zip_with(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), lambda h, a: F.struct(h.alias("href"), a.alias("anchor")))
 
 
+def article_div(html: Column) -> Column:
+    """What stands in the div with id="article", up to the end tag that closes it whatever divs it holds; NULL without one."""
+    after = F.nullif(F.regexp_extract(html, r'(?s)<div\b[^>]*\bid="article"[^>]*>(.*)', 1), F.lit(""))
+    parts = F.split(after, r"(?=<div\b|</div>)")
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x.startswith("</div"), -1).when(x.startswith("<div"), 1).otherwise(0)
+        inside = (s["depth"] > 0) & (depth > 0)
+        return F.struct(F.when(s["depth"] > 0, depth).otherwise(0).alias("depth"), F.when(inside, s["n"] + 1).otherwise(s["n"]).alias("n"))
+
+    inner = F.aggregate(parts, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step, lambda s: s["n"])
+    return F.when(after.isNotNull(), F.array_join(F.slice(parts, F.lit(1), inner), ""))
+
+
+def statement_links(html: Column, texts: list[str]) -> Column:
+    """array<struct<date,href>> of links whose text is one of `texts` and whose address is that of a statement: its date in eight digits and one letter."""
+    address = r"/(?:press|pressreleases)/?monetary/?([0-9]{8})[a-z]\.htm$"
+    of = F.filter(page_links(html), lambda x: F.trim(x["anchor"]).isin(*texts) & x["href"].rlike(address))
+    return F.transform(of, lambda x: F.struct(F.to_date(F.try_to_timestamp(F.regexp_extract(x["href"], address, 1), F.lit("yyyyMMdd"))).alias("date"), x["href"].alias("href")))
+
+
 def page_paragraphs(html: Column) -> Column:
-    """Texts of the paragraphs of the article, else of the page, without scripts and styles, tags taken out."""
-    body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?s)<article[^>]*>(.*?)</article>", 1), F.lit("")), html)
+    """Texts of the paragraphs of the article (its element, or a div of that id), else of the page, without scripts and styles, tags taken out."""
+    body = F.coalesce(F.nullif(F.regexp_extract(html, r"(?s)<article[^>]*>(.*?)</article>", 1), F.lit("")), article_div(html), html)
     plain = F.regexp_replace(body, r"(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>", "")
-    parts = F.regexp_extract_all(plain, F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
+    parts = F.regexp_extract_all(plain, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"<[^>]+>", ""))), lambda p: p != "")
 
 

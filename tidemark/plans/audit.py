@@ -14,6 +14,7 @@ from tidemark.operators.rolling import by
 from tidemark.plans.base import CTE, bars, query, r, rets, signals, spine, spine24, table
 from tidemark.plans.evaluation import CELL, predictions, targets
 from tidemark.plans.market import _FEATS, _filed, feature_frame
+from tidemark.sources import sinks
 
 # selection -------------------------------------------------------------------------------------------------------------
 
@@ -82,6 +83,12 @@ def conditional_counts(spark, d):
     return g.agg(F.count_if(hit).alias("n_earnings"), F.count_if(hit & (F.col("phase") == "pre")).alias("n_pre"), F.count_if(hit & (F.col("phase") == "post")).alias("n_post"), F.lit(1).alias("filing_event"))
 
 
+@query("entity_flags", "SELECT date, " + ", ".join(f"CAST(coalesce(max(CASE WHEN entity = {e} AND n > 0 THEN 1 END), 0) AS INT) AS entity_{e}" for e in range(10)) + " FROM (SELECT entity, available AS date, count(*) FILTER (form = 'purchase') AS n FROM filed_at WHERE available IS NOT NULL GROUP BY entity, available) GROUP BY date")
+def entity_flags(spark, d):
+    f = _filed(spark, d).where("available is not null").withColumn("date", F.col("available"))
+    return quality.flags(f, "date", "entity", F.col("form") == "purchase", "entity_")
+
+
 @query("item_flag", "SELECT event_id, list_contains(list_transform(string_split(form || ', ' || CAST(k AS VARCHAR), ','), lambda x: trim(x)), '7') AS has_item FROM (SELECT event_id, event_type AS form, CAST(json_extract(props, '$.k') AS INT) % 10 AS k FROM events)")
 def item_flag(spark, d):
     k = F.get_json_object("props", "$.k").cast("int") % 10
@@ -110,7 +117,7 @@ def keyword_counts(spark, d):
     return k.select("doc_id", F.length("text").alias("text_length"), "up_count", "down_count")
 
 
-CTE["sents"] = "SELECT doc_id, s AS sentence FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS s FROM documents) WHERE length(s) > 25"
+CTE["sents"] = f"SELECT doc_id, s AS sentence FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(text, '([.;!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))), '^\\s+|\\s+$', '', 'g') AS s FROM documents) WHERE length(s) > 25 AND NOT regexp_matches(lower(s), '{'|'.join(scalars.BOILERPLATE)}')"
 
 
 def _sentences(spark, d):
@@ -177,7 +184,7 @@ def first_link_per_date(spark, d):
     return page_links(spark, d).withColumn("n", F.row_number().over(w)).where("n = 1").select("href", "page_id", "anchor")
 
 
-@query("page_text", r"SELECT page_id, CAST(len(p) AS INT) AS n_paragraphs, array_to_string(p, chr(10)) AS body FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), ''), html), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g'), '(?s)<p>(.*?)</p>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda x: x <> '') AS p FROM pages)")
+@query("page_text", r"SELECT page_id, CAST(len(p) AS INT) AS n_paragraphs, array_to_string(p, chr(10)) AS body FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), ''), html), '(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g'), '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))), lambda x: x <> '') AS p FROM pages)")
 def page_text(spark, d):
     p = table(spark, d, "pages").select("page_id", text.page_paragraphs(F.col("html")).alias("p"))
     return p.select("page_id", F.size("p").alias("n_paragraphs"), F.array_join("p", "\n").alias("body"))
@@ -237,10 +244,10 @@ def quality_checks(spark, d):
     return long.select("check", F.when(F.col("value") == 0, "PASS").when(F.col("check") == "zero_volume", "WARN").otherwise("FAIL").alias("status"), "value")
 
 
-@query("price_validation", "SELECT k, count(*) FILTER (close <= 0) AS n_not_positive, count(*) FILTER (volume IS NULL OR volume <= 0) AS n_no_volume, count(*) FILTER (gap > 5) AS n_gaps FROM (SELECT *, date - lag(date) OVER (PARTITION BY k ORDER BY date) AS gap FROM bars) GROUP BY k")
+@query("price_validation", "SELECT k, count(*) - count(DISTINCT date) AS n_repeated, count(*) FILTER (close <= 0) AS n_not_positive, count(*) FILTER (volume IS NULL OR volume <= 0) AS n_no_volume, count(*) FILTER (gap > 5) AS n_gaps FROM (SELECT *, date - lag(date) OVER (PARTITION BY k ORDER BY date) AS gap FROM bars) GROUP BY k")
 def price_validation(spark, d):
     b = bars(spark, d).withColumn("gap", F.datediff("date", F.lag("date").over(by("k"))))
-    return b.groupBy("k").agg(F.count_if(F.col("close") <= 0).alias("n_not_positive"), F.count_if(F.col("volume").isNull() | (F.col("volume") <= 0)).alias("n_no_volume"), F.count_if(F.col("gap") > 5).alias("n_gaps"))
+    return b.groupBy("k").agg((F.count("*") - F.count_distinct("date")).alias("n_repeated"), F.count_if(F.col("close") <= 0).alias("n_not_positive"), F.count_if(F.col("volume").isNull() | (F.col("volume") <= 0)).alias("n_no_volume"), F.count_if(F.col("gap") > 5).alias("n_gaps"))
 
 
 @query("recompute_checks", "SELECT k, round(max(abs(y - (ln(close) - ln(before)))), 6) AS target_gap, round(max(abs(overnight_gap - (ln(open) - ln(before)))), 6) AS overnight_gap FROM (SELECT *, lag(close) OVER (PARTITION BY k ORDER BY date) AS before FROM feats) GROUP BY k")
@@ -330,6 +337,21 @@ def table_fingerprint(spark, d):
     return reduce(lambda a, b: a.unionByName(b), [quality.fingerprint(table(spark, d, t), c).withColumn("table", F.lit(t)) for t, c in _DIGESTS.items()])
 
 
+_BEFORE = {"orders": "o_orderkey > 10", "labels": "true", "region": "true"}
+
+
+def _snapshot_sql(parts):
+    return " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n, sum({k}) AS total FROM {t} WHERE {w}" for t, k, w in parts)
+
+
+@query("changed_sources", f"SELECT \"table\", CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({_snapshot_sql([('orders', 'o_orderkey', 'true'), ('events', 'event_id', 'true'), ('labels', 'doc_id', 'true')])}) a FULL JOIN ({_snapshot_sql([('orders', 'o_orderkey', 'o_orderkey > 10'), ('labels', 'doc_id', 'true'), ('region', 'r_regionkey', 'true')])}) b USING (\"table\") WHERE a.n IS DISTINCT FROM b.n OR a.total IS DISTINCT FROM b.total")
+def changed_sources(spark, d):
+    """Against an earlier snapshot that lacked some orders and all events, and had a table more."""
+    columns = {**_DIGESTS, "region": ["r_regionkey", "r_name"]}
+    digests = lambda parts: reduce(lambda a, b: a.unionByName(b), [quality.fingerprint(table(spark, d, t).where(w), columns[t]).withColumn("table", F.lit(t)) for t, w in parts.items()])
+    return sinks.changed_sources(digests(dict.fromkeys(_DIGESTS, "true")), digests(_BEFORE))
+
+
 @query("missing_dates", "SELECT k, date, CAST((v1_lag1 IS NULL)::INT + (v2_lag1 IS NULL)::INT + (news_mean IS NULL)::INT AS INT) AS n_missing FROM ftable WHERE v1_lag1 IS NULL OR v2_lag1 IS NULL OR news_mean IS NULL")
 def missing_dates(spark, d):
     cols = ["v1_lag1", "v2_lag1", "news_mean"]

@@ -73,6 +73,12 @@ def timeline_daily(spark, d):
     return landed.timeline(e, ["topic"]).select("topic", "date", r("value"), F.col("norm").cast("long").alias("norm"))
 
 
+@query("timeline_tone", "SELECT event_type AS topic, CAST(ts AS DATE) AS date, CASE WHEN count(*) FILTER (event_id % 997 = 0) = 0 THEN round(avg(value), 5) END AS value, count(*) AS norm FROM events GROUP BY ALL")
+def timeline_tone(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("topic"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("stamp"), F.when(F.col("event_id") % 997 != 0, F.col("value")).alias("value"), F.lit(1).alias("norm"))
+    return landed.timeline(e, ["topic"], tone=True).select("topic", "date", r("value", places=5), F.col("norm").cast("long").alias("norm"))
+
+
 @query("calendar_spine", "SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem)")
 def calendar_spine(spark, d):
     ends = table(spark, d, "lineitem").agg(F.min(F.col("l_shipdate").cast("date")).alias("lo"), F.max(F.col("l_shipdate").cast("date")).alias("hi"))

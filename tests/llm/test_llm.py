@@ -568,6 +568,6 @@ def test_pipeline(spark, rows, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_registered(n):
     assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ctw, decontam, fingerprint, langid, near_dup, pii, rlz, suffix_repeats, token_files
+from tidemark.llm import bpe, centroids, collocations, ctw, decontam, exact_dup, fingerprint, langid, near_dup, pii, rlz, suffix_repeats, token_files
 from tidemark.llm._common import only
 from tidemark.llm.oracle import ORACLE
 
@@ -84,6 +84,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, final = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(found, final).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
@@ -95,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ctw": op8_ctw,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
+    "op11_collocations": op11_collocations,
+    "op12_centroids": op12_centroids,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 

@@ -23,10 +23,10 @@ def clean(c: Column) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 
 
-def nth_weekday(date: Column, month: int, weekday: int, nth: int) -> Column:
-    """Is date the nth (0: last) given weekday (0 = Monday) of a month with 31 days or of its first four weeks."""
+def nth_weekday(date: Column, month: int, weekday: int, nth: int, since: int = 0) -> Column:
+    """Is date the nth (0: last) given weekday (0 = Monday) of a month with 31 days or of its first four weeks, in the year `since` or later."""
     week = F.dayofmonth(date) > 24 if nth == 0 else F.ceil(F.dayofmonth(date) / 7) == nth
-    return (F.month(date) == month) & (F.weekday(date) == weekday) & week
+    return (F.month(date) == month) & (F.weekday(date) == weekday) & week & (F.year(date) >= since)
 
 
 def fixed_holiday(date: Column, days: dict[str, int], friday: list[str]) -> Column:
@@ -49,9 +49,9 @@ def good_friday(date: Column) -> Column:
     return date == F.date_add(F.make_date(y, F.lit(3), F.lit(20)), (d + e - F.when(late, 7).otherwise(0)).cast("int"))
 
 
-#: Days off as MM-dd and their first year, those of them that a Friday stands for, as (month, weekday, nth), and whether Good Friday is one; for the market and for federal offices.
-MARKET = ({"01-01": 0, "06-19": 2022, "07-04": 0, "12-25": 0}, ["06-19", "07-04", "12-25"], [(1, 0, 3), (2, 0, 3), (5, 0, 0), (9, 0, 1), (11, 3, 4)], True)
-FEDERAL = ({"01-01": 0, "06-19": 2021, "07-04": 0, "11-11": 0, "12-25": 0}, ["01-01", "06-19", "07-04", "11-11", "12-25"], [(1, 0, 3), (2, 0, 3), (5, 0, 0), (9, 0, 1), (10, 0, 2), (11, 3, 4)], False)
+#: Days off as MM-dd and their first year, those of them that a Friday stands for, as (month, weekday, nth, first year), and whether Good Friday is one; for the market and for federal offices.
+MARKET = ({"01-01": 0, "06-19": 2022, "07-04": 0, "12-25": 0}, ["06-19", "07-04", "12-25"], [(1, 0, 3, 1998), (2, 0, 3, 0), (5, 0, 0, 0), (9, 0, 1, 0), (11, 3, 4, 0)], True)
+FEDERAL = ({"01-01": 0, "06-19": 2021, "07-04": 0, "11-11": 0, "12-25": 0}, ["01-01", "06-19", "07-04", "11-11", "12-25"], [(1, 0, 3, 1986), (2, 0, 3, 0), (5, 0, 0, 0), (9, 0, 1, 0), (10, 0, 2, 0), (11, 3, 4, 0)], False)
 
 
 def is_open(date: Column, rules=MARKET) -> Column:
@@ -62,10 +62,14 @@ def is_open(date: Column, rules=MARKET) -> Column:
     return (F.weekday(date) < 5) & ~closed
 
 
+def closes_early(date: Column) -> Column:
+    """Is date the eve of the fourth of July or of Christmas, or the day after Thanksgiving."""
+    return F.date_format(date, "MM-dd").isin("07-03", "12-24") | ((F.month(date) == 11) & (F.weekday(date) == 4) & F.dayofmonth(date).between(23, 29))
+
+
 def close_instant(date: Column) -> Column:
-    """UTC instant of the close in New York: 13:00 on the eves of the fourth of July and Christmas and the day after Thanksgiving, else 16:00."""
-    early = F.date_format(date, "MM-dd").isin("07-03", "12-24") | ((F.month(date) == 11) & (F.weekday(date) == 4) & F.dayofmonth(date).between(23, 29))
-    hour = F.when(early, "13:00:00").otherwise("16:00:00")
+    """UTC instant of the close in New York: 13:00 on days of an early close, else 16:00."""
+    hour = F.when(closes_early(date), "13:00:00").otherwise("16:00:00")
     return F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", date.cast("string"), hour)), "America/New_York")
 
 
@@ -79,15 +83,20 @@ def keyword_hits(text: Column, word: Column) -> Column:
 BOILERPLATE = ("voting for the", "voting against", "for media inquiries", "implementation note", "for release at", "share", "last update:")
 
 
+#: Between sentences, and a date as it is printed.
+SENTENCE_END = r"(?<=[.;!?])\s+(?=[A-Z])"
+PRINTED = r"\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},\s+[0-9]{4})\b"
+
+
 def sentences(text: Column, least: int = 25) -> Column:
     """Parts between sentence ends, trimmed, that are longer than `least` and hold no boilerplate."""
-    parts = F.transform(F.split(text, r"(?<=[.;!?])\s+(?=[A-Z])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: (F.length(s) > least) & ~F.lower(s).rlike("|".join(BOILERPLATE)))
 
 
 def printed_date(text: Column, fallback: Column) -> Column:
     """A date like 'June 28, 2007' in the first 300 characters, else the fallback."""
-    found = F.regexp_extract(F.substring(text, 1, 300), r"((?:January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4})", 1)
+    found = F.regexp_replace(F.regexp_extract(F.substring(text, 1, 300), PRINTED, 1), r"\s+", " ")
     return F.coalesce(F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("MMMM d, yyyy")).cast("date"), fallback)
 
 

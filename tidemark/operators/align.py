@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof_join(base: DataFrame, other: DataFrame, columns: list[str], keys: list[str], at: str = "date", avail: str = "avail", ties: list[str] = (), lag_days: int = 0, suffix: str = "") -> DataFrame:
-    """base with each column's last known value at `at`: inclusive, each column on its own, of equal availability the latest by `ties`.
+def asof_join(base: DataFrame, other: DataFrame, columns: list[str], keys: list[str], at: str = "date", avail: str = "avail", ties: list[str] = (), lag_days: int = 0, suffix: str = "", last: date | None = None, span: int = 256) -> DataFrame:
+    """base with each column's last known value at `at`: inclusive, each column on its own, of equal availability the latest by `ties` (else by value).
 
-    Both sides are united and ordered once per series; ignoring nulls gives each column its own last value, so any number of
-    columns costs one shuffle.
+    A segmented scan. Values are first reduced to one row a series and day of availability. Each series is cut into ranges of
+    `span` days, and each range is scanned on its own, base rows and values in one order, so that a long series takes as many
+    tasks as it has ranges and any number of columns one shuffle. What a range's end knows of each column is carried into the
+    ranges behind it by a row at their start; these rows come from a second pass over one row a range. `last` is the last day
+    that base may have (else it is looked up).
     """
-    tie = list(ties)
-    events = other.select(*keys, F.date_add(avail, lag_days).alias("__t"), F.lit(0).alias("__side"), *(F.col(t).alias(f"__tie{i}") for i, t in enumerate(tie)), *(F.col(c).alias(f"{c}{suffix}") for c in columns))
-    rows = base.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*base.columns).alias("__row"))
-    both = rows.unionByName(events, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__t", "__side", *(F.col(f"__tie{i}").asc_nulls_first() for i in range(len(tie)))).rowsBetween(Window.unboundedPreceding, 0)
-    known = [F.last(f"{c}{suffix}", ignorenulls=True).over(order).alias(f"{c}{suffix}") for c in columns]
-    return both.select("__side", "__row", *known).where("__side = 1").select("__row.*", *(f"{c}{suffix}" for c in columns))
+    cut = lambda day: F.floor(F.datediff(day, F.lit(date(1970, 1, 1))) / span)
+    tie = F.struct(*ties) if ties else None
+    named = [f"{c}{suffix}" for c in columns]
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), tie if ties else F.col(c))).alias(n) for c, n in zip(columns, named)]
+    known = other.groupBy(*keys, F.date_add(avail, lag_days).alias("__t")).agg(*newest).withColumn("__range", cut(F.col("__t")))
+    # what each range's end knows, then a row for every later range up to the next one with values, and one for all others
+    ends = known.groupBy(*keys, "__range").agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("__t"))).alias(n) for n in named))
+    order = Window.partitionBy(*keys).orderBy("__range")
+    end = F.floor(F.datediff(F.lit(last), F.lit(date(1970, 1, 1))) / span) if last else F.col("__end")
+    if not last:
+        ends = ends.crossJoin(F.broadcast(base.agg(cut(F.max(at)).alias("__end"))))  # one row
+    upto = F.greatest(F.coalesce(F.lead("__range").over(order), end), F.col("__range") + 1)
+    held = [F.last(n, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in named]
+    carried = ends.select(*keys, "__range", upto.alias("__upto"), *held).withColumn("__to", F.explode(F.sequence(F.col("__range") + 1, F.col("__upto"))))
+    carried = carried.select(*keys, F.date_add(F.lit(date(1970, 1, 1)), (F.col("__to") * span).cast("int")).alias("__t"), F.lit(-1).alias("__side"), F.col("__to").alias("__range"), *named)
+    rows = base.select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__side"), cut(F.col(at)).alias("__range"), F.struct(*base.columns).alias("__row"))
+    both = rows.unionByName(known.withColumn("__side", F.lit(0)).unionByName(carried), allowMissingColumns=True)
+    scan = Window.partitionBy(*keys, "__range").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.select("__side", "__row", *(F.last(n, ignorenulls=True).over(scan).alias(n) for n in named))
+    return seen.where("__side = 1").select("__row.*", *named)
 
 
 def window_mean_join(base: DataFrame, other: DataFrame, columns: list[str], day_map: DataFrame, keys: list[str], first: Column, last: Column, clip_head: bool = False) -> DataFrame:
@@ -72,10 +90,15 @@ def merge_cache(old: DataFrame, new: DataFrame, keys: list[str], columns: list[s
     return a.join(b, keys, "full").select(*keys, *(F.coalesce(f"{c}_new", f"{c}_old").alias(c) for c in columns))
 
 
-def checked_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of rows whose keys are unique on either side; other keys are left out, to be reported by their counts."""
-    one = [d.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where("__n = 1").drop("__n") for d in (left, right)]
-    return one[0].join(one[1], keys)
+def one_to_one(rows: DataFrame, keys: list[str], side: str, names: tuple[str, str], value: str) -> DataFrame:
+    """keys and, of two sides of rows, the value of each as <name>: keys that both sides have. A key that a side has twice stops the job.
+
+    Both sides come from one pass and one shuffle, without a join."""
+    of = lambda n: F.col(side) == n
+    each = rows.where(F.col(side).isin(*names)).groupBy(*keys).agg(*(f for i, n in enumerate(names) for f in (F.count_if(of(n)).alias(f"__n{i}"), F.max(F.when(of(n), F.col(value))).alias(n))))
+    message = F.concat(F.lit("key more than once on a side: "), F.to_json(F.struct(*keys)))
+    single = F.when((F.col("__n0") > 1) | (F.col("__n1") > 1), F.raise_error(message).cast("boolean")).otherwise((F.col("__n0") == 1) & (F.col("__n1") == 1))
+    return each.where(single).select(*keys, *names)
 
 
 def horizon_covered(origins: DataFrame, days: DataFrame, keys: list[str], steps: int, columns: list[str]) -> DataFrame:

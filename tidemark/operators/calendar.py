@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +17,11 @@ def calendar_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def trading_sessions(spine: DataFrame) -> DataFrame:
-    """session_date, close_ts, idx."""
-    days = spine.where(is_open(F.col("date"), MARKET))
-    return days.select(F.col("date").alias("session_date"), close_instant(F.col("date")).alias("close_ts"), F.row_number().over(Window.orderBy("date")).cast("long").alias("idx"))
+    """session_date, close_ts, idx of the open days: as a schedule tells (date, is_open, close_ts), or by the market's rules."""
+    told = {"is_open", "close_ts"} <= set(spine.columns)
+    days = spine.where(F.col("is_open") if told else is_open(F.col("date"), MARKET))
+    close = F.col("close_ts") if told else close_instant(F.col("date"))
+    return days.select(F.col("date").alias("session_date"), close.alias("close_ts"), F.row_number().over(Window.orderBy("date")).cast("long").alias("idx"))
 
 
 def business_days(spine: DataFrame) -> DataFrame:
@@ -47,10 +51,10 @@ def opex_days(sessions: DataFrame) -> DataFrame:
     return due.groupBy(F.trunc("session_date", "month").alias("month")).agg(F.max("session_date").alias("opex_day"))
 
 
-def event_calendar(spine: DataFrame, events: DataFrame, start: str, end: str) -> DataFrame:
-    """The calendar of the sessions from start to end; built over the whole spine, so that months at its ends are whole, then cut."""
-    s = trading_sessions(spine).select(F.col("session_date").alias("date"))
-    opex = opex_days(trading_sessions(spine)).select(F.col("opex_day").alias("date"), F.lit(1).alias("is_opex_day"))
+def event_calendar(sessions: DataFrame, events: DataFrame, start: date, end: date) -> DataFrame:
+    """The calendar of the sessions from start to end; built over all sessions, so that months at its ends are whole, then cut."""
+    s = sessions.select(F.col("session_date").alias("date"))
+    opex = opex_days(sessions).select(F.col("opex_day").alias("date"), F.lit(1).alias("is_opex_day"))
     week = opex.select(F.date_trunc("week", "date").cast("date").alias("week"), F.lit(1).alias("is_opex_week"))
     flags = events.select("date").distinct().withColumn("is_event_day", F.lit(1))
     order, month = Window.orderBy("date"), Window.partitionBy(F.trunc("date", "month"))
@@ -76,4 +80,4 @@ def event_calendar(spine: DataFrame, events: DataFrame, start: str, end: str) ->
         F.weekday("date").alias("day_of_week"),
         F.coalesce((gap > F.when(F.weekday("date") == 4, 3).otherwise(1)).cast("int"), F.lit(0)).alias("is_pre_holiday"),
     )
-    return out.where(F.col("date").between(start, end))
+    return out.where(F.col("date").between(F.lit(start), F.lit(end)))

@@ -28,10 +28,3 @@ def flags(df: DataFrame, key: str, entity: str, hit: Column, prefix: str) -> Dat
     marked = df.select(key, F.col(entity).cast("string").alias("__e"), hit.alias("__hit"))
     names = sorted(r[0] for r in marked.where("__hit").select("__e").distinct().collect())
     return marked.groupBy(key).agg(*(F.max(F.when((F.col("__e") == n) & F.col("__hit"), 1).otherwise(0)).alias(f"{prefix}{n}") for n in names))
-
-
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free digest of a table: row count and the sums of two 60-bit halves of each row's md5."""
-    text = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)))
-    half = [F.conv(F.substring(text, k, 15), 16, 10).cast("decimal(38,0)") for k in (1, 16)]
-    return df.agg(F.count("*").alias("n_rows"), F.sum(half[0]).cast("string").alias("digest_a"), F.sum(half[1]).cast("string").alias("digest_b"))

@@ -13,25 +13,50 @@ def drawn(*parts: Column | str | int, below: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % below
 
 
+#: Places of a draw that one row stands for until they are looked up.
+CHUNK = 4096
+
+
+def placed(df: DataFrame, groups: list[str], value: str, order: list[str]) -> DataFrame:
+    """groups, place, value: the values of each group numbered from 0 in the given order.
+
+    Rows are numbered within each part of a group that the leading order columns make, and parts by the sizes of those before,
+    so that a group of many parts is never sorted in one task.
+    """
+    part = [c for c in order[:-1] if c not in groups]
+    within = Window.partitionBy(*groups, *part).orderBy(order[-1])
+    rows = df.select(*groups, *part, F.col(value).alias("value"), F.row_number().over(within).alias("__n"))
+    if not part:
+        return rows.select(*groups, (F.col("__n") - 1).cast("long").alias("place"), "value")
+    before = Window.partitionBy(*groups).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy(*groups, *part).agg(F.count("*").alias("__size"))  # one row a part
+    start = sizes.select(*groups, *part, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    return rows.join(start, [*groups, *part]).select(*groups, (F.col("__start") + F.col("__n") - 1).alias("place"), "value")
+
+
 def draws(df: DataFrame, keys: list[str], value: str, order: list[str], n_draws: int, block: int = 1, seed: int = 7, within: list[str] = ()) -> DataFrame:
     """keys, draw, mean: means of resampled values, in circular blocks of `block` rows, the last cut to n; `within` strata are drawn alone and averaged.
 
-    A group's values (one a forecast window) are held as one array, and each draw takes its values from it by place: df is
-    read once, and only the arrays are shuffled, once for each share of the draws.
+    The places that a draw takes are worked out from hashes, in rows of `CHUNK` places dealt over all tasks, and meet the values
+    by place in a join, whose sums Spark adds up by draw. No group is held in a row or a task, whatever its size.
     """
     groups = [*keys, *within]
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
-    held = df.groupBy(*groups).agg(F.transform(ordered, lambda s: s["__v"]).alias("__held"))
+    values = placed(df, groups, value, order)
+    sizes = values.groupBy(*groups).agg(F.count("*").alias("__n"))
+    chunk = max(1, CHUNK // block) * block
+    upto = lambda n, step: F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step))
+    each = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")).select("*", F.explode(upto(F.col("__n"), chunk)).alias("__chunk"))
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(min(n_draws, 4 * parts) - 1))).alias("__share")).repartition(parts, *groups, "__share")
-    each = shares.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_draws - 1)), lambda x: x % min(n_draws, 4 * parts) == F.col("__share"))).alias("draw"))
-    n, named = F.size("__held").cast("long"), F.concat_ws("/", *groups)
-
-    def step(total: Column, i: Column) -> Column:
-        start = drawn(seed, named, F.col("draw"), F.floor(i / block), below=n)
-        return total + F.get("__held", ((start + i % block) % n).cast("int"))
-
-    mean = each.select(*groups, "draw", (F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), step) / n).alias("mean"))
+    each = each.repartition(parts, *groups, "draw", "__chunk")
+    n, named = F.col("__n"), F.concat_ws("/", *groups)
+    first = F.floor(F.col("__chunk") * chunk / block)
+    blocks = each.select(*groups, "draw", "__n", F.explode(F.sequence(first, F.least(first + chunk // block, F.ceil(n / block)) - 1)).alias("__block"))
+    begun = blocks.withColumn("__at", drawn(seed, named, F.col("draw"), F.col("__block"), below=n))
+    if block > 1:
+        begun = begun.withColumn("__off", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), n - F.col("__block") * block) - 1)))
+        begun = begun.withColumn("__at", (F.col("__at") + F.col("__off")) % n)
+    taken = begun.select(*groups, "draw", F.col("__at").alias("place")).join(values, [*groups, "place"])
+    mean = taken.groupBy(*groups, "draw").agg(F.avg("value").alias("mean"))
     return mean.groupBy(*keys, "draw").agg(F.avg("mean").alias("mean")) if within else mean
 
 

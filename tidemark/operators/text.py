@@ -68,11 +68,25 @@ def article_div(html: Column) -> Column:
     return F.when(after.isNotNull(), F.array_join(F.slice(parts, F.lit(1), inner), ""))
 
 
+#: The addresses of statements, each with its date in eight digits and one letter.
+STATEMENTS = (r"^/newsevents/pressreleases/monetary([0-9]{8})([a-z])\.htm$", r"^/newsevents/press/monetary/([0-9]{8})([a-z])\.htm$")
+
+
 def statement_links(html: Column, texts: list[str]) -> Column:
-    """array<struct<date,href>> of links whose text is one of `texts` and whose address is that of a statement: its date in eight digits and one letter."""
-    address = r"/(?:press|pressreleases)/?monetary/?([0-9]{8})[a-z]\.htm$"
-    of = F.filter(page_links(html), lambda x: F.trim(x["anchor"]).isin(*texts) & x["href"].rlike(address))
-    return F.transform(of, lambda x: F.struct(F.to_date(F.try_to_timestamp(F.regexp_extract(x["href"], address, 1), F.lit("yyyyMMdd"))).alias("date"), x["href"].alias("href")))
+    """array<struct<date,href>>, in the order of the page, of links whose text is one of `texts` and whose address is that of a statement."""
+
+    def day(href: Column) -> Column:
+        digits = F.coalesce(*(F.nullif(F.regexp_extract(href, p, 1), F.lit("")) for p in STATEMENTS))
+        return F.to_date(F.try_to_timestamp(digits, F.lit("yyyyMMdd")))
+
+    of = F.filter(page_links(html), lambda x: F.trim(x["anchor"]).isin(*texts) & day(x["href"]).isNotNull())
+    return F.transform(of, lambda x: F.struct(day(x["href"]).alias("date"), x["href"].alias("href")))
+
+
+def first_per_date(links: DataFrame, order: list[str]) -> DataFrame:
+    """Of each date the first link in the given order (of pages, then on the page)."""
+    rest = [c for c in links.columns if c != "date"]
+    return links.groupBy("date").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x")).select("date", "x.*")
 
 
 def page_paragraphs(html: Column) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import scalars
 from tidemark.functions.scalars import ratio
-from tidemark.operators import calendar, quality, text
+from tidemark.operators import digest, quality, text
 from tidemark.operators.rolling import by
-from tidemark.plans.base import CTE, bars, query, r, rets, signals, spine, spine24, table
+from tidemark.plans.base import CTE, bars, query, r, rets, session_map, sessions, signals, table, ticks
 from tidemark.plans.evaluation import CELL, predictions, targets
 from tidemark.plans.market import _FEATS, _filed, feature_frame
 from tidemark.sources import sinks
@@ -216,10 +216,12 @@ def redundant_pairs(spark, d):
     return quality.pairwise_corr(feature_frame(spark, d), ["k", "date"], sorted(_AUDITED)).where("abs(corr) > 0.3").select("a", "b", r("corr", places=5))
 
 
-@query("contract_violations", "SELECT k, count(*) - count(DISTINCT date) AS n_duplicate_dates, count(*) FILTER (y IS NULL) AS n_no_target, count(*) FILTER (days_to_event IS NULL OR is_event_day IS NULL) AS n_no_future, count(*) FILTER (isinf(coalesce(momentum_21, 0))) AS n_infinite FROM ftable GROUP BY k")
+@query("contract_violations", "SELECT k, n_duplicate_dates, n_no_target, n_no_future, n_infinite FROM (SELECT k, count(*) - count(DISTINCT date) AS n_duplicate_dates FROM ticks GROUP BY k) JOIN (SELECT k, count(*) FILTER (y IS NULL) AS n_no_target, count(*) FILTER (days_to_event IS NULL OR is_event_day IS NULL) AS n_no_future, count(*) FILTER (isinf(coalesce(momentum_21, 0))) AS n_infinite FROM ftable GROUP BY k) USING (k)")
 def contract_violations(spark, d):
+    """Repeated dates are counted on the rows as they landed, before anything groups them by date."""
+    landed = ticks(spark, d).groupBy("k").agg((F.count("*") - F.count_distinct("date")).alias("n_duplicate_dates"))
     g = feature_frame(spark, d).groupBy("k")
-    return g.agg((F.count("*") - F.count_distinct("date")).alias("n_duplicate_dates"), F.count_if(F.col("y").isNull()).alias("n_no_target"), F.count_if(F.col("days_to_event").isNull() | F.col("is_event_day").isNull()).alias("n_no_future"), F.count_if(F.abs(F.coalesce("momentum_21", F.lit(0.0))) == float("inf")).alias("n_infinite"))
+    return landed.join(g.agg(F.count_if(F.col("y").isNull()).alias("n_no_target"), F.count_if(F.col("days_to_event").isNull() | F.col("is_event_day").isNull()).alias("n_no_future"), F.count_if(F.abs(F.coalesce("momentum_21", F.lit(0.0))) == float("inf")).alias("n_infinite")), "k")
 
 
 _RULES = [("momentum_21", "mean", -1.0, 1.0), ("range_vol", "mean", 0.2, 5.0), ("volume_z", "mean", -0.5, 0.5), ("volume_z", "std", 0.5, 1.5), ("dist_ma50", "median", -0.5, 0.5)]
@@ -234,20 +236,20 @@ def range_rules(spark, d):
     return j.select("column", "stat", r(v, "value", 4), F.when(v.between(F.col("lo"), F.col("hi")), "PASS").otherwise("FAIL").alias("status"))
 
 
-@query("quality_checks", "SELECT chk AS \"check\", CASE WHEN n = 0 THEN 'PASS' WHEN chk = 'zero_volume' THEN 'WARN' ELSE 'FAIL' END AS status, n AS value FROM (SELECT 'duplicate_dates' AS chk, (SELECT count(*) FROM (SELECT k, date FROM bars GROUP BY k, date HAVING count(*) > 1)) AS n UNION ALL SELECT 'high_below_low', count(*) FROM bars WHERE high < low UNION ALL SELECT 'zero_volume', count(*) FROM bars WHERE volume <= 20 UNION ALL SELECT 'closed_days', count(*) FROM bars WHERE date NOT IN (SELECT session_date FROM sessions))")
+@query("quality_checks", "SELECT chk AS \"check\", CASE WHEN n = 0 THEN 'PASS' WHEN chk = 'zero_volume' THEN 'WARN' ELSE 'FAIL' END AS status, n AS value FROM (SELECT 'duplicate_dates' AS chk, (SELECT count(*) FROM (SELECT k, date FROM ticks GROUP BY k, date HAVING count(*) > 1)) AS n UNION ALL SELECT 'high_below_low', count(*) FROM bars WHERE high < low UNION ALL SELECT 'zero_volume', count(*) FROM bars WHERE volume <= 20 UNION ALL SELECT 'closed_days', count(*) FROM bars WHERE date NOT IN (SELECT session_date FROM sessions))")
 def quality_checks(spark, d):
-    open_days = calendar.trading_sessions(spine(spark)).select(F.col("session_date").alias("date"), F.lit(True).alias("is_open"))
-    b = bars(spark, d).withColumn("copies", F.count("*").over(Window.partitionBy("k", "date"))).join(F.broadcast(open_days), "date", "left")
+    open_days = sessions(spark, d).select(F.col("session_date").alias("date"), F.lit(True).alias("is_open"))
+    b = bars(spark, d, F.count("*").alias("copies")).join(F.broadcast(open_days), "date", "left")  # copies: rows that landed for a key and day
     found = {"duplicate_dates": F.col("copies") > 1, "high_below_low": F.col("high") < F.col("low"), "zero_volume": F.col("volume") <= 20, "closed_days": F.col("is_open").isNull()}
     counts = b.agg(*(F.count_if(c).alias(n) for n, c in found.items()))
     long = counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).alias("value")) for n in found))).alias("x")).select("x.*")
     return long.select("check", F.when(F.col("value") == 0, "PASS").when(F.col("check") == "zero_volume", "WARN").otherwise("FAIL").alias("status"), "value")
 
 
-@query("price_validation", "SELECT k, count(*) - count(DISTINCT date) AS n_repeated, count(*) FILTER (close <= 0) AS n_not_positive, count(*) FILTER (volume IS NULL OR volume <= 0) AS n_no_volume, count(*) FILTER (gap > 5) AS n_gaps FROM (SELECT *, date - lag(date) OVER (PARTITION BY k ORDER BY date) AS gap FROM bars) GROUP BY k")
+@query("price_validation", "SELECT k, CAST(sum(copies) AS BIGINT) - count(*) AS n_repeated, count(*) FILTER (close <= 0) AS n_not_positive, count(*) FILTER (volume IS NULL OR volume <= 0) AS n_no_volume, count(*) FILTER (gap > 5) AS n_gaps FROM (SELECT *, date - lag(date) OVER (PARTITION BY k ORDER BY date) AS gap FROM bars JOIN (SELECT k, date, count(*) AS copies FROM ticks GROUP BY k, date) USING (k, date)) GROUP BY k")
 def price_validation(spark, d):
-    b = bars(spark, d).withColumn("gap", F.datediff("date", F.lag("date").over(by("k"))))
-    return b.groupBy("k").agg((F.count("*") - F.count_distinct("date")).alias("n_repeated"), F.count_if(F.col("close") <= 0).alias("n_not_positive"), F.count_if(F.col("volume").isNull() | (F.col("volume") <= 0)).alias("n_no_volume"), F.count_if(F.col("gap") > 5).alias("n_gaps"))
+    b = bars(spark, d, F.count("*").alias("copies")).withColumn("gap", F.datediff("date", F.lag("date").over(by("k"))))
+    return b.groupBy("k").agg((F.sum("copies") - F.count("*")).alias("n_repeated"), F.count_if(F.col("close") <= 0).alias("n_not_positive"), F.count_if(F.col("volume").isNull() | (F.col("volume") <= 0)).alias("n_no_volume"), F.count_if(F.col("gap") > 5).alias("n_gaps"))
 
 
 @query("recompute_checks", "SELECT k, round(max(abs(y - (ln(close) - ln(before)))), 6) AS target_gap, round(max(abs(overnight_gap - (ln(open) - ln(before)))), 6) AS overnight_gap FROM (SELECT *, lag(close) OVER (PARTITION BY k ORDER BY date) AS before FROM feats) GROUP BY k")
@@ -260,7 +262,7 @@ def recompute_checks(spark, d):
 def changes_on_release_only(spark, d):
     w = by("k")
     f = feature_frame(spark, d).select("k", "date", (~F.col("v1_lag1").eqNullSafe(F.lag("v1_lag1").over(w))).alias("changed"), F.lag("date").over(w).alias("before")).where("changed and before is not null")
-    m = F.broadcast(calendar.session_day_map(spine(spark)).select(F.col("date").alias("avail"), F.col("next_after").alias("date")))
+    m = F.broadcast(session_map(spark, d).select(F.col("date").alias("avail"), F.col("next_after").alias("date")))
     known = signals(spark, d).where("v1 is not null").join(m, "avail").select("k", "date")
     return f.select("k", "date").join(known, ["k", "date"], "left_anti")
 
@@ -310,7 +312,7 @@ def freshness_report(spark, d):
 @query("readiness_gate", "SELECT event_type AS k, last_session, last_event, last_session = last_event AS ready FROM (SELECT event_type, max(CAST(ts AS DATE)) AS last_event, (SELECT max(session_date) FROM sessions24 WHERE close_s <= epoch(max(ts))) AS last_session FROM events GROUP BY event_type)")
 def readiness_gate(spark, d):
     e = table(spark, d, "events").groupBy(F.col("event_type").alias("k")).agg(F.max("ts").alias("at"))
-    s = calendar.trading_sessions(spine24(spark))
+    s = sessions(spark, d, "spine24")
     ends = s.agg(F.array_sort(F.collect_list(F.struct("close_ts", "session_date"))).alias("ends"))  # a calendar of a few months
     j = e.crossJoin(F.broadcast(ends))
     last = F.try_element_at(F.filter("ends", lambda x: x["close_ts"] <= F.col("at")), F.lit(-1))["session_date"]
@@ -323,33 +325,76 @@ def inventory_match(spark, d):
     return a.join(b, "doc_id", "left_anti").withColumn("kind", F.lit("unlabelled")).unionByName(b.join(a, "doc_id", "left_anti").withColumn("kind", F.lit("unknown")))
 
 
-def _digest_sql(t, cols):
-    text = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols) + "))"
-    half = lambda k: f"CAST(sum(CAST(CAST('0x' || substr({text}, {k}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
-    return f"SELECT '{t}' AS \"table\", count(*) AS n_rows, {half(1)} AS digest_a, {half(16)} AS digest_b FROM {t}"
+#: The columns of the given tables and their kinds, as the SQL needs them: whole number, string, double, time.
+_TABLES = {
+    "region": {"r_regionkey": "i", "r_name": "s"},
+    "nation": {"n_nationkey": "i", "n_name": "s", "n_regionkey": "i"},
+    "customer": {"c_custkey": "i", "c_name": "s", "c_nationkey": "i", "c_acctbal": "d", "c_mktsegment": "s"},
+    "supplier": {"s_suppkey": "i", "s_name": "s", "s_nationkey": "i", "s_acctbal": "d"},
+    "part": {"p_partkey": "i", "p_name": "s", "p_brand": "s", "p_type": "s", "p_size": "i", "p_retailprice": "d"},
+    "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": "s"},
+    "lineitem": {"l_orderkey": "i", "l_partkey": "i", "l_suppkey": "i", "l_linenumber": "i", "l_quantity": "d", "l_extendedprice": "d", "l_discount": "d", "l_tax": "d", "l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t"},
+    "events": {"event_id": "i", "ts": "t", "user_id": "i", "event_type": "s", "value": "d", "props": "s"},
+    "documents": {"doc_id": "i", "text": "s", "lang": "s", "source": "s", "n_chars": "i"},
+    "embeddings": {"vec_id": "i", "embedding": "ad", "label": "i"},
+    "pages": {"page_id": "i", "url": "s", "html": "s"},
+    "benchmark": {"item_id": "i", "text": "s"},
+    "labels": {"doc_id": "i", "quality": "i", "toxic": "i"},
+    "conversations": {"conv_id": "i", "turn": "i", "role": "s", "text": "s"},
+}
+
+
+def _canonical_sql(c: str, kind: str) -> str:
+    if kind == "d":
+        x = f"CAST({c} AS DOUBLE)"
+        g = f"floor(log2(abs({x})))"
+        e = f"(CASE WHEN power(2.0, {g}) > abs({x}) THEN {g} - 1 WHEN power(2.0, {g} + 1) <= abs({x}) THEN {g} + 1 ELSE {g} END)"
+        text = f"CASE WHEN isnan({x}) THEN 'nan' WHEN abs({x}) > 1e-250 AND abs({x}) < 1e250 THEN CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST(floor(abs({x}) * power(2.0, 52 - {e})) AS BIGINT) || 'p' || CAST({e} AS BIGINT) ELSE CAST({x} AS VARCHAR) END"
+    elif kind == "ad":
+        text = f"'[' || array_to_string([{_canonical_sql('x', 'd')} FOR x IN {c}], ',') || ']'"
+    else:
+        text = {"i": f"CAST({c} AS VARCHAR)", "t": f"CAST(epoch_us({c}) AS VARCHAR)", "s": f"strlen({c}) || ':' || {c}"}[kind]
+    return f"coalesce({text}, '~')"
+
+
+def _digest_sql(t, where="true"):
+    text = "md5(concat_ws('|', " + ", ".join(_canonical_sql(c, k) for c, k in sorted(_TABLES[t].items())) + "))"
+    half = lambda k: f"CAST(coalesce(sum(CAST(CAST('0x' || substr(h, {k}, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR)"
+    return f"SELECT '{t}' AS \"table\", count(*) AS n_rows, {half(1)} AS digest_a, {half(16)} AS digest_b FROM (SELECT {text} AS h FROM {t} WHERE {where})"
+
+
+def _digests(spark, d, parts):
+    return reduce(lambda a, b: a.unionByName(b), [digest.digest(table(spark, d, t).where(w)).withColumn("table", F.lit(t)) for t, w in parts.items()])
+
+
+@query("table_fingerprint", " UNION ALL ".join(map(_digest_sql, _TABLES)))
+def table_fingerprint(spark, d):
+    return _digests(spark, d, dict.fromkeys(_TABLES, "true"))
 
 
-_DIGESTS = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "events": ["event_id", "user_id", "event_type", "props"], "labels": ["doc_id", "quality", "toxic"]}
+#: An earlier snapshot: it lacked some orders and all events, and had a table more.
+_NOW, _BEFORE = ("orders", "events", "labels"), {"orders": "o_orderkey > 10", "labels": "true", "region": "true"}
 
 
-@query("table_fingerprint", " UNION ALL ".join(_digest_sql(t, c) for t, c in _DIGESTS.items()))
-def table_fingerprint(spark, d):
-    return reduce(lambda a, b: a.unionByName(b), [quality.fingerprint(table(spark, d, t), c).withColumn("table", F.lit(t)) for t, c in _DIGESTS.items()])
+@query("changed_sources", f"SELECT \"table\", CASE WHEN b.n_rows IS NULL THEN 'added' WHEN a.n_rows IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({' UNION ALL '.join(map(_digest_sql, _NOW))}) a FULL JOIN ({' UNION ALL '.join(_digest_sql(t, w) for t, w in _BEFORE.items())}) b USING (\"table\") WHERE (a.n_rows, a.digest_a, a.digest_b) IS DISTINCT FROM (b.n_rows, b.digest_a, b.digest_b)")
+def changed_sources(spark, d):
+    return sinks.changed_sources(_digests(spark, d, dict.fromkeys(_NOW, "true")), _digests(spark, d, _BEFORE))
 
 
-_BEFORE = {"orders": "o_orderkey > 10", "labels": "true", "region": "true"}
+def _column_digest_sql(t, edits):
+    cells = lambda c, k: f"CAST(sum(CAST(CAST('0x' || substr(md5({_canonical_sql(c, k)}), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {cells(edits.get(c, c), k)} AS dg FROM {t}" for c, k in _TABLES[t].items())
 
 
-def _snapshot_sql(parts):
-    return " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n, sum({k}) AS total FROM {t} WHERE {w}" for t, k, w in parts)
+#: An earlier state of one column: a price of one order that was a cent less.
+_EDIT = "CASE WHEN o_orderkey = 5 THEN o_totalprice - 0.01 ELSE o_totalprice END"
 
 
-@query("changed_sources", f"SELECT \"table\", CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({_snapshot_sql([('orders', 'o_orderkey', 'true'), ('events', 'event_id', 'true'), ('labels', 'doc_id', 'true')])}) a FULL JOIN ({_snapshot_sql([('orders', 'o_orderkey', 'o_orderkey > 10'), ('labels', 'doc_id', 'true'), ('region', 'r_regionkey', 'true')])}) b USING (\"table\") WHERE a.n IS DISTINCT FROM b.n OR a.total IS DISTINCT FROM b.total")
-def changed_sources(spark, d):
-    """Against an earlier snapshot that lacked some orders and all events, and had a table more."""
-    columns = {**_DIGESTS, "region": ["r_regionkey", "r_name"]}
-    digests = lambda parts: reduce(lambda a, b: a.unionByName(b), [quality.fingerprint(table(spark, d, t).where(w), columns[t]).withColumn("table", F.lit(t)) for t, w in parts.items()])
-    return sinks.changed_sources(digests(dict.fromkeys(_DIGESTS, "true")), digests(_BEFORE))
+@query("changed_columns", f"SELECT \"column\" FROM ({_column_digest_sql('orders', {})}) a JOIN ({_column_digest_sql('orders', {'o_totalprice': _EDIT})}) b USING (\"column\") WHERE a.dg <> b.dg")
+def changed_columns(spark, d):
+    o = table(spark, d, "orders")
+    before = digest.by_column(o.withColumn("o_totalprice", F.expr(_EDIT))).withColumnRenamed("digest", "before")
+    return digest.by_column(o).join(F.broadcast(before), "column").where("digest <> before").select("column")  # a row a column
 
 
 @query("missing_dates", "SELECT k, date, CAST((v1_lag1 IS NULL)::INT + (v2_lag1 IS NULL)::INT + (news_mean IS NULL)::INT AS INT) AS n_missing FROM ftable WHERE v1_lag1 IS NULL OR v2_lag1 IS NULL OR news_mean IS NULL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,9 @@ from tidemark.functions.scalars import ratio
 from tidemark.operators import align, calendar, resample, rolling, score, windows
 from tidemark.operators.forecast import forecast
 from tidemark.operators.rolling import by
-from tidemark.plans.base import CTE, bars, query, r, rets, spine
+from tidemark.plans.base import CTE, bars, once, query, r, rets, session_map, sessions
 from tidemark.plans.market import _calendar, feature_frame, features
+from tidemark.sources import sinks
 
 RUNGS, SEEDS, YEARS = (20, 60, 120), (0, 1, 2), (1997, 1998, 1999)
 HORIZON, STRIDE = 5, 5
@@ -89,17 +91,17 @@ def seed_means(spark, d):
     return window_scores(spark, d).groupBy("rung", "fold", "model", "k", "window").agg(F.avg("wql").alias("wql"))
 
 
-def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str = "wql") -> DataFrame:
-    """keys, delta = a - b; pairs with a missing side are left out."""
-    return a.select(*keys, F.col(value).alias("__a")).join(b.select(*keys, F.col(value).alias("__b")), keys).select(*keys, (F.col("__a") - F.col("__b")).alias("delta")).where("delta is not null")
+def paired(rows: DataFrame, keys: list[str], value: str = "wql") -> DataFrame:
+    """keys, delta = tuned - base, both sides from one pass; pairs with a missing side are left out."""
+    side = lambda model: F.max(F.when(F.col("model") == model, F.col(value)))
+    return rows.groupBy(*keys).agg((side("tuned") - side("base")).alias("delta")).where("delta is not null")
 
 
 _KEYS = ["rung", "fold", "k", "window"]
 
 
 def deltas(spark, d):
-    side = lambda model: F.max(F.when(F.col("model") == model, F.col("wql")))
-    return seed_means(spark, d).groupBy(*_KEYS).agg((side("tuned") - side("base")).alias("delta")).where("delta is not null")
+    return paired(seed_means(spark, d), _KEYS)
 
 
 def versus_control(spark, d):
@@ -175,9 +177,9 @@ def holdout_split(spark, d):
 
 @query("live_horizon", "SELECT b.k, b.last_date, s.session_date AS date, CAST(s.idx - b.at AS INT) AS step FROM (SELECT k, last_date, (SELECT count(*) FROM sessions WHERE session_date <= last_date) AS at FROM (SELECT k, max(date) AS last_date FROM bars GROUP BY k)) b JOIN sessions s ON s.idx > b.at AND s.idx <= b.at + 5")
 def live_horizon(spark, d):
-    s = calendar.trading_sessions(spine(spark))
+    s = sessions(spark, d)
     last = bars(spark, d).groupBy("k").agg(F.max("date").alias("last_date"))
-    nxt = last.join(F.broadcast(calendar.session_day_map(spine(spark)).select(F.col("date").alias("last_date"), "next_after")), "last_date").join(F.broadcast(s.select(F.col("session_date").alias("next_after"), "idx")), "next_after")
+    nxt = last.join(F.broadcast(session_map(spark, d).select(F.col("date").alias("last_date"), "next_after")), "last_date").join(F.broadcast(s.select(F.col("session_date").alias("next_after"), "idx")), "next_after")
     ahead = nxt.select("k", "last_date", F.posexplode(F.sequence("idx", F.col("idx") + 4)).alias("p", "idx"))
     return ahead.join(F.broadcast(s.select("idx", F.col("session_date").alias("date"))), "idx").select("k", "last_date", "date", (F.col("p") + 1).alias("step"))
 
@@ -309,8 +311,7 @@ def weekly_gain_by_tercile(spark, d):
 
 @query("gain_by_horizon", "SELECT a.rung, a.horizon, round(avg(a.pinball - b.pinball), 7) AS gain FROM scored a JOIN scored b USING (k, rung, fold, seed, window_id, horizon) WHERE a.model = 'tuned' AND b.model = 'base' GROUP BY a.rung, a.horizon")
 def gain_by_horizon(spark, d):
-    s = scored(spark, d)
-    p = paired(s.where("model = 'tuned'"), s.where("model = 'base'"), ["k", *CELL, "window", "horizon"], "pinball")
+    p = paired(scored(spark, d), ["k", *CELL, "window", "horizon"], "pinball")
     return p.groupBy("rung", "horizon").agg(r(F.avg("delta"), "gain", 7))
 
 
@@ -327,7 +328,7 @@ def run_ranking(spark, d):
     own = runs.groupBy("rung", "seed").agg(m("tuned").alias("wql"), m("base").alias("base"))
     control = own.where("rung = 60").select("seed", F.col("wql").alias("control"))
     w = window_scores(spark, d)
-    win = paired(w.where("model = 'tuned'"), w.where("model = 'base'"), [*CELL, "k", "window"]).groupBy("rung", "seed").agg(F.avg((F.col("delta") < 0).cast("int")).alias("win"))
+    win = paired(w, [*CELL, "k", "window"]).groupBy("rung", "seed").agg(F.avg((F.col("delta") < 0).cast("int")).alias("win"))
     out = own.join(control, "seed").join(win, ["rung", "seed"])
     place = F.row_number().over(Window.orderBy(F.round("wql", 9), "rung", "seed")).cast("long")  # one row a run
     return out.select("rung", "seed", r("wql"), r(F.col("wql") - F.col("base"), "vs_base"), r(F.col("wql") - F.col("control"), "vs_control"), r("win", "win_rate"), place.alias("rank"))
@@ -345,10 +346,8 @@ def model_filter(spark, d):
 
 @query("paired_predictions", "SELECT rung, fold, count(*) AS n, round(avg(abs(a.prediction - b.prediction)), 6) AS gap FROM preds a JOIN preds b USING (k, rung, fold, seed, window_id, horizon) WHERE a.model = 'tuned' AND b.model = 'base' AND a.actual = b.actual GROUP BY rung, fold")
 def paired_predictions(spark, d):
-    p = predictions(spark, d)
-    keys = ["k", *CELL, "window", "horizon", "actual"]
-    a, b = (p.where(F.col("model") == m).select(*keys, F.col("prediction").alias(m)) for m in ("tuned", "base"))
-    return align.checked_one_to_one(a, b, keys).groupBy("rung", "fold").agg(F.count("*").alias("n"), r(F.avg(F.abs(F.col("tuned") - F.col("base"))), "gap"))
+    both = align.one_to_one(predictions(spark, d), ["k", *CELL, "window", "horizon", "actual"], "model", ("tuned", "base"), "prediction")
+    return both.groupBy("rung", "fold").agg(F.count("*").alias("n"), r(F.avg(F.abs(F.col("tuned") - F.col("base"))), "gap"))
 
 
 @query("event_conditioned_score", "SELECT model, rung, coalesce(is_event_day, 0) AS is_event_day, count(*) AS n, round(avg(pinball), 6) AS pinball FROM scored LEFT JOIN cal USING (date) GROUP BY ALL")
@@ -360,10 +359,16 @@ def event_conditioned_score(spark, d):
 
 @query("load_run_cells", "SELECT rung, fold, seed, count(*) AS n_rows FROM preds WHERE model = 'tuned' AND seed <> 2 GROUP BY rung, fold, seed")
 def load_run_cells(spark, d):
-    name = F.concat(F.lit("r"), F.col("rung"), F.lit("-fold"), F.col("fold"), F.when(F.col("seed") == 2, "-broken").otherwise(F.concat(F.lit("-seed"), F.col("seed"))))
-    named = predictions(spark, d).where("model = 'tuned'").select(name.alias("run"))
-    part = lambda i: F.regexp_extract("run", r"^r([0-9]+)-fold([0-9]{4})-seed([0-9]+)$", i)
-    return named.where(part(1) != "").select(part(1).cast("int").alias("rung"), part(2).cast("int").alias("fold"), part(3).cast("int").alias("seed")).groupBy(*CELL).agg(F.count("*").alias("n_rows"))
+    """Runs written in folders by rung, fold and seed, some ill-named, and read again: only the folders of well-named cells are opened."""
+
+    def write():
+        path = f"{sinks.shared(spark)}/runs-{uuid.uuid4().hex}"
+        named = predictions(spark, d).withColumn("seed", F.when(F.col("seed") == 2, "2-broken").otherwise(F.col("seed").cast("string")))
+        sinks.write_cells(named.select(*CELL, "model", "k", "window", "horizon", "prediction"), path, CELL)
+        return path
+
+    cells = sinks.read_cells(spark, once(spark, d, "runs", write), dict.fromkeys(CELL, "[0-9]+"))
+    return cells.where("model = 'tuned'").groupBy(*(F.col(c).cast("int").alias(c) for c in CELL)).agg(F.count("*").alias("n_rows"))
 
 
 @query("union_models", "SELECT model, count(*) AS n_rows, round(sum(prediction), 5) AS total FROM preds GROUP BY model")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import FEDERAL, ratio
+from tidemark.functions.scalars import FEDERAL, MARKET, ratio
 from tidemark.operators import align, calendar, rolling
 from tidemark.operators.rolling import by, ffill, log_return, pct_change
 from tidemark.operators.rolling import rolling as over
-from tidemark.plans.base import CTE, FIRST, LAST, bars, open_sql, query, r, rets, series, signals, spine, spine24, table, ticks
-from tidemark.sources import landed
-
+from tidemark.plans.base import CLOSE, CTE, EARLY, FIRST, LAST, bars, business_map, days, last_day, open_sql, query, r, rets, series, session_map, sessions, signals, table, ticks, traded
+from tidemark.sources import landed, schedule
 
 
 # sources ---------------------------------------------------------------------------------------------------------------
@@ -95,25 +94,30 @@ def fallback_source(spark, d):
 _SPAN = "(SELECT min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem)"
 
 
-def _traded(spark, d, days, column):
+def _traded(spark, d, rows, column):
     """Days of a calendar within the traded range."""
-    ends = table(spark, d, "lineitem").agg(F.min(F.col("l_shipdate").cast("date")).alias("lo"), F.max(F.col("l_shipdate").cast("date")).alias("hi"))
-    return days.crossJoin(F.broadcast(ends)).where(F.col(column).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")  # one row
+    lo, hi = traded(spark, d)
+    return rows.where(F.col(column).between(F.lit(lo), F.lit(hi)))
 
 
 @query("trading_sessions", f"SELECT session_date, CAST(close_s AS BIGINT) AS close_s, idx FROM sessions, {_SPAN} WHERE session_date BETWEEN lo AND hi")
 def trading_sessions(spark, d):
-    return _traded(spark, d, calendar.trading_sessions(spine(spark)).select("session_date", F.unix_timestamp("close_ts").alias("close_s"), "idx"), "session_date")
+    return _traded(spark, d, sessions(spark, d).select("session_date", F.unix_timestamp("close_ts").alias("close_s"), "idx"), "session_date")
+
+
+@query("session_schedule", f"SELECT date, {open_sql(MARKET)} AS is_open, CASE WHEN {open_sql(MARKET)} THEN CAST(epoch({CLOSE}) AS BIGINT) END AS close_s, CASE WHEN isodow(date) > 5 THEN 'weekend' WHEN date IN ({', '.join(f'DATE {x!r}' for x in schedule.CLOSURES)}) THEN 'closure' WHEN NOT {open_sql(MARKET)} THEN 'holiday' WHEN {EARLY} THEN 'early' ELSE 'session' END AS reason FROM spine")
+def session_schedule(spark, d):
+    return days(spark, d).select("date", "is_open", F.unix_timestamp("close_ts").alias("close_s"), "reason")
 
 
 @query("business_days", f"SELECT date FROM spine, {_SPAN} WHERE {open_sql(FEDERAL)} AND date BETWEEN lo AND hi")
 def business_days(spark, d):
-    return _traded(spark, d, calendar.business_days(spine(spark)), "date")
+    return _traded(spark, d, calendar.business_days(days(spark, d).select("date")), "date")
 
 
 @query("session_day_map", f"SELECT date, next_on_or_after, next_after FROM daymap, {_SPAN} WHERE date BETWEEN lo AND hi")
 def session_day_map(spark, d):
-    return _traded(spark, d, calendar.session_day_map(spine(spark)).drop("close_ts"), "date")
+    return _traded(spark, d, session_map(spark, d).drop("close_ts"), "date")
 
 
 CTE["opex"] = "SELECT date_trunc('month', session_date) AS month, max(session_date) AS opex_day FROM sessions WHERE session_date <= CAST(date_trunc('month', session_date) AS DATE) + CAST((5 - isodow(date_trunc('month', session_date)) + 7) % 7 + 14 AS INT) GROUP BY 1"
@@ -121,7 +125,7 @@ CTE["opex"] = "SELECT date_trunc('month', session_date) AS month, max(session_da
 
 @query("opex_days", f"SELECT CAST(month AS DATE) AS month, opex_day FROM opex, {_SPAN} WHERE opex_day BETWEEN lo AND hi")
 def opex_days(spark, d):
-    return _traded(spark, d, calendar.opex_days(calendar.trading_sessions(spine(spark))), "opex_day")
+    return _traded(spark, d, calendar.opex_days(sessions(spark, d)), "opex_day")
 
 
 CTE["evdays"] = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 11 = 0"
@@ -134,14 +138,14 @@ CTE["cal"] = f"""SELECT date, is_event_day, CAST(nxt - date AS INT) AS days_to_e
 
 def _calendar(spark, d):
     o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 11 = 0").select(F.col("o_orderdate").cast("date").alias("date"))
-    c = calendar.event_calendar(spine(spark), o, FIRST, LAST)
+    c = calendar.event_calendar(sessions(spark, d), o, *traded(spark, d))
     return c.withColumns({"cycle_week": F.col("cycle_week").cast("long"), "turn_of_month": F.col("turn_of_month").cast("long"), "days_to_month_end": F.col("days_to_month_end").cast("long")})
 
 
 def _calendar_query(name, *columns):
     cols = ["date", *columns] if columns else ["*"]
 
-    @query(name, f"SELECT {', '.join(cols)} FROM cal WHERE date BETWEEN DATE '{FIRST}' AND DATE '{LAST}'")
+    @query(name, f"SELECT {', '.join(cols)} FROM cal WHERE date BETWEEN {FIRST} AND {LAST}")
     def part(spark, d):
         return _calendar(spark, d).select(*cols)
 
@@ -160,16 +164,16 @@ _calendar_query("pre_holiday", "is_pre_holiday")
 @query("event_flags_coverage", "SELECT date, CASE WHEN date <= (SELECT max(date) FROM evdays) THEN is_event_day END AS is_event_day FROM cal0")
 def event_flags_coverage(spark, d):
     o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 11 = 0").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
-    s = calendar.trading_sessions(spine(spark)).select(F.col("session_date").alias("date"))
+    s = sessions(spark, d).select(F.col("session_date").alias("date"))
     flagged = s.join(o.withColumn("hit", F.lit(1)), "date", "left").crossJoin(F.broadcast(o.agg(F.max("date").alias("through"))))  # one row
     return flagged.select("date", F.when(F.col("date") <= F.col("through"), F.coalesce("hit", F.lit(0))).alias("is_event_day"))
 
 
 @query("next_sessions", "SELECT event_id, step, session_date FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY session_date) AS INT) AS step, session_date FROM events JOIN sessions24 ON close_s > epoch(ts) AND session_date <= CAST(ts AS DATE) + 16) WHERE step <= 5")
 def next_sessions(spark, d):
-    s = calendar.trading_sessions(spine24(spark))
+    s = sessions(spark, d, "spine24")
     numbered = s.select("session_date", "idx")
-    at = align.first_close_after(table(spark, d, "events").select("event_id", F.col("ts").alias("accepted"), F.col("ts").cast("date").alias("filed")), calendar.session_day_map(spine24(spark)))
+    at = align.first_close_after(table(spark, d, "events").select("event_id", F.col("ts").alias("accepted"), F.col("ts").cast("date").alias("filed")), session_map(spark, d, "spine24"))
     first = at.join(F.broadcast(numbered.withColumnRenamed("session_date", "available")), "available")
     ahead = first.select("event_id", "idx", F.posexplode(F.sequence(F.col("idx"), F.col("idx") + 4)).alias("p", "j"))
     return ahead.select("event_id", (F.col("p") + 1).alias("step"), F.col("j").alias("idx")).join(F.broadcast(numbered), "idx").select("event_id", "step", "session_date")
@@ -185,7 +189,7 @@ def _asof_sql(columns, lag=0, suffix=""):
 
 def _asof(spark, d, columns, **more):
     base = series(spark, d).select("k", "date")
-    return align.asof_join(base, signals(spark, d), columns, ["k"], ties=["ref_date", "id"], **more)
+    return align.asof_join(base, signals(spark, d), columns, ["k"], ties=["ref_date", "id"], last=last_day(spark, d), **more)
 
 
 @query("asof_join", _asof_sql(["v1"]))
@@ -203,18 +207,17 @@ def asof_lagged(spark, d):
     return _asof(spark, d, ["v1"], lag_days=1, suffix="_lag1").select("k", "date", r("v1_lag1"))
 
 
-@query("window_mean_join", f"SELECT s.k, s.date, round(m.v1, 6) AS v1 FROM series s LEFT JOIN (SELECT k, greatest(next_on_or_after, DATE '1995-06-01') AS date, avg(v1) AS v1 FROM signals JOIN daymap ON avail = daymap.date WHERE greatest(next_on_or_after, DATE '1995-06-01') <= DATE '{LAST}' GROUP BY 1, 2) m ON s.k = m.k AND s.date = m.date WHERE s.date >= DATE '1995-06-01'")
+@query("window_mean_join", f"SELECT s.k, s.date, round(m.v1, 6) AS v1 FROM series s LEFT JOIN (SELECT k, greatest(next_on_or_after, DATE '1995-06-01') AS date, avg(v1) AS v1 FROM signals JOIN daymap ON avail = daymap.date WHERE greatest(next_on_or_after, DATE '1995-06-01') <= {LAST} GROUP BY 1, 2) m ON s.k = m.k AND s.date = m.date WHERE s.date >= DATE '1995-06-01'")
 def window_mean_join(spark, d):
     base = series(spark, d).select("k", "date").where("date >= '1995-06-01'")
-    m = calendar.session_day_map(spine(spark))
-    return align.window_mean_join(base, signals(spark, d).select("k", "avail", "v1"), ["v1"], m, ["k"], F.lit("1995-06-01").cast("date"), F.lit(LAST).cast("date")).select("k", "date", r("v1"))
+    m = session_map(spark, d)
+    return align.window_mean_join(base, signals(spark, d).select("k", "avail", "v1"), ["v1"], m, ["k"], F.lit("1995-06-01").cast("date"), F.lit(traded(spark, d)[1])).select("k", "date", r("v1"))
 
 
 @query("publication_date", "SELECT o_orderkey AS id, ref, CASE WHEN ref >= DATE '1999-06-21' THEN ref ELSE f.next_after END AS release, s.next_after AS published FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ref FROM orders) o LEFT JOIN fedmap f ON f.date = ref LEFT JOIN daymap s ON s.date = CASE WHEN ref >= DATE '1999-06-21' THEN ref ELSE f.next_after END")
 def publication_date(spark, d):
     refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("ref"))
-    s = spine(spark)
-    return align.publication_date(refs, calendar.day_map(s, calendar.business_days(s), "date"), calendar.session_day_map(s), "ref", "1999-06-21").select("id", "ref", "release", "published")
+    return align.publication_date(refs, business_map(spark, d), session_map(spark, d), "ref", "1999-06-21").select("id", "ref", "release", "published")
 
 
 CTE["filings"] = "SELECT event_id AS id, user_id % 10 AS entity, event_type AS form, CASE WHEN event_id % 13 <> 0 THEN epoch(ts) END AS at_s, CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS filed FROM events"
@@ -224,7 +227,7 @@ CTE["filed_at"] = CTE["filed_at"].replace("INTERVAL '23:59' HOUR TO MINUTE", "IN
 
 def _filed(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("entity"), F.col("event_type").alias("form"), F.when(F.col("event_id") % 13 != 0, F.col("ts")).alias("accepted"), F.from_utc_timestamp("ts", "America/New_York").cast("date").alias("filed"))
-    return align.first_close_after(e, calendar.session_day_map(spine24(spark)))
+    return align.first_close_after(e, session_map(spark, d, "spine24"))
 
 
 @query("first_close_after", "SELECT id, entity, form, available, phase FROM filed_at")
@@ -257,27 +260,27 @@ def is_new_print(spark, d):
 @query("vintage_daily", "SELECT p.k, s.date, round(v.level, 6) AS level, round(v.yoy, 6) AS yoy FROM (SELECT DISTINCT o_orderpriority AS k FROM orders) p CROSS JOIN spine s ASOF LEFT JOIN vknown v ON v.k = p.k AND s.date >= v.rt")
 def vintage_daily(spark, d):
     known = _vintages(spark, d).withColumnRenamed("realtime_start", "avail")
-    days = table(spark, d, "orders").select(F.col("o_orderpriority").alias("k")).distinct().crossJoin(F.broadcast(spine(spark)))  # a day each for every series
+    grid = table(spark, d, "orders").select(F.col("o_orderpriority").alias("k")).distinct().crossJoin(F.broadcast(days(spark, d).select("date")))  # a day each for every series
     # yoy of a release is known with its level, missing or not
-    both = align.asof_join(days, known.withColumn("v", F.struct("level", "yoy")), ["v"], ["k"])
+    both = align.asof_join(grid, known.withColumn("v", F.struct("level", "yoy")), ["v"], ["k"], last=last_day(spark, d))
     return both.select("k", "date", r("v.level", "level"), r("v.yoy", "yoy"))
 
 
 @query("membership_flags", "SELECT session_date AS date, CAST(session_date IN (SELECT date FROM evdays) AS INT) AS is_event_day, CAST(session_date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '2-HIGH') AS INT) AS is_high_day FROM sessions")
 def membership_flags(spark, d):
-    s = calendar.trading_sessions(spine(spark)).select(F.col("session_date").alias("date"))
+    s = sessions(spark, d).select(F.col("session_date").alias("date"))
     o = table(spark, d, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
     for name, rows in (("is_event_day", o.where("o_orderpriority = '1-URGENT' and o_orderkey % 11 = 0")), ("is_high_day", o.where("o_orderpriority = '2-HIGH'"))):
         s = s.join(rows.select("date").distinct().withColumn(name, F.lit(1)), "date", "left")
     return s.fillna(0)
 
 
-@query("session_gap_report", f"SELECT k, date, 'missing' AS kind FROM (SELECT k, session_date AS date FROM (SELECT DISTINCT k FROM bars), sessions WHERE session_date BETWEEN DATE '{FIRST}' AND DATE '{LAST}' EXCEPT SELECT k, date FROM bars) UNION ALL SELECT k, date, 'extra' FROM bars WHERE date NOT IN (SELECT session_date FROM sessions)")
+@query("session_gap_report", f"SELECT k, date, 'missing' AS kind FROM (SELECT k, session_date AS date FROM (SELECT DISTINCT k FROM bars), sessions WHERE session_date BETWEEN {FIRST} AND {LAST} EXCEPT SELECT k, date FROM bars) UNION ALL SELECT k, date, 'extra' FROM bars WHERE date NOT IN (SELECT session_date FROM sessions)")
 def session_gap_report(spark, d):
     b = bars(spark, d).select("k", "date")
-    s = calendar.trading_sessions(spine(spark)).select(F.col("session_date").alias("date")).where(F.col("date").between(FIRST, LAST))
+    s = sessions(spark, d).select(F.col("session_date").alias("date")).where(F.col("date").between(*map(F.lit, traded(spark, d))))
     missing = b.select("k").distinct().crossJoin(F.broadcast(s)).join(b, ["k", "date"], "left_anti")
-    extra = b.join(F.broadcast(calendar.trading_sessions(spine(spark)).select(F.col("session_date").alias("date"))), "date", "left_anti")
+    extra = b.join(F.broadcast(sessions(spark, d).select(F.col("session_date").alias("date"))), "date", "left_anti")
     return missing.withColumn("kind", F.lit("missing")).unionByName(extra.withColumn("kind", F.lit("extra")))
 
 
@@ -400,17 +403,17 @@ _CAL = [c for c, g, _ in ROLES if g == "calendar"]
 CTE["table0"] = f"""SELECT f.*, j1.v1 AS v1_lag1, j2.v2 AS v2_lag1, n.news_mean, {', '.join('cal.' + c for c in _CAL)} FROM feats f
  ASOF LEFT JOIN (SELECT k, avail + 1 AS a, last(v1 ORDER BY ref_date, id) AS v1 FROM signals WHERE v1 IS NOT NULL GROUP BY 1, 2) j1 ON f.k = j1.k AND f.date >= j1.a
  ASOF LEFT JOIN (SELECT k, avail + 1 AS a, last(v2 ORDER BY ref_date, id) AS v2 FROM signals WHERE v2 IS NOT NULL GROUP BY 1, 2) j2 ON f.k = j2.k AND f.date >= j2.a
- LEFT JOIN (SELECT k, greatest(next_on_or_after, DATE '{FIRST}') AS date, avg(v1) AS news_mean FROM signals JOIN daymap ON avail = daymap.date WHERE greatest(next_on_or_after, DATE '{FIRST}') <= DATE '{LAST}' GROUP BY 1, 2) n ON f.k = n.k AND f.date = n.date
- LEFT JOIN (SELECT * FROM cal WHERE date BETWEEN DATE '{FIRST}' AND DATE '{LAST}') cal ON cal.date = f.date"""
+ LEFT JOIN (SELECT k, greatest(next_on_or_after, {FIRST}) AS date, avg(v1) AS news_mean FROM signals JOIN daymap ON avail = daymap.date WHERE greatest(next_on_or_after, {FIRST}) <= {LAST} GROUP BY 1, 2) n ON f.k = n.k AND f.date = n.date
+ LEFT JOIN (SELECT * FROM cal WHERE date BETWEEN {FIRST} AND {LAST}) cal ON cal.date = f.date"""
 CTE["ftable"] = f"SELECT *, v1_lag1 - lag(v1_lag1) OVER (PARTITION BY k ORDER BY date) AS v1_diff, range_vol / nullif(({_roll('avg', 'range_vol', 50, 40)}), 0) AS vol_ratio FROM table0"
 
 
 def feature_frame(spark, d):
     """All features of every series and session, before the warm-up is cut. Two as-of columns share one shuffle."""
     base = features(spark, d)
-    base = align.asof_join(base, signals(spark, d), ["v1", "v2"], ["k"], ties=["ref_date", "id"], lag_days=1, suffix="_lag1")
+    base = align.asof_join(base, signals(spark, d), ["v1", "v2"], ["k"], ties=["ref_date", "id"], lag_days=1, suffix="_lag1", last=last_day(spark, d))
     news = signals(spark, d).select("k", "avail", F.col("v1").alias("news_mean"))
-    base = align.window_mean_join(base, news, ["news_mean"], calendar.session_day_map(spine(spark)), ["k"], F.lit(FIRST).cast("date"), F.lit(LAST).cast("date"))
+    base = align.window_mean_join(base, news, ["news_mean"], session_map(spark, d), ["k"], *map(F.lit, traded(spark, d)))
     base = base.join(F.broadcast(_calendar(spark, d).select("date", *_CAL)), "date", "left")
     w = by("k")
     return base.withColumn("v1_diff", F.col("v1_lag1") - F.lag("v1_lag1").over(w)).withColumn("vol_ratio", ratio(F.col("range_vol"), over(F.avg, "range_vol", w, 50, 40)))

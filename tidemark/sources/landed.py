@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import clean
 
@@ -19,8 +18,9 @@ def doubles_clean(df: DataFrame) -> DataFrame:
 
 def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Of each key the row that landed last; rows with a null key are left out."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(seq))
-    return df.dropna(subset=keys).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    rest = [c for c in df.columns if c not in keys]
+    last = df.dropna(subset=keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(seq)).alias("__r"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"__r.{c}") for c in df.columns))
 
 
 def inventory(sources: dict[str, tuple[DataFrame | None, str, bool]]) -> DataFrame:
@@ -74,7 +74,8 @@ def fallback(sources: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame
     """For each key the row of the first source that has it, with `source`."""
     parts = [df.withColumn("source", F.lit(n)).withColumn("__p", F.lit(i)) for i, (n, df) in enumerate(sources)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return both.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__p"))).where("__n = 1").drop("__n", "__p")
+    rest = [c for c in both.columns if c not in keys and c != "__p"]
+    return both.groupBy(*keys).agg(F.min_by(F.struct(*rest), "__p").alias("__r")).select(*keys, "__r.*")
 
 
 def tail_of(cache: DataFrame, new: DataFrame, keys: list[str], norm: str, overlap: int) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import digest
 
 
 def write_feature_table(df: DataFrame, path: str, roles: dict[str, tuple[str, str]], by: str | None = None) -> None:
@@ -24,8 +24,8 @@ def write_feature_table(df: DataFrame, path: str, roles: dict[str, tuple[str, st
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/table")
     spark.createDataFrame([(c, g, r) for c, (g, r) in roles.items()], '`column` string, `group` string, role string').coalesce(1).write.mode("overwrite").json(f"{path}/roles")
     columns = [*df.columns]
-    digest = quality.fingerprint(spark.read.parquet(f"{path}/table"), columns)
-    digest.withColumn("columns", F.lit(json.dumps(columns))).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    made = digest.digest(spark.read.parquet(f"{path}/table").select(columns))
+    made.withColumn("columns", F.lit(json.dumps(columns))).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def read_feature_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
@@ -33,7 +33,7 @@ def read_feature_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict[
     meta = spark.read.json(f"{path}/metadata").first()
     columns = json.loads(meta["columns"])
     df = spark.read.parquet(f"{path}/table").select(columns)
-    now = quality.fingerprint(df, columns).first()
+    now = digest.digest(df).first()
     changed = [c for c in ("n_rows", "digest_a", "digest_b") if now[c] != meta[c]]
     if changed:
         raise ValueError(f"the table has changed since it was written: {changed}")
@@ -51,7 +51,27 @@ def read_statements(spark: SparkSession, path: str, fields: str = "date date, ur
     return spark.read.schema(fields).option("mode", "FAILFAST").json(path)
 
 
-def read_cells(spark: SparkSession, paths: str | list[str], pattern: str, names: list[str]) -> DataFrame:
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return (root if ":/" in root else f"file://{root}").rstrip("/")
+
+
+def write_cells(df: DataFrame, path: str, names: list[str]) -> None:
+    """Run cells in folders by the columns `names`; rows of a cell lie together."""
+    df.repartition(*names).write.mode("errorifexists").partitionBy(*names).parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """Run cells of folders whose values match their patterns, as strings; other folders are left out and, as the names are partition columns, never opened."""
+    df = spark.read.option("basePath", path).parquet(path)
+    cells = df.select(*(F.col(c).cast("string").alias(c) if c in names else c for c in df.columns))
+    for c, pattern in names.items():
+        cells = cells.where(F.col(c).rlike(f"^(?:{pattern})$"))
+    return cells
+
+
+def read_files(spark: SparkSession, paths: str | list[str], pattern: str, names: list[str]) -> DataFrame:
     """Run cells of Parquet files whose path matches `pattern`, with its groups as columns `names`; files whose path does not match are left out."""
     df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
     of = df.withColumn("__path", F.col("_metadata.file_path"))

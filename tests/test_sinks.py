@@ -46,7 +46,7 @@ def test_statements_as_lines(spark, tmp_path):
 def test_cells_by_file_name(spark, tmp_path):
     for name in ("r0-fold2019-seed1", "r20-fold2020-seed2", "r20-fold2020-broken"):
         spark.range(2).write.parquet(str(tmp_path / name))
-    out = sinks.read_cells(spark, [str(p) for p in sorted(tmp_path.iterdir())], r"/r([0-9]+)-fold([0-9]{4})-seed([0-9]+)/", ["rung", "fold", "seed"])
+    out = sinks.read_files(spark, [str(p) for p in sorted(tmp_path.iterdir())], r"/r([0-9]+)-fold([0-9]{4})-seed([0-9]+)/", ["rung", "fold", "seed"])
     assert sorted(map(tuple, out.groupBy("rung", "fold", "seed").count().collect())) == [("0", "2019", "1", 2), ("20", "2020", "2", 2)]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 
 def asof_join(base: DataFrame, other: DataFrame, columns: list[str], keys: list[str], at: str = "date", avail: str = "avail", ties: list[str] = (), lag_days: int = 0, suffix: str = "", last: date | None = None, span: int = 256) -> DataFrame:
-    """base with each column's last known value at `at`: inclusive, each column on its own, of equal availability the latest by `ties` (else by value).
+    """base with each column's last known value at `at`: inclusive, each column on its own, of equal availability the latest by `ties`, then by value.
 
     A segmented scan. Values are first reduced to one row a series and day of availability. Each series is cut into ranges of
     `span` days, and each range is scanned on its own, base rows and values in one order, so that a long series takes as many
@@ -19,9 +19,8 @@ def asof_join(base: DataFrame, other: DataFrame, columns: list[str], keys: list[
     that base may have (else it is looked up).
     """
     cut = lambda day: F.floor(F.datediff(day, F.lit(date(1970, 1, 1))) / span)
-    tie = F.struct(*ties) if ties else None
     named = [f"{c}{suffix}" for c in columns]
-    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), tie if ties else F.col(c))).alias(n) for c, n in zip(columns, named)]
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*ties, c))).alias(n) for c, n in zip(columns, named)]
     known = other.groupBy(*keys, F.date_add(avail, lag_days).alias("__t")).agg(*newest).withColumn("__range", cut(F.col("__t")))
     # what each range's end knows, then a row for every later range up to the next one with values, and one for all others
     ends = known.groupBy(*keys, "__range").agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("__t"))).alias(n) for n in named))

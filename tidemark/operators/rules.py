@@ -10,20 +10,26 @@ from tidemark.operators import quality
 
 SCHEMA = "rule string, column string, stat string, from_date date, to_date date, low double, high double, on_miss string"
 
-_X, _D = F.col("value"), F.col("date")
-#: What a rule may ask of the values of its period; nulls count for the share that is present only.
-STATS: dict[str, Column] = {
-    "mean": F.avg(_X),
-    "std": F.stddev_samp(_X),
-    "median": F.percentile(F.when(F.col("stat") == "median", _X), 0.5),
-    "min": F.min(_X),
-    "max": F.max(_X),
-    "negative_share": F.avg((_X < 0).cast("int")),
-    "present_share": F.count(_X) / F.count("*"),
-    "year_of_max": F.year(F.max_by(_D, F.when(_X.isNotNull(), F.struct(F.round(_X, 9), -F.datediff(_D, F.lit("1970-01-01").cast("date")))))).cast("double"),
-    "year_of_min": F.year(F.min_by(_D, F.when(_X.isNotNull(), F.struct(F.round(_X, 9), F.datediff(_D, F.lit("1970-01-01").cast("date")))))).cast("double"),
-    "sum_a_year": ratio(F.sum(_X), F.count_distinct(F.year(_D))),
-}
+#: What a rule may ask of the values of its period.
+STATS = ("mean", "std", "median", "min", "max", "negative_share", "present_share", "year_of_max", "year_of_min", "sum_a_year")
+
+
+def statistics() -> dict[str, Column]:
+    """Each of STATS over value and date; nulls count for the share that is present only, and of equal extremes the first day's year."""
+    x, d = F.col("value"), F.col("date")
+    day, there = F.datediff(d, F.lit("1970-01-01").cast("date")), x.isNotNull()
+    return {
+        "mean": F.avg(x),
+        "std": F.stddev_samp(x),
+        "median": F.percentile(F.when(F.col("stat") == "median", x), 0.5),
+        "min": F.min(x),
+        "max": F.max(x),
+        "negative_share": F.avg((x < 0).cast("int")),
+        "present_share": F.count(x) / F.count("*"),
+        "year_of_max": F.year(F.max_by(d, F.when(there, F.struct(F.round(x, 9), -day)))).cast("double"),
+        "year_of_min": F.year(F.min_by(d, F.when(there, F.struct(F.round(x, 9), day)))).cast("double"),
+        "sum_a_year": ratio(F.sum(x), F.count_distinct(F.year(d))),
+    }
 
 
 def table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
@@ -42,8 +48,8 @@ def judged(df: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     of all rules come from one aggregation."""
     columns = sorted({r["column"] for r in rules.select("column").distinct().collect()})
     cells = quality.melted(df, [*keys, "date"], columns)
-    met = cells.join(F.broadcast(rules), "column").where((F.col("from_date").isNull() | (_D >= F.col("from_date"))) & (F.col("to_date").isNull() | (_D <= F.col("to_date"))))
-    stats = met.groupBy(*keys, "rule", "stat", "low", "high", "on_miss").agg(F.count("value").alias("n"), *(c.alias(f"__{n}") for n, c in STATS.items()))
+    met = cells.join(F.broadcast(rules), "column").where((F.col("from_date").isNull() | (F.col("date") >= F.col("from_date"))) & (F.col("to_date").isNull() | (F.col("date") <= F.col("to_date"))))
+    stats = met.groupBy(*keys, "rule", "stat", "low", "high", "on_miss").agg(F.count("value").alias("n"), *(c.alias(f"__{n}") for n, c in statistics().items()))
     value = F.coalesce(*(F.when(F.col("stat") == n, F.col(f"__{n}")) for n in STATS))
     fine = F.coalesce(value.between(F.col("low"), F.col("high")), F.lit(False))
     return stats.select(*keys, "rule", "n", value.alias("value"), F.when(fine, "PASS").otherwise(F.col("on_miss")).alias("status"))

@@ -144,7 +144,8 @@ def test_draws_of_any_size(spark, monkeypatch, block, chunk):
         return sum(vs[at(i)] for i in range(len(vs))) / len(vs)
 
     assert len(got) == 60 and all(abs(m - mean(*k)) < 1e-12 for k, m in got.items())
-    assert "collect_list" not in resample.draws(df, ["k"], "v", ["f", "p", "i"], 3)._jdf.queryExecution().toString()
+    tree = resample.draws(df, ["k"], "v", ["f", "p", "i"], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"<= {chunk}" in tree and f"> {chunk}" in tree  # only groups of that size are arrays
 
 
 # rules

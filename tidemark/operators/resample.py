@@ -13,50 +13,62 @@ def drawn(*parts: Column | str | int, below: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % below
 
 
-#: Places of a draw that one row stands for until they are looked up.
+#: Places of a draw that one row stands for until they are looked up, and values of a group that one row may hold.
 CHUNK = 4096
 
 
 def placed(df: DataFrame, groups: list[str], value: str, order: list[str]) -> DataFrame:
-    """groups, place, value: the values of each group numbered from 0 in the given order.
+    """groups, place, value, n: the values of each group of n numbered from 0 in the given order.
 
     Rows are numbered within each part of a group that the leading order columns make, and parts by the sizes of those before,
     so that a group of many parts is never sorted in one task.
     """
     part = [c for c in order[:-1] if c not in groups]
-    within = Window.partitionBy(*groups, *part).orderBy(order[-1])
-    rows = df.select(*groups, *part, F.col(value).alias("value"), F.row_number().over(within).alias("__n"))
+    within = Window.partitionBy(*groups, *part)
+    rows = df.select(*groups, *part, F.col(value).alias("value"), F.row_number().over(within.orderBy(order[-1])).alias("__i"), F.count("*").over(within).alias("__size"))
     if not part:
-        return rows.select(*groups, (F.col("__n") - 1).cast("long").alias("place"), "value")
-    before = Window.partitionBy(*groups).orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy(*groups, *part).agg(F.count("*").alias("__size"))  # one row a part
-    start = sizes.select(*groups, *part, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    return rows.join(start, [*groups, *part]).select(*groups, (F.col("__start") + F.col("__n") - 1).alias("place"), "value")
+        return rows.select(*groups, (F.col("__i") - 1).cast("long").alias("place"), "value", F.col("__size").alias("n"))
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.where("__i = 1")  # one row a part
+    start = sizes.select(*groups, *part, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(whole).alias("n"))
+    return rows.join(start, [*groups, *part]).select(*groups, (F.col("__start") + F.col("__i") - 1).alias("place"), "value", "n")
+
+
+def _places(rows: DataFrame, groups: list[str], keep: list[str], first: Column, last: Column, block: int, seed: int) -> DataFrame:
+    """groups, draw, keep, place: what the blocks from first to last of each row's draw take."""
+    n = F.col("n")
+    blocks = rows.select(*groups, *keep, "draw", "n", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("__block"))
+    begun = blocks.withColumn("place", drawn(seed, F.concat_ws("/", *groups), F.col("draw"), F.col("__block"), below=n))
+    if block > 1:
+        begun = begun.withColumn("__off", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), n - F.col("__block") * block) - 1)))
+        begun = begun.withColumn("place", (F.col("place") + F.col("__off")) % n)
+    return begun.select(*groups, *keep, "draw", "place")
 
 
 def draws(df: DataFrame, keys: list[str], value: str, order: list[str], n_draws: int, block: int = 1, seed: int = 7, within: list[str] = ()) -> DataFrame:
     """keys, draw, mean: means of resampled values, in circular blocks of `block` rows, the last cut to n; `within` strata are drawn alone and averaged.
 
-    The places that a draw takes are worked out from hashes, in rows of `CHUNK` places dealt over all tasks, and meet the values
-    by place in a join, whose sums Spark adds up by draw. No group is held in a row or a task, whatever its size.
+    A group of up to `CHUNK` values is one array, sent once to each share of the draws, which take their values from it by place.
+    A larger one is never held in a row or a task: the places of its draws are worked out `CHUNK` at a time over all tasks and
+    meet the values in a join by place. Both add up sums by draw and give the same means.
     """
     groups = [*keys, *within]
     values = placed(df, groups, value, order)
-    sizes = values.groupBy(*groups).agg(F.count("*").alias("__n"))
-    chunk = max(1, CHUNK // block) * block
-    upto = lambda n, step: F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / step))
-    each = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")).select("*", F.explode(upto(F.col("__n"), chunk)).alias("__chunk"))
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    each = each.repartition(parts, *groups, "draw", "__chunk")
-    n, named = F.col("__n"), F.concat_ws("/", *groups)
-    first = F.floor(F.col("__chunk") * chunk / block)
-    blocks = each.select(*groups, "draw", "__n", F.explode(F.sequence(first, F.least(first + chunk // block, F.ceil(n / block)) - 1)).alias("__block"))
-    begun = blocks.withColumn("__at", drawn(seed, named, F.col("draw"), F.col("__block"), below=n))
-    if block > 1:
-        begun = begun.withColumn("__off", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(block), n - F.col("__block") * block) - 1)))
-        begun = begun.withColumn("__at", (F.col("__at") + F.col("__off")) % n)
-    taken = begun.select(*groups, "draw", F.col("__at").alias("place")).join(values, [*groups, "place"])
-    mean = taken.groupBy(*groups, "draw").agg(F.avg("value").alias("mean"))
+    n, count = F.col("n"), min(n_draws, 4 * parts)
+    ordered = F.array_sort(F.collect_list(F.struct("place", "value")))
+    held = values.where(n <= CHUNK).groupBy(*groups, "n").agg(F.transform(ordered, lambda s: s["value"]).alias("held"))
+    shares = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("share")).repartition(parts, *groups, "share")
+    each = shares.select("*", F.explode(F.sequence(F.col("share"), F.lit(n_draws - 1), F.lit(count))).alias("draw"))
+    near = _places(each, groups, ["held"], F.lit(0), F.ceil(n / block) - 1, block, seed).select(*groups, "draw", F.get("held", F.col("place").cast("int")).alias("value"))
+    chunk = max(1, CHUNK // block)  # in blocks
+    large = values.where(n > CHUNK)
+    told = large.where("place = 0").select(*groups, "n", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
+    told = told.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / (chunk * block)) - 1)).alias("part")).repartition(parts, *groups, "draw", "part")
+    far = _places(told, groups, [], F.col("part") * chunk, F.least((F.col("part") + 1) * chunk, F.ceil(n / block)) - 1, block, seed)
+    far = far.join(large.select(*groups, "place", "value"), [*groups, "place"]).select(*groups, "draw", "value")
+    mean = near.unionByName(far).groupBy(*groups, "draw").agg(F.avg("value").alias("mean"))
     return mean.groupBy(*keys, "draw").agg(F.avg("mean").alias("mean")) if within else mean
 
 

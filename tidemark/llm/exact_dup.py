@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm._common import dropped, only, stored
 
@@ -48,7 +47,9 @@ def directory(links: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) ->
     fill = links.groupBy("slot").agg(F.count("*").alias("n"))  # at most 2^depth rows from here on
     each = fill.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"))
     prefix = F.expr(f"shiftrightunsigned(slot, {depth} - d)")
-    full = each.withColumn("total", F.sum("n").over(Window.partitionBy("d", prefix)))
+    each = each.withColumn("prefix", prefix)
+    total = each.groupBy("d", "prefix").agg(F.sum("n").alias("total"))  # less than 2^(depth + 1) rows
+    full = each.join(F.broadcast(total), ["d", "prefix"])
     local = full.where((F.col("total") <= capacity) | (F.col("d") == depth)).groupBy("slot").agg(F.min("d").alias("local_depth"))
     return local.withColumn("bucket", F.expr(f"shiftrightunsigned(slot, {depth} - local_depth) + shiftleft(1, local_depth)"))
 

@@ -5,8 +5,8 @@ labelled documents, all of them up to `FIT_DOCS` and else a share of them chosen
 number of languages. Prediction covers every whole text.
 
 Null text, text without a letter and a model without labels give `und`, score 0 and no spans. Repeated rows are answered
-each; ties go to the language first in order. An empty table gives no rows; extra
-columns stay, but for those named like an output.
+each; ties go to the language first in order. A row with a null doc_id is answered like any other; in the query it is neither
+learned from nor held out. An empty table gives no rows; extra columns stay, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                     total[BUCKETS:] += np.bincount(_scripts(points[places]), minlength=len(_NAMES))
         for name, total in sums.items():
             kept = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(kept)), pa.array(kept.astype(np.int32)), pa.array(total[kept])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(kept), pa.string()), pa.array(kept.astype(np.int32)), pa.array(total[kept])], names=["lang", "bucket", "n"])
 
     counts = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model.of({(r[0], r[1]): r[2] for r in counts.toLocalIterator()})

@@ -55,7 +55,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     model = langid.fit(docs.where(remainder != 0))
-    return langid.identify(only(docs, "doc_id", "text"), model).select("doc_id", (remainder == 0).alias("held_out"), "lang_pred", "score")
+    return langid.identify(only(docs, "doc_id", "text"), model).select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def cross_asset_wide(spark, d):
 
 @query("flatten_columnar_json", "SELECT CAST(event_id AS VARCHAR) AS accession, event_type AS form, CAST(ts AS DATE) AS filed, CAST(user_id % 10 AS BIGINT) AS entity FROM events")
 def flatten_columnar_json(spark, d):
-    e = table(spark, d, "events").withColumn("entity", F.col("user_id") % 10).withColumn("page", F.col("event_id") % 500)
+    e = table(spark, d, "events").withColumn("entity", F.col("user_id") % 10).withColumn("page", F.floor(F.col("event_id") / 1000))  # blocks of a bounded size
     fields = {"accession": F.col("event_id").cast("string"), "form": F.col("event_type"), "filed": F.col("ts").cast("date").cast("string")}
     held = F.collect_list(F.struct(*(c.alias(n) for n, c in fields.items())))
     blocks = e.groupBy("entity", "page").agg(held.alias("h")).select("entity", F.to_json(F.struct(*(F.expr(f"transform(h, x -> x.{n})").alias(n) for n in fields))).alias("json"))

@@ -152,7 +152,7 @@ def test_landed_edges(spark):
 
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = ["bars_daily", "asof_multi_column", "window_mean_join", "publication_date", "first_close_after", "vintage_as_known", "event_calendar", "feature_table", "metrics_grouping_sets", "block_bootstrap_ci", "importance_by_window", "sentences", "price_validation", "entity_flags", "changed_sources", "timeline_tone", "page_text", "table_fingerprint", "session_schedule", "daily_features", "daily_feature_roles", "period_rules", "rate_recompute", "readiness_conditions", "statement_links", "contract_audit", "changed_columns", "paired_predictions"]
+CHECKED = ["bars_daily", "asof_multi_column", "window_mean_join", "publication_date", "first_close_after", "vintage_as_known", "event_calendar", "feature_table", "metrics_grouping_sets", "block_bootstrap_ci", "importance_by_window", "sentences", "price_validation", "entity_flags", "changed_sources", "timeline_tone", "page_text", "table_fingerprint", "session_schedule", "daily_features", "period_rules", "rate_recompute", "readiness_conditions", "statement_links", "contract_audit", "changed_columns"]
 
 
 @pytest.mark.parametrize("name", CHECKED)

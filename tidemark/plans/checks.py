@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, time
+from datetime import UTC, date, datetime, time
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -110,7 +110,7 @@ _LAST = "(SELECT max(session_date) FROM sessions WHERE close_s <= epoch(CAST((SE
 @query("readiness_conditions", f"SELECT 'table_end' AS condition, k AS subject, max(date) AS observed, {_LAST} AS expected, max(date) IS NOT DISTINCT FROM {_LAST} AS ok FROM series GROUP BY k UNION ALL " + " UNION ALL ".join(map(_fresh_sql, FRESH)) + f" UNION ALL SELECT 'horizon', 'calendar', max(date) FILTER ({_WHOLE}), max(date), count(*) FILTER ({_WHOLE}) = {HORIZON} FROM ahead")
 def readiness_conditions(spark, d):
     """As of eleven in the evening (UTC) of the last traded day."""
-    return conditions(spark, d, datetime.combine(traded(spark, d)[1], time(23)))
+    return conditions(spark, d, datetime.combine(traded(spark, d)[1], time(23), UTC))
 
 
 # statements ------------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions import scalars
 from tidemark.operators import align, calendar, resample, rolling, score, windows
 from tidemark.plans import audit, base, market
@@ -162,8 +163,8 @@ def test_query_equals_sql(spark, name):
     con.execute("set TimeZone='UTC'")
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
-    b = con.sql(base.ORACLE[name]).df()
-    a = base.QUERIES[name](spark, SMALL).toPandas()[list(b.columns)]
+    b = con.sql(catalog.ORACLE[name]).df()
+    a = catalog.QUERIES[name](spark, SMALL).toPandas()[list(b.columns)]
     plain = [sorted(tuple("~" if pd.isna(v) else f"{v:.9g}" if isinstance(v, (int, float, np.number)) else str(v)[:10] if isinstance(v, (date, pd.Timestamp)) else str(v) for v in r) for r in d.astype(object).itertuples(index=False)) for d in (a, b)]
     assert plain[0] == plain[1] and (len(a) or name in ("metrics_grouping_sets", "contract_audit", "paired_predictions"))
 

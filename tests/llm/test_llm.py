@@ -525,6 +525,52 @@ def test_bpe_stream():
         assert dec.decode(ids, step=3) == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_slices(monkeypatch):
+    """However a text is cut into slices, the ids are the library's; every pre-token goes through the transducer."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t, (enc, _) = tokenizers.Tokenizer.from_file(vocabulary()), bpe.loaded(vocabulary())
+    rng = random.Random(8)
+    parts = ["a", " ", "  ", "\n", "'s", "'ll", "'", "é", "日", "1", "!!", "\x1c", "\x85", "\u3000", "🙂", " b", "aaaa", "-" * 9, " " * 9, "abc" * 5, "7" * 7, "<|endoftext|>"]
+    monkeypatch.setattr(bpe, "OPEN", 6)
+    small = bpe.Encoder(enc.merges)
+    small._run.room = enc.merges.lookahead + 8
+    for _ in range(1500):
+        s = "".join(rng.choice(parts) * rng.choice((1, 1, 1, 30)) for _ in range(rng.randint(1, 30))).replace("<|endoftext|>", " " if rng.random() < 0.5 else "x")
+        ids, at = b"", 0
+        while at < len(s):
+            step = rng.randint(1, 12)
+            ids += small.push(s[at : at + step])
+            at += step
+        assert np.frombuffer(ids + small.end(), np.int32).tolist() == t.encode(s, add_special_tokens=False).ids
+    monkeypatch.undo()
+    through = []
+    real = bpe.Transducer.end
+    monkeypatch.setattr(bpe.Transducer, "end", lambda self, data=b"": through.append(data) or real(self, data))
+    one = "Die Größe 12 it's"
+    assert bpe.Encoder(enc.merges).encode(one) == t.encode(one, add_special_tokens=False).ids
+    assert sorted(through) == sorted(p.encode() for p in bpe.PATTERN.findall(one))
+
+
+@pytest.mark.parametrize("kind", ["ab", "-=", "42", " \n"])
+def test_bpe_holds_little(kind):
+    """A text without a safe blank is encoded in the memory of a slice."""
+    import tracemalloc
+
+    tokenizers = pytest.importorskip("tokenizers")
+    t, (enc, _) = tokenizers.Tokenizer.from_file(vocabulary()), bpe.loaded(vocabulary())
+    rng = random.Random(1)
+    text = "".join(rng.choice(kind) for _ in range(150_000)) + "x y"
+    want, got = t.encode(text, add_special_tokens=False).ids, []
+    tracemalloc.start()
+    for ids in enc.feed(text):
+        assert len(enc._held) <= bpe.OPEN and len(enc._run.held) <= 2 * enc._run.room
+        got.append(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.frombuffer(b"".join(got), np.int32).tolist() == want
+    assert peak < 8 << 20
+
+
 # token files
 
 

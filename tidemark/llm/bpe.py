@@ -1,8 +1,10 @@
 """BPE encoding and decoding: a bounded-lookahead streaming transducer and an incremental byte-to-text decoder.
 
-Encoding walks the text in blocks and emits a token as soon as no text to its right can change it. How far that is,
-follows from the merge list alone (`Merges.lookahead`): a byte on the right changes a boundary on its left only through
-a chain of merges of rising rank, each of which reaches left by its left part.
+Encoding reads the text in slices and emits a token as soon as no text to its right can change it. Two lookaheads say when
+that is. Two characters decide where a pre-token ends (`EDGE`). Within a pre-token the merge list alone decides
+(`Merges.lookahead`): a byte on the right changes a boundary on its left only through a chain of merges of rising rank, each
+of which reaches left by its left part. So no more than a slice, `OPEN` characters and a few lookaheads of bytes are held,
+whatever the text looks like. Short pre-tokens met before come from a bounded cache, which holds what the transducer gave.
 
 Null text counts as empty: no ids, decoded text ''. Null, empty and very long texts, repeated rows and empty tables
 give one output row for each input row; extra columns stay, but for those named like an output.
@@ -22,11 +24,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm._chunks import blocks, units
+from tidemark.llm._chunks import BLOCK, units
 
 #: The byte-level pre-tokeniser's pattern (fixed value); White_Space is what its \s means.
 _W = r"\p{White_Space}"
 PATTERN = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|{_W}+(?!\P{{White_Space}})|{_W}+")
+#: Characters behind a pre-token that decide its end: "'r" may go on to "'re", and a run of white space leaves its last to a word.
+EDGE = 2
+#: Characters of a pre-token without an end in sight, from which on its tokens are emitted before its end is known.
+OPEN = 1024
+#: What an open pre-token goes on with, by the kind of its first character.
+_KINDS = [regex.compile(p) for p in (rf"{_W}*+", r"\p{L}*+", r"\p{N}*+", rf"[^{_W}\p{{L}}\p{{N}}]*+")]
 #: Units kept with their tokens; when full it starts anew, so that memory stays bounded.
 CACHE = 600_000
 _NONE = 1 << 60
@@ -121,26 +129,50 @@ class Merges:
                 heapq.heappush(heap, (q, p, ids[p], ids[i]))
         return [x for x, ok in zip(ids, alive) if ok]
 
-    def stream(self, piece: bytes):
-        """Tokens of a pre-token of any length, in a buffer of a few lookaheads: what ends a lookahead before the buffer's end is stable."""
-        step, at = 4 * self.lookahead + 1024, 0
-        while len(piece) - at > step:
-            stable, end = step - self.lookahead, 0
-            for t in self.merge(piece[at : at + step]):
-                end += len(self.bytes_of[t])
-                if end > stable:
-                    end -= len(self.bytes_of[t])
-                    break
-                yield t
-            at += end
-        yield from self.merge(piece[at:])
+
+class Transducer:
+    """Bytes of one pre-token in, its tokens out once they are stable; `end` gives the last ones and starts anew."""
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges, self.held = merges, b""
+        self.size = {i: len(b) for i, b in merges.bytes_of.items()}
+        self.room = 4 * merges.lookahead + 1024
+
+    def push(self, data: bytes) -> list[int]:
+        out = []
+        for at in range(0, len(data), self.room):
+            self.held += data[at : at + self.room]
+            if len(self.held) > self.room:
+                out += self._stable()
+        return out
+
+    def _stable(self) -> list[int]:
+        """Tokens that end a lookahead before what is held does; BPE of the rest goes on as if they had never been there."""
+        found, done, last = self.merges.merge(self.held), 0, len(self.held) - self.merges.lookahead
+        for n, t in enumerate(found):
+            if done + self.size[t] > last:
+                break
+            done += self.size[t]
+        self.held = self.held[done:]
+        return found[:n]
+
+    def end(self, data: bytes = b"") -> list[int]:
+        out = self.push(data) if data else []
+        out += self.merges.merge(self.held)
+        self.held = b""
+        return out
 
 
 class Encoder:
-    """Text to ids, block by block. Units met before come from a bounded cache, as their ids' bytes."""
+    """Text to ids, a slice at a time. Units met before come from a bounded cache, as their ids' bytes.
+
+    `push` gives the ids that are stable after a slice; what it holds back begins at a pre-token's start, or belongs to an open
+    pre-token whose bytes are in the transducer already. `end` gives the rest.
+    """
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
+        self._run, self._held, self._open = Transducer(merges), "", None
         self._inner: dict[str, bytes] = {}  # of what follows a blank, with that blank
         self._first: dict[str, bytes] = {}
         self._special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
@@ -151,7 +183,7 @@ class Encoder:
         held = known.get(key)
         if held is None:
             raw = piece.encode("utf-8", "surrogatepass")
-            held = array("i", self.merges.merge(raw) if len(raw) <= 1024 else self.merges.stream(raw)).tobytes()
+            held = array("i", self._run.end(raw)).tobytes()
             if len(raw) < 64:
                 if len(known) > CACHE:
                     known.clear()
@@ -178,16 +210,74 @@ class Encoder:
                         self._inner[word] = hit
         return b"".join([self._unit(first) if first else b"", *found])
 
+    def _go_on(self, held: str, final: bool) -> tuple[bytes, str]:
+        """What an open pre-token takes of `held`, as ids, and what is left; it stays open if there is no end to it."""
+        stop = self._open.match(held).end()
+        over = stop < len(held)
+        if self._open is _KINDS[0] and (over or not final):
+            stop -= 1  # the last white space may belong to a word
+        data = held[:stop].encode("utf-8", "surrogatepass")
+        if not over and not final:
+            return array("i", self._run.push(data)).tobytes(), held[stop:]
+        self._open = None
+        return array("i", self._run.end(data)).tobytes(), held[stop:]
+
+    def push(self, chars: str) -> bytes:
+        """Ids that are stable with these characters."""
+        held, out = self._held + chars, []
+        if self._open:
+            ids, held = self._go_on(held, False)
+            out.append(ids)
+            if self._open:
+                self._held = held
+                return ids
+        # a blank between two non-spaces ends what is before it
+        cut = held.rfind(" ", 0, -1)
+        while cut > 0 and (held[cut - 1].isspace() or held[cut + 1].isspace()):
+            cut = held.rfind(" ", 0, cut)
+        if cut > 0:
+            out.append(self._block(held[:cut]))
+            held = held[cut:]
+        if len(held) > OPEN:
+            at = 0
+            for m in PATTERN.finditer(held):
+                if m.end() > len(held) - EDGE:
+                    break
+                out.append(self._piece(m[0]))
+                at = m.end()
+            held = held[at:]
+            if len(held) > OPEN:
+                blank = held[0] == " " and not _KINDS[0].fullmatch(held[1])
+                self._open = next(k for k in _KINDS if k.fullmatch(held[blank]))
+                if blank:
+                    out.append(array("i", self._run.push(b" ")).tobytes())
+                    held = held[1:]
+                ids, held = self._go_on(held, False)
+                out.append(ids)
+        self._held = held
+        return b"".join(out)
+
+    def end(self, chars: str = "") -> bytes:
+        """Ids of these last characters and of all that is held."""
+        held, out, self._held = self._held + chars, b"", ""
+        if self._open:
+            out, held = self._go_on(held, True)
+        return out + self._block(held) if held else out
+
     def feed(self, text: str):
-        """Ids as bytes of 32-bit integers, each block's when it is read."""
+        """Ids as bytes of 32-bit integers, each slice's when it is read."""
         at = 0
         for m in self._special.finditer(text) if self._special and any(s in text for s in self.merges.special) else ():
-            for b in blocks(text[at : m.start()]):
-                yield self._block(b)
+            yield from self._part(text, at, m.start())
             yield array("i", [self.merges.special[m[0]]]).tobytes()
             at = m.end()
-        for b in blocks(text[at:] if at else text):
-            yield self._block(b)
+        yield from self._part(text, at, len(text))
+
+    def _part(self, text: str, start: int, stop: int):
+        while stop - start > BLOCK:
+            yield self.push(text[start : start + BLOCK])
+            start += BLOCK
+        yield self.end(text[start:stop])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.feed(text)), np.int32).tolist()

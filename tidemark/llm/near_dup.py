@@ -110,29 +110,45 @@ def _alive(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, pe
     return x, y
 
 
-def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+_PAIRED = "band long, i long, j long, block long, node long, n long, comp long, sig binary, bands array<long>"
+
+
+def _partners(key, table, comp: np.ndarray, percent: int):
+    """(x, y): rows of two blocks that no batch of the signature rules out, of different components, in the first band that both nodes have; every x of block i with its rows y of block j. comp may change on the way."""
+    band, i, j = (k.as_py() for k in key)
+    node, n, block = (table.column(c).to_numpy() for c in ("node", "n", "block"))
+    sig = _signatures(table.column("sig"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    two = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i):
+        alike = 100 * np.minimum(n[two], n[x]) >= percent * np.maximum(n[two], n[x])
+        y = two[(comp[two] != comp[x]) & alike & ((node[two] < node[x]) | (i != j))]
+        _, y = _alive(sig, sig, np.full(len(y), x), y, percent)
+        y = y[bands[x, (bands[y] == bands[x]).argmax(1)] == band]
+        if len(y):
+            yield x, y
+
+
+def _rest(rows: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of all nodes of a band that are still apart: a band is cut into blocks of a bounded number of nodes and bytes, and each two blocks meet in a group of their own.
 
-    What the signature does not rule out is verified there, in the first band that both nodes have; only links that join
-    components not yet joined within the group come out, so never more than it has nodes.
+    They meet with their signatures first; only nodes that have a partner there fetch their full sets and meet again. What
+    the signature does not rule out is verified then, and only links that join components not yet joined within the group
+    come out. So a group never gives more rows than it has nodes.
     """
 
+    def near(key, table):
+        hit = np.zeros(table.num_rows, bool)
+        for x, y in _partners(key, table, table.column("comp").to_numpy(), percent):
+            hit[x] = hit[y] = True
+        return table.filter(pa.array(hit)).select(["band", "i", "j", "block", "node", "n", "comp", "sig", "bands"])
+
     def run(key, table):
-        band, i, j = (k.as_py() for k in key)
-        node, n, comp, block = (table.column(c).to_numpy() for c in ("node", "n", "comp", "block"))
-        sig = _signatures(table.column("sig"))
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        node, n = (table.column(c).to_numpy() for c in ("node", "n"))
+        comp = table.column("comp").to_numpy().copy()
         held = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        two = np.flatnonzero(block == j)
-        comp = comp.copy()
         a, b = [], []
-        for x in np.flatnonzero(block == i):
-            alike = 100 * np.minimum(n[two], n[x]) >= percent * np.maximum(n[two], n[x])
-            y = two[(comp[two] != comp[x]) & alike & ((node[two] < node[x]) | (i != j))]
-            _, y = _alive(sig, sig, np.full(len(y), x), y, percent)
-            y = y[bands[x, (bands[y] == bands[x]).argmax(1)] == band]
-            if not len(y):
-                continue
+        for x, y in _partners(key, table, comp, percent):
             found = np.concatenate([held[k] for k in y])
             at = np.minimum(np.searchsorted(held[x], found), n[x] - 1)
             shared = np.add.reduceat((held[x][at] == found).astype(np.int64), np.cumsum(n[y]) - n[y])
@@ -145,10 +161,13 @@ def _rest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     size = F.greatest(F.count("*") / SIDE, F.sum("n") * 8 / SIDE_BYTES)
     sizes = rows.groupBy("band").agg(F.ceil(size).alias("blocks"))
-    dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
+    dealt = rows.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(bands, "node")
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "sig", "bands", "shingles")
-    return each.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "sig", "bands")
+    met = stored(each.groupBy("band", "i", "j").applyInArrow(near, _PAIRED))
+    edges = stored(met.join(sets, "node").groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct())
+    dropped(met)
+    return edges
 
 
 def _met(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
@@ -282,9 +301,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         dropped(left, leaders, edges)
         left = new
     # two nodes that share bands meet in the first of them, so bands go along
-    edges = stored(_rest(left, sets.join(nodes.select("node", "bands"), "node"), percent))
+    edges = _rest(left, nodes.select("node", "bands"), sets, percent)
     labels = labels if edges.isEmpty() else _merged(labels, edges)
-    dropped(left, edges)
+    dropped(left, edges, sets, near, nodes)
     out = base.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))
     out = out.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("comp", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import as_bytes, dropped, mix, stored, window_hash, word_hashes
+from tidemark.llm._common import as_bytes, bucketed, dropped, mix, stored, window_hash, word_hashes
 
 #: Signature: BANDS bands of ROWS hashes. At similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
@@ -247,7 +247,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, shingles: the full sets of the given documents (of a doc_id with several texts, each)."""
+    """node, shingles: the full sets of the given documents (of a doc_id with several texts, each), in buckets of node."""
 
     def run(it):
         for b in (x.slice(at, SLICE) for x in it for at in range(0, x.num_rows, SLICE)):
@@ -256,9 +256,10 @@ def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "k1", "shingles"])
 
     wanted = nodes.select(F.col("node").alias("doc_id"), F.col("k1").alias("key"))
-    found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, k1 long, shingles binary")
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, k1 long, shingles binary").repartition(buckets, "doc_id")
     same = found.join(wanted, "doc_id").where("k1 = key")
-    return stored(same.select(F.col("doc_id").alias("node"), "shingles").dropDuplicates(["node"]))
+    return bucketed(same.select(F.col("doc_id").alias("node"), "shingles").dropDuplicates(["node"]), "node", buckets)
 
 
 def _leaders(rows: DataFrame, most: int) -> DataFrame:

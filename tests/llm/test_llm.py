@@ -195,17 +195,6 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_dup.near_duplicates(d, 2).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
-def test_near_duplicates_sets_are_not_shuffled_again(spark):
-    d = spark.createDataFrame([(i, f"w{i} a b c d e") for i in range(50)], "doc_id long, text string")
-    base = near_dup.stored(near_dup.features(d, 2))
-    sets = near_dup._sets(d, base.select(F.col("doc_id").alias("node"), "k1"), 2)
-    pairs = spark.range(1, 50).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).hint("merge")
-    joined = pairs.join(sets.withColumnRenamed("node", "a"), "a")
-    assert joined.count() == 49
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan and plan.split("Final Plan")[-1].split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
-
-
 def test_posterior_bounds():
     least = near_dup.least_matches(0.8)
     assert (np.diff(least) > 0).all() and least[-1] < 0.8 * 128

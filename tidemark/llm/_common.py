@@ -59,18 +59,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """As `stored`, in buckets of `key`: joins on it shuffle the other side alone. The catalog forgets the table at once, its files stay."""
-    spark = df.sparkSession
-    name = f"bucketed_{uuid.uuid4().hex}"
-    with _shuffles_end(spark):
-        df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/table").option("compression", "zstd").saveAsTable(name, format="parquet")
-    out = spark.table(name)
-    out.schema  # noqa: B018  resolved before the name goes
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
 def dropped(*tables: DataFrame) -> None:
     """Takes tables that `stored` made off the shared folder, once nothing reads them any more."""
     for df in tables:

@@ -195,6 +195,19 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_dup.near_duplicates(d, 2).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def test_sieved_rows_stay_where_they_are(spark):
+    """Texts of near duplicates are found without a shuffle of all texts."""
+    from tidemark.llm._common import sieved
+
+    some = spark.createDataFrame([(i, "x" * 9) for i in [*range(2000), None]], "doc_id long, text string")
+    got = sieved(some, "doc_id", spark.range(0, 2000, 20).select(F.col("id").alias("node")))
+    found = {r.doc_id for r in got.collect()}
+    assert found >= set(range(0, 2000, 20)) and len(found) < 300 and got.columns == some.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "Exchange" in line) and "SortMergeJoin" not in plan
+    assert sieved(some, "doc_id", spark.range(0).select("id")).count() == 0
+
+
 def test_posterior_bounds():
     least = near_dup.least_matches(0.8)
     assert (np.diff(least) > 0).all() and least[-1] < 0.8 * 128

@@ -73,6 +73,18 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def sieved(rows: DataFrame, name: str, ids: DataFrame, most: int = 1 << 26) -> DataFrame:
+    """The rows whose `name` is one of ids (one column), and a few others: told by a broadcast bitmap of 32 bits an id, `most` bits (8 MB) at most, so that no row is shuffled."""
+    bits = min(most, -(-(32 * ids.count() + 1) // 32768) * 32768)
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(bits))
+    maps = ids.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_map"))
+    place = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substr("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_page"))
+    return met.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser over an array of uint64."""
     x = x + np.uint64(_MIX[0])

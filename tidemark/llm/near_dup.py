@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import as_bytes, dropped, mix, stored, window_hash, word_hashes
+from tidemark.llm._common import as_bytes, dropped, mix, sieved, stored, window_hash, word_hashes
 
 #: Signature: BANDS bands of ROWS hashes. At similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, ROWS = 32, 4
@@ -165,7 +165,8 @@ def _rest(rows: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> D
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     each = each.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "comp", "sig", "bands")
     met = stored(each.groupBy("band", "i", "j").applyInArrow(near, _PAIRED))
-    edges = stored(met.join(sets, "node").groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct())
+    some = sieved(sets, "node", met.select("node").distinct())
+    edges = stored(met.join(some, "node").groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct())
     dropped(met)
     return edges
 
@@ -195,7 +196,7 @@ def _met(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the threshold."""
+    """Of pairs (a, b), stored, those whose full sets reach the threshold."""
 
     def run(it):
         for b in it:
@@ -211,6 +212,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([c.column(0).take(keep), c.column(1).take(keep)], names=["a", "b"])
 
+    sets = sieved(sets, "node", pairs.select("a").union(pairs.select("b")).distinct())
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
@@ -255,10 +257,10 @@ def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             keys = [int(x.sum(dtype=np.uint64).view(np.int64)) for x in made]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["doc_id", "k1", "shingles"])
 
-    wanted = nodes.select(F.col("node").alias("doc_id"), F.col("k1").alias("key"))
-    found = rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, k1 long, shingles binary")
-    same = found.join(wanted, "doc_id").where("k1 = key")
-    return stored(same.select(F.col("doc_id").alias("node"), "shingles").dropDuplicates(["node"]))
+    wanted = nodes.select(F.col("node").alias("doc_id"), "k1")
+    # texts stay where they are: sets are made there of what the bitmap lets through, and only sets are shuffled
+    found = sieved(rows, "doc_id", nodes.select("node")).mapInArrow(run, "doc_id long, k1 long, shingles binary").dropDuplicates(["doc_id", "k1"])
+    return stored(found.join(wanted, ["doc_id", "k1"]).select(F.col("doc_id").alias("node"), "shingles"))
 
 
 def _leaders(rows: DataFrame, most: int) -> DataFrame:
@@ -276,10 +278,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     base = stored(features(rows, width))
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")))
-    # a doc_id that stands for several texts is known by the least of their keys
-    one = F.min_by(F.struct("n_shingles", "k1", "sig", "bands"), F.struct("k1", "k2")).alias("x")
-    nodes = full.join(classes, ["k1", "k2"]).where("doc_id = class_id").groupBy(F.col("doc_id").alias("node")).agg(one)
-    nodes = stored(nodes.select("node", F.col("x.n_shingles").alias("n"), "x.k1", "x.sig", "x.bands"))
+    # a doc_id that stands for several texts is known by the least of their keys; signatures are shuffled once
+    keys = full.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).where("doc_id = class_id")
+    keys = keys.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("key")).select("doc_id", "key.k1", "key.k2")
+    nodes = full.join(keys, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"])
+    nodes = stored(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "k1", "sig", "bands"))
     in_band = nodes.select("node", F.explode("bands").alias("band"))
     met = in_band.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(in_band.join(met, "band"))
@@ -291,14 +294,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets, labels = _sets(rows, near, width), None
     for most in LEADERS:
         leaders = stored(_leaders(left, most))
-        edges = stored(_verified(_met(left, leaders, percent), sets, percent))
+        pairs = stored(_met(left, leaders, percent))
+        edges = stored(_verified(pairs, sets, percent))
         if labels is None or not edges.isEmpty():
             labels = _merged(labels, edges)
         # the leaders have met their bands; the others go on where they are apart
         rest = _labelled(left.join(leaders, "band").where(~F.array_contains("leaders.node", F.col("node"))).drop("leaders"), labels)
         apart = rest.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("band")
         new = stored(rest.join(apart, "band"))
-        dropped(left, leaders, edges)
+        dropped(left, leaders, pairs, edges)
         left = new
     # two nodes that share bands meet in the first of them, so bands go along
     edges = _rest(left, nodes.select("node", "bands"), sets, percent)

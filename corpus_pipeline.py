@@ -38,10 +38,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each group of near duplicates (five-word shingles, similarity 0.8); of rows of one doc_id the first by text. A null doc_id stays."""
-    (nth,) = _unused(docs, "nth")
-    copies = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    left = docs.join(copies, "doc_id", "left_anti")
-    again = Window.partitionBy(F.coalesce("doc_id", F.xxhash64("text"))).orderBy("text")
+    nth, key = _unused(docs, "nth", "key")
+    copies = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    # copies go and rows are numbered by one key, so that texts are shuffled once
+    keyed = docs.withColumn(key, F.coalesce("doc_id", F.xxhash64("text")))
+    left = keyed.join(copies, (keyed[key] == copies[key]) & keyed["doc_id"].isNotNull(), "left_anti")
+    again = Window.partitionBy(key).orderBy("doc_id", "text")
     return left.withColumn(nth, F.row_number().over(again)).where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -609,6 +609,19 @@ def test_token_files(docs, rows, empty):
 # pipeline
 
 
+def test_pipeline_shuffles_texts_once_in_near_dedup(docs, spark):
+    import corpus_pipeline
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus_pipeline.near_dedup(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the rows that the join leaves are numbered where they are
+    assert "Exchange" not in plan[plan.index("Window [") : plan.index("SortMergeJoin")]
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 

@@ -472,6 +472,30 @@ def test_ctw(docs, rows, empty, spark):
     assert ctw.score(empty).count() == 0
 
 
+def test_ctw_scores_a_block_in_bounded_memory(monkeypatch):
+    """Beside its texts a block holds little more than a code a place and its distinct keys."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(ctw, "_CHUNK", 1 << 15)
+    rng, parts = np.random.default_rng(3), 7
+    texts = ["".join(map(chr, rng.integers(97, 122, 4000))) + " end" for _ in range(300)]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    zero = type("Key", (), {"as_py": lambda self: 0})()
+    sent = ctw._send(parts, 7, 2)((zero,), docs)
+    found = [np.full(n, -1.5 if kind == 0 else 3, np.float32).tobytes() for kind, n in zip(sent.column("kind").to_pylist(), sent.column("n").to_pylist())]
+    answers = pa.table({"kind": sent.column("kind"), "part": sent.column("part"), "found": found})
+    tracemalloc.start()
+    try:
+        got = ctw._score(7, 2, 10, 100, parts)(docs, answers)
+        peak = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    assert got.column("score").to_pylist() == [-1.5 * (len(t) + 1) for t in texts] and got.column("n_known").to_pylist() == [3] * len(texts)
+    assert peak < 60, peak
+
+
 def test_ctw_against_recursion(spark):
     """The mixture of one small text, node by node."""
     texts = [(0, "abab abba incomprehensibilities-incomprehensibilities"), (1, "abab comprehensibilities é\0\t x"), (2, None)]

@@ -38,6 +38,8 @@ END = 0xFF
 #: Keys of pieces that wait until they are merged with the others.
 MERGE = 1 << 20
 _CHUNK = 1 << 20
+#: Rows whose texts become Python strings at a time.
+_SLICE = 64
 _WORD_END = np.uint64(0xE7D)
 _STOP = SPACE.copy()
 _STOP[END] = True
@@ -105,7 +107,8 @@ def _word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _chunks(table: pa.Table):
     """doc_ids and texts in pieces of about _CHUNK bytes."""
     ids, texts, held = [], [], 0
-    for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+    slices = (table.slice(at, _SLICE) for at in range(0, table.num_rows, _SLICE))
+    for i, t in (x for s in slices for x in zip(s.column("doc_id").to_pylist(), s.column("text").to_pylist())):
         raw = t.encode("utf-8", "surrogatepass")
         ids.append(i)
         texts.append(raw)
@@ -120,28 +123,55 @@ def _chunks(table: pa.Table):
 class _Counts:
     """Distinct keys of pieces of text and their counts."""
 
-    def __init__(self, merge: int | None = MERGE) -> None:
+    def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.merge, self.fresh = merge, 0
+        self.fresh = 0
 
-    def add(self, weight: int, keys: np.ndarray) -> np.ndarray:
-        """Counts one piece; says which of its distinct keys each place holds."""
+    def add(self, weight: int, keys: np.ndarray) -> None:
+        """Counts one piece."""
         codes, found = pd.factorize(keys)
         self.parts.append((found, np.bincount(codes, minlength=len(found)) * weight))
         self.fresh += len(found)
-        if self.merge is not None and self.fresh > self.merge:
+        if self.fresh > MERGE:
             self.parts, self.fresh = [self.whole()[:2]], 0
-        return codes.astype(np.int32)
 
     def whole(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Keys, ascending, their counts, and where the keys of each piece stand among them."""
+        """Keys, ascending, their counts, and where the keys of each piece stand among them. The pieces are given up."""
+        sizes = [len(k) for k, _ in self.parts]
         keys, n = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
         order = np.argsort(keys)
-        new = np.concatenate(([True], np.diff(keys[order]) != 0))
+        keys, n = keys[order], n[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
         at = np.empty(len(keys), np.int32)
-        at[order] = np.cumsum(new) - 1
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
         first = np.flatnonzero(new)
-        return keys[order][first], np.add.reduceat(n[order], first), np.split(at, np.cumsum([len(k) for k, _ in self.parts])[:-1])
+        return keys[first], np.add.reduceat(n, first), np.split(at, np.cumsum(sizes)[:-1])
+
+
+class _Pieces:
+    """Pieces of text: for each its distinct keys, and which of them each place holds."""
+
+    def __init__(self) -> None:
+        self.codes: list[np.ndarray] = []
+        self.found: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        codes, found = pd.factorize(keys)
+        self.codes.append(codes.astype(np.min_scalar_type(max(len(found) - 1, 0))))
+        self.found.append(found)
+
+    def places(self):
+        """For each piece in turn what gives the values of its places from those of all keys, ascending; pieces are given up on the way."""
+        while self.codes:
+            found, codes = self.found.pop(0), self.codes.pop(0)
+            yield lambda keys, values, found=found, codes=codes: values[np.searchsorted(keys, found)].astype(np.float64)[codes]
+
+    def keys(self) -> np.ndarray:
+        every = np.concatenate(self.found)
+        every.sort()
+        return every[np.concatenate(([True], every[1:] != every[:-1]))]
 
 
 def _dealt(kind: int, parts: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,25 +330,28 @@ def _answers(held):
 def _score(modulus: int, remainder: int, n_words: int, n_tokens: int, parts: int):
     norm = np.log10(n_tokens + n_words + 1)
 
-    def values(counts: _Counts, answers: pa.Table, kind: int) -> list[np.ndarray]:
-        """What the partitions have found for the keys of each piece."""
-        keys, _, at = counts.whole()
+    def values(pieces: _Pieces, answers: pa.Table, kind: int):
+        """What the partitions have found for the keys of each piece, at its places; a piece at a time."""
+        keys = pieces.keys()
         order, _ = _dealt(kind, parts, keys)
         got = sorted((p, f) for k, p, f in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "found"))) if k == kind)
-        out = np.empty(len(keys))
+        out = np.empty(len(keys), np.float32)
         out[order] = np.frombuffer(b"".join(f for _, f in got), np.float32)
-        return [out[x] for x in at]
+        del order, got
+        return (at(keys, out) for at in pieces.places())
 
     def run(docs, answers):
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         out: list[list] = [[] for _ in kinds]
         if docs.num_rows:
-            grams, words, pieces = _Counts(None), _Counts(None), []
+            grams, words, pieces = _Pieces(), _Pieces(), []
             for ids, texts in _chunks(docs):
                 (key, first), (word, begin) = _gram_keys(texts), _word_keys(texts)
-                pieces.append((ids, [len(t) for t in texts], first, grams.add(0, key), np.append(begin, len(word)), words.add(0, word)))
-            for (ids, sizes, first, codes, begin, word_codes), g, w in zip(pieces, values(grams, answers, 0), values(words, answers, 1), strict=True):
-                c, n = w[word_codes], np.diff(begin)
+                grams.add(key)
+                words.add(word)
+                pieces.append((ids, [len(t) for t in texts], first, np.append(begin, len(word))))
+            for (ids, sizes, first, begin), g, c in zip(pieces, values(grams, answers, 0), values(words, answers, 1), strict=True):
+                n = np.diff(begin)
                 columns = (
                     ids,
                     [held_out(i, modulus, remainder) for i in ids],
@@ -326,7 +359,7 @@ def _score(modulus: int, remainder: int, n_words: int, n_tokens: int, parts: int
                     np.add.reduceat((c > 0).astype(np.int64), begin[:-1]),
                     sizes,
                     np.add.reduceat(np.log10(c + 1), begin[:-1]) - n * norm,
-                    np.add.reduceat(g[codes], first),
+                    np.add.reduceat(g, first),
                 )
                 for column, x in zip(out, columns):
                     column.extend(x)

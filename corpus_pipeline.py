@@ -63,8 +63,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and whether decoding them gives the text."""
-    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary())
-    both = bpe.decode(coded, vocabulary())
+    both = bpe.encode_and_decode(docs.select("doc_id", "text"), vocabulary())
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -608,6 +608,34 @@ def test_bpe_holds_little(kind):
     assert peak < 8 << 20
 
 
+def test_pipeline_tokens_leave_nothing_in_a_worker(docs, rows, spark, monkeypatch):
+    """A task is one worker's, with a bounded cache, and what it loaded goes with it."""
+    import gc
+
+    import corpus_pipeline
+    import pyarrow as pa
+
+    df = corpus_pipeline.tokens(spark, docs, "")
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = by_id(bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()))
+    assert all(r.ids == want[r.doc_id].ids and r.round_trip for r in df.collect())
+
+    def held():
+        gc.collect()
+        return sum(isinstance(x, bpe.Merges | bpe.Encoder | bpe.Decoder) for x in gc.get_objects())
+
+    monkeypatch.setattr(bpe, "TASK_CACHE", 50)
+    monkeypatch.setattr(bpe, "_LOADED", {})
+    before = held()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _, _ in rows], "text": pa.array([t for _, t, _ in rows], pa.string())})
+    most = 0
+    for b in bpe._both(iter([batch] * 2), vocabulary(), "text", "ids", "decoded"):
+        most = max(most, *(len(x._inner) for x in gc.get_objects() if isinstance(x, bpe.Encoder) and x._most == 50))
+        assert b.column("ids").to_pylist() == [want[d].ids for d in b.column("doc_id").to_pylist()]
+        assert b.column("decoded").to_pylist() == [want[d].decoded for d in b.column("doc_id").to_pylist()]
+    assert held() == before and not bpe._LOADED and most
+
+
 # token files
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,13 @@ def dropped(*tables: DataFrame) -> None:
                 store.delete_dir(path)
 
 
+def rested() -> None:
+    """Gives the memory that a task has freed back to the system: a Python worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # of another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with what an operator adds."""
     return df.select(*(F.col(f"`{n}`") for n in names))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm._chunks import BLOCK, units
+from tidemark.llm._common import rested
 
 #: The byte-level pre-tokeniser's pattern (fixed value); White_Space is what its \s means.
 _W = r"\p{White_Space}"
@@ -37,6 +38,8 @@ OPEN = 1024
 _KINDS = [regex.compile(p) for p in (rf"{_W}*+", r"\p{L}*+", r"\p{N}*+", rf"[^{_W}\p{{L}}\p{{N}}]*+")]
 #: Units kept with their tokens; when full it starts anew, so that memory stays bounded.
 CACHE = 600_000
+#: The same where the cache lives as long as a task.
+TASK_CACHE = 150_000
 _NONE = 1 << 60
 
 
@@ -170,8 +173,8 @@ class Encoder:
     pre-token whose bytes are in the transducer already. `end` gives the rest.
     """
 
-    def __init__(self, merges: Merges) -> None:
-        self.merges = merges
+    def __init__(self, merges: Merges, cache: int = CACHE) -> None:
+        self.merges, self._most = merges, cache
         self._run, self._held, self._open = Transducer(merges), "", None
         self._inner: dict[str, bytes] = {}  # of what follows a blank, with that blank
         self._first: dict[str, bytes] = {}
@@ -185,7 +188,7 @@ class Encoder:
             raw = piece.encode("utf-8", "surrogatepass")
             held = array("i", self._run.end(raw)).tobytes()
             if len(raw) < 64:
-                if len(known) > CACHE:
+                if len(known) > self._most:
                     known.clear()
                 known[key] = held
         return held
@@ -200,7 +203,7 @@ class Encoder:
         first, *rest = units(block)
         found = list(map(self._inner.get, rest))
         if None in found:
-            if len(self._inner) > CACHE:
+            if len(self._inner) > self._most:
                 self._inner.clear()
             for i, hit in enumerate(found):
                 if hit is None:
@@ -311,8 +314,8 @@ def loaded(path: str) -> tuple[Encoder, Decoder]:
     return _one(Encoder, path), _one(Decoder, path)
 
 
-def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
+def _added(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in schema.fields if f.name != name), T.StructField(name, kind)])
 
 
 def _batches(it, name, make, limit=2_000):
@@ -323,33 +326,54 @@ def _batches(it, name, make, limit=2_000):
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), make(b)], [*(n for n, _ in kept), name])
 
 
+def _encoded(it, encoder: Encoder, text: str, ids: str):
+    def make(b):
+        rows = [b"".join(encoder.feed(t)) if t else b"" for t in b.column(text).to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+    return _batches(it, ids, make, 500)
+
+
+def _decoded(it, decoder: Decoder, ids: str, text: str):
+    def make(b):
+        col = b.column(ids)
+        flat, ends = col.values.to_numpy(), col.offsets.to_pylist()
+        return pa.array([decoder.decode(flat[a:z]) for a, z in zip(ends, ends[1:])], pa.string())
+
+    return _batches(it, text, make, 500)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the token ids of `text` as array<int> in `ids`; null text gives an empty array."""
 
     def run(it):
-        encoder = _one(Encoder, path)
+        yield from _encoded(it, _one(Encoder, path), text, ids)
 
-        def make(b):
-            rows = [b"".join(encoder.feed(t)) if t else b"" for t in b.column(text).to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-
-        yield from _batches(it, ids, make, 500)
-
-    return docs.mapInArrow(run, _added(docs, ids, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(run, _added(docs.schema, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """docs with the text of `ids` in `text`; null ids give ''."""
 
     def run(it):
-        decoder = _one(Decoder, path)
+        yield from _decoded(it, _one(Decoder, path), ids, text)
+
+    return docs.mapInArrow(run, _added(docs.schema, text, T.StringType()))
+
 
-        def make(b):
-            col = b.column(ids)
-            flat, ends = col.values.to_numpy(), col.offsets.to_pylist()
-            return pa.array([decoder.decode(flat[a:z]) for a, z in zip(ends, ends[1:])], pa.string())
+def _both(it, path: str, text: str, ids: str, decoded: str):
+    """Batches with ids and decoded text; the merges and what was met go when the task ends, as its worker lives on for other stages."""
+    merges = Merges(path)
+    yield from _decoded(_encoded(it, Encoder(merges, TASK_CACHE), text, ids), Decoder(merges), ids, decoded)
+    del merges
+    rested()
 
-        yield from _batches(it, text, make, 500)
 
-    return docs.mapInArrow(run, _added(docs, text, T.StringType()))
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """decode(encode(docs)), in one worker a task instead of two, which keeps nothing of it."""
+
+    def run(it):
+        yield from _both(it, path, text, ids, decoded)
+
+    return docs.mapInArrow(run, _added(_added(docs.schema, ids, T.ArrayType(T.IntegerType())), decoded, T.StringType()))

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -658,6 +659,79 @@ def test_token_files(docs, rows, empty):
     assert token_files.read_documents(token_files.write(empty, vocabulary())).count() == 0
 
 
+class _Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+def test_token_files_give_each_word_to_the_library_once():
+    """Not each mix of a word with marks or with the first word of the next line."""
+    pytest.importorskip("tokenizers")
+    ids = token_files._Ids(vocabulary())
+    ids.tokenizer = counted = _Counted(ids.tokenizer)
+    words = [a + b for a in ("reth", "onder", "chlich", "\u00f6tze", "an", "im") for b in ("ing", "eau", "keit", "\u00fcst", "or")]
+    texts = [" ".join(["of", *(f"{w}{m}\n{v.title()}{m}" for v in words)]) for w in words for m in (".", "###", "")]
+    for _ in range(3):
+        ids.many(texts)
+    # the first word of a text has no blank before it, and is not kept
+    assert counted.chars - 3 * len("of") * len(texts) < 3 * sum(len(w) + 1 for w in words)
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_token_files_ids_are_the_librarys(told, monkeypatch):
+    """Odd white space, contractions, special tokens, texts beyond a chunk and without a blank, with small chunks, calls and caches."""
+    import pyarrow as pa
+
+    tokenizers = pytest.importorskip("tokenizers")
+    t, ids, rnd = tokenizers.Tokenizer.from_file(vocabulary()), token_files._Ids(vocabulary()), random.Random(5)
+    if not told:  # as with a vocabulary whose tokens don't tell where a word begins
+        ids.words.opens[:] = ids.lines.opens[:] = False
+    odd = [" ", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "  ", "'s", "'re", "'", "\u00b2", "1", "42", "\u0301", "\u4e2d\u6587", "\u0416", "\U0001f600", "<|endoftext|>", "."]
+    odd += ["word", "Word", "\u00e9t\u00e9", "\u00aa", "\u0180x", "###", "a.", "x\ny", "of.\nThe", "the,", "\u0120", "\u010a", "\x00"]
+    texts = [None, "", " ", "\n", " a", "a ", "a\n", "a\n b", "a \nb", "a.\nB c.\nD", "x" * 3000, "ab " * 2000, "ab\n " * 2000]
+    texts += ["".join(rnd.choices(odd, k=rnd.randrange(1, 60))) for _ in range(1500)]
+    want, cut = [t.encode(x or "", add_special_tokens=False).ids for x in texts], token_files.blocks
+    for chunk, call, cache in ((1 << 23, 1 << 16, 1 << 20), (500, 40, 30), (1, 1, 0)):
+        for name, value in (("CHUNK", chunk), ("CALL", call), ("CACHE", cache)):
+            monkeypatch.setattr(token_files, name, value)
+        monkeypatch.setattr(token_files, "blocks", partial(cut, size=min(chunk, 1 << 16)))
+        batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())})
+        got, keys, rest = [], [], []
+        for ks, pieces, last in token_files._chunked(iter([batch]), ids):
+            keys += ks
+            made, counts = ids.many(pieces)
+            for part, end in zip(np.split(made, np.cumsum(counts)[:-1]), last, strict=True):
+                rest += part.tolist()
+                if end:
+                    got.append(rest)
+                    rest = []
+        assert got == want and keys == list(range(len(texts))) and not rest
+        assert len(ids.words.words) <= cache
+
+
+def test_token_files_documents_over_chunks(spark, tmp_path, monkeypatch):
+    """Starts, counts and sums of documents whose pieces are in several chunks of the default size."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(vocabulary())
+    rows = [(1, "first one"), (2, "Some long text, of words. " * 400_000), (3, None), (4, "after it")]
+    assert len(rows[1][1]) > token_files.CHUNK
+    got = by_id(token_files.read_documents(token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), vocabulary())))
+    at, unit = 0, t.encode("Some long text, of words. Some long text, of words.", add_special_tokens=False).ids
+    assert len(unit) == 14
+    for d, text in rows:
+        # a period of the long text is encoded alike wherever it stands, but for its first word
+        ids = unit[:7] + unit[7:] * 399_999 + t.encode(" ", add_special_tokens=False).ids if d == 2 else t.encode(text or "", add_special_tokens=False).ids
+        ids = [*ids, 2]
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 # pipeline
 
 

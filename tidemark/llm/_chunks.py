@@ -34,6 +34,11 @@ def blocks(text: str, size: int = BLOCK):
         yield text[at:]
 
 
+def has_runs(block: str) -> bool:
+    """Whether a blank of the block stands within a longer run of white space."""
+    return any(h in block for h in _HINTS) and bool(_RUN.search(block))
+
+
 def units(block: str) -> list[str]:
     """The block's independent units: the first as it stands, the others without the blank that begins them; [block] if runs of white space forbid this."""
-    return [block] if any(h in block for h in _HINTS) and _RUN.search(block) else block.split(" ")
+    return [block] if has_runs(block) else block.split(" ")

@@ -11,35 +11,91 @@ doc_ids first. An empty table makes no sequences. Extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm._chunks import blocks, units
-from tidemark.llm._common import only, shared_dir, stored
+from tidemark.llm._chunks import blocks, has_runs
+from tidemark.llm._common import only, rested, shared_dir, stored
 
 #: Ids of a sequence, sequences of a batch.
 WIDTH, ROWS = 2048, 256
-CACHE = 800_000
-#: Documents whose new units are encoded together.
+#: Words kept from chunk to chunk with their ids.
+CACHE = 1 << 20
+#: Characters of the texts that are encoded together, and bytes of what the library gets at a time.
+CHUNK, CALL = 1 << 23, 1 << 16
+#: Documents that become Python strings together.
 SLICE = 128
-#: Marks that end a run of letters and never begin a contraction.
-_MARKS = ".,;:!?*%$&#|()[]{}<>/=+-_~^@\""
 _PARTS = "part int, path string, n_docs long, n_tokens long"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Units of letters and marks, on one line or two, are pre-tokens that stand apart: no mark begins a contraction.
+_LETTERS, _MARKS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+", f"[{re.escape('.,;:!?*%$&#|()[]{}<>/=+-_~^@' + chr(34))}]*"
+_SPLIT = rf"\A(?P<stem>{_LETTERS})(?P<tail>{_MARKS})(?:\n(?P<next>{_LETTERS})(?P<end>{_MARKS}))?\z"
+_WHITE = f"[{''.join(c for c in map(chr, range(0x3001)) if c.isspace())}]"
+
+
+class _Words:
+    """Ids of words that stand behind the same white space; those met before come from a bounded cache."""
+
+    def __init__(self, ids: _Ids, lead: str, letter: str) -> None:
+        self.ids, self.lead = ids, lead
+        self.opens = np.zeros(len(ids.tokens), bool)  # tokens that begin with the lead, in the vocabulary's alphabet
+        self.opens[[i for i, t in enumerate(ids.tokens) if t.startswith(letter)]] = True
+        self.words, self.known = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def _joined(self, words: pa.Array):
+        """Ids of words without white space: the lead begins a token, which tells the words of one encoding apart."""
+        call = np.cumsum(np.asarray(pc.binary_length(words)) + 1) // CALL
+        cuts = [0, *(np.flatnonzero(np.diff(call)) + 1).tolist(), len(words)]
+        for a, z in zip(cuts, cuts[1:]):
+            part = words.slice(a, z - a).to_pylist()
+            found = np.frombuffer(self.ids.call([self.lead + self.lead.join(part)])[0], self.ids.kind)
+            starts = np.flatnonzero(self.opens[found])
+            if len(starts) != len(part) or starts[0]:  # a vocabulary whose tokens don't tell where a word begins
+                yield self.ids.alone([self.lead + w for w in part])
+            else:
+                ends = (np.append(starts, len(found)) * self.ids.kind.itemsize).astype(np.int32)
+                yield pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(found)])
+
+    def _learned(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        apart = np.asarray(pc.or_(pc.match_substring_regex(words, _WHITE), pc.equal(words, "")))
+        if any(self.lead in s for s in self.ids.special):
+            apart = np.ones(len(words), bool)
+        order = np.argsort(apart, kind="stable")
+        n, words = len(words) - int(apart.sum()), words.take(pa.array(order))
+        made = [*(self._joined(words.slice(0, n)) if n else ()), self.ids.alone([self.lead + w for w in words.slice(n).to_pylist()])]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return pa.concat_arrays(made).take(pa.array(place))
+
+    def __call__(self, words: pa.Array) -> pa.Array:
+        """Ids of words, with the lead before each; null of null."""
+        # what was met comes first and is distinct, so that it keeps its places
+        n = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()
+        codes = coded.indices.slice(n)
+        if len(coded.dictionary) > n:
+            self.words, self.known = coded.dictionary, pa.concat_arrays([self.known, self._learned(coded.dictionary.slice(n))])
+        found = self.known.take(codes)
+        if len(self.words) > CACHE:
+            last = codes.unique().drop_null().slice(0, CACHE)
+            self.words, self.known = self.words.take(last), self.known.take(last)
+        return found
 
 
 class _Ids:
-    """Ids of texts by the tokenizers library, as little-endian bytes; units met before come from a bounded cache."""
+    """Ids of texts by the tokenizers library; the distinct units of many texts are encoded once."""
 
     def __init__(self, path: str) -> None:
         # one task has one core: the library's own threads only wait for each other
@@ -50,83 +106,61 @@ class _Ids:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         vocab = self.tokenizer.get_vocab(True)
-        size = max(vocab.values()) + 1
-        self.opens = np.zeros(size, bool)  # tokens that begin with a blank, in the vocabulary's alphabet
-        self.opens[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
-        self.kind, self.code = (np.dtype("<u2"), "H") if size <= 1 << 16 else (np.dtype("<u4"), "I")
+        self.tokens = [""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.tokens[i] = t
+        self.kind, self.code = (np.dtype("<u2"), "H") if len(self.tokens) <= 1 << 16 else (np.dtype("<u4"), "I")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.words, self.lines = _Words(self, " ", "\u0120"), _Words(self, "\n", "\u010a")
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
+    def call(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words) -> None:
-        """Puts units into the cache. Letters followed by marks are two pre-tokens, so such a unit is its letters' ids and its marks'."""
-        split = []
-        whole = {}
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if len(stem) < len(w) and stem.isalpha() and (stem.isascii() or max(stem) < "\u0180"):
-                split.append((w, stem, w[len(stem) :]))
-                if stem not in self.known:
-                    whole[stem] = None
-            else:
-                whole[w] = None
-        plain = [w for w in whole if w.isalpha() and (w.isascii() or max(w) < "\u0180")]
-        other = list(whole.keys() - set(plain))
-        for at in range(0, len(plain), 4096):
-            # runs of letters, each after a blank: the blank begins a token, which tells the words of one encoding apart
-            part = plain[at : at + 4096]
-            ids = np.frombuffer(self._fresh([" " + " ".join(part)])[0], self.kind)
-            cut = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.kind.itemsize).tolist()
-            raw = ids.tobytes()
-            if len(cut) != len(part) + 1:  # a vocabulary whose tokens don't tell where a word begins
-                self.known.update(zip(part, self._fresh([" " + w for w in part]), strict=True))
-                continue
-            self.known.update(zip(part, (raw[a:z] for a, z in zip(cut, cut[1:])), strict=True))
-        self.known.update(zip(other, self._fresh([" " + w for w in other]), strict=True))
-        for w, stem, tail in split:
-            ids = self.tails.get(tail)
-            if ids is None:
-                if len(self.tails) > CACHE:
-                    self.tails.clear()
-                ids = self.tails[tail] = self._fresh([tail])[0]
-            self.known[w] = self.known[stem] + ids
-
-    def _head(self, first: str) -> bytes:
-        if len(first) >= 32 or len(self.heads) >= CACHE:
-            return self._fresh([first])[0]
-        return self.heads.get(first) or self.heads.setdefault(first, self._fresh([first])[0])
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the units that none has had before are encoded together."""
-        plans, met = [], set()
+    def alone(self, texts: list[str]) -> pa.Array:
+        """Ids of each text, as little-endian bytes."""
+        made, part, size = [], [], 0
         for text in texts:
-            if any(s in text for s in self.special):
-                plans.append(None)
-                continue
-            parts = [units(block) for block in blocks(text)]
-            for unit in parts:
-                met.update(islice(unit, 1, None))
-            plans.append(parts)
-        new = met.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = met
-        if new:
-            self._learn(new)
-        out, known = [], self.known.__getitem__
-        for text, parts in zip(texts, plans, strict=True):
-            if parts is None:
-                out.append(self._fresh([text])[0])
-            else:
-                out.append(b"".join([x for unit in parts for x in chain((self._head(unit[0]) if unit[0] else b"",), map(known, islice(unit, 1, None)))]))
-        return out
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
+            part.append(text)
+            size += len(text)
+            if size >= CALL:
+                made += self.call(part)
+                part, size = [], 0
+        return pa.array(made + self.call(part), pa.binary())
+
+    def _units(self, units: pa.Array) -> pa.Array:
+        """Ids of distinct units, with the blank that begins each."""
+        halves = pc.extract_regex(units, _SPLIT)
+        stem, tail, after, end = (pc.struct_field(halves, k) for k in ("stem", "tail", "next", "end"))
+        marks = pa.concat_arrays([tail, end]).dictionary_encode()
+        marks = self.alone(marks.dictionary.to_pylist()).take(marks.indices)
+        # RE2 gives "" where there is no second line
+        lines = self.lines(pc.if_else(pc.equal(after, ""), None, after))
+        return pc.binary_join_element_wise(self.words(pc.coalesce(stem, units)), marks.slice(0, len(units)), lines, marks.slice(len(units)), b"", null_handling="skip")
+
+    def pieces(self, text: str) -> list[str]:
+        """Pieces to encode one by one; a special token may take the white space around it, so that its text stays whole."""
+        return [text] if not text or any(s in text for s in self.special) else list(blocks(text))
+
+    def many(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one behind the other, and how many each has."""
+        whole = [len(p) > CHUNK or any(s in p for s in self.special) for p in pieces]
+        texts = pa.array(["" if w else p for w, p in zip(whole, pieces)], pa.string())
+        near = pc.match_substring_regex(texts, _WHITE + " ").to_pylist()
+        if any(near):
+            whole = [w or n and has_runs(p) for w, n, p in zip(whole, near, pieces)]
+            texts = pa.array(["" if w else p for w, p in zip(whole, pieces)], pa.string())
+        split = pc.split_pattern(texts, " ")
+        ends, every = np.asarray(split.offsets), split.values
+        first = np.zeros(len(every), bool)
+        first[ends[:-1]] = True
+        heads = [p if w else h for w, p, h in zip(whole, pieces, every.take(pa.array(ends[:-1])).to_pylist())]
+        coded = every.filter(pa.array(~first)).dictionary_encode()
+        places = np.empty(len(every), np.int32)
+        places[first] = len(coded.dictionary) + np.arange(len(pieces))
+        places[~first] = np.asarray(coded.indices)
+        made = pa.concat_arrays([self._units(coded.dictionary), self.alone(heads)]).take(pa.array(places))
+        at = np.frombuffer(made.buffers()[1], np.int32, len(made) + 1)[ends] // self.kind.itemsize
+        return np.frombuffer(made.buffers()[2] or b"", self.kind, at[-1]), np.diff(at)
 
 
 _LOADED: dict[str, _Ids] = {}
@@ -138,6 +172,25 @@ def _ids(path: str) -> _Ids:
     return _LOADED[path]
 
 
+def _chunked(it, ids: _Ids):
+    """doc_ids of the documents that end in a chunk of about CHUNK characters, its pieces of texts, and which of these are a text's last."""
+    keys, pieces, last, size = [], [], [], 0
+    for batch in (x.slice(lo, SLICE) for x in it for lo in range(0, x.num_rows, SLICE)):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parts = ids.pieces(text or "")
+            for k, piece in enumerate(parts, 1):
+                pieces.append(piece)
+                last.append(k == len(parts))
+                size += len(piece)
+                if last[-1]:
+                    keys.append(key)
+                if size >= CHUNK:
+                    yield keys, pieces, np.array(last)
+                    keys, pieces, last, size = [], [], [], 0
+    if pieces:
+        yield keys, pieces, np.array(last)
+
+
 class _Writer:
     """One file of fixed-size lists; ids that don't yet fill a batch wait in `rest`."""
 
@@ -213,26 +266,27 @@ def write(docs: DataFrame, path: str, end_id: int = 2, uri: str | None = None, t
         store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
-        out, end, at, n_docs = None, np.array([end_id], ids.kind).tobytes(), 0, 0
+        out, at, begun, n_docs = None, 0, 0, 0
         index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        for batch in (x.slice(lo, SLICE) for x in it for lo in range(0, x.num_rows, SLICE)):
+        for keys, pieces, last in _chunked(it, ids):
             if out is None:
                 out = _Writer(store, f"{root}/{name}.arrow", ids.kind)
                 sink = store.open_output_stream(f"{root}/{name}.index.arrow")
                 places = pa.ipc.new_file(sink, index)
-            starts, counts = [], []
-            for made in ids.many([t or "" for t in batch.column(1).to_pylist()]):
-                made += end
-                out.add(made)
-                starts.append(at)
-                counts.append(len(made) // ids.kind.itemsize)
-                at += counts[-1]
-            places.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index))
-            n_docs += batch.num_rows
+            made, counts = ids.many(pieces)
+            # a document's end id follows its last piece
+            ends = np.cumsum(counts)[last]
+            out.add(np.insert(made, ends, end_id).tobytes())
+            stops = at + ends + np.arange(1, len(ends) + 1)
+            starts = np.append(begun, stops)
+            places.write_batch(pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64())], schema=index))
+            at, begun = at + len(made) + len(ends), starts[-1]
+            n_docs += len(keys)
         if out is not None:
             out.close()
             places.close()
             sink.close()
+            rested()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{uri}/{name}"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([at], pa.int64())})
 
     rows = only(docs, "doc_id", text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
